@@ -22,7 +22,7 @@ SERIES = ["session_id", "user", "param"]
 
 def _step_measures(events: DataFrame, settings: PanelSettings) -> DataFrame:
     rows = events.select(*SERIES, "time_sec", *LINE, "value")
-    ordered = order_groups(rows, SERIES, ["time_sec", *LINE], settings)
+    ordered = order_groups(rows, SERIES, ["time_sec", *LINE], settings, size_bound=events)
     steps = (
         ordered.previous(before="value")
         .whole(lowest=("min", "value"), highest=("max", "value"))

@@ -47,8 +47,7 @@ def _instants(events: DataFrame, settings: PanelSettings) -> DataFrame:
 
 def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """The look-ahead window of every instant: running totals at its end less those at its start."""
-    shared = events.where(F.col("param").isin(*settings.shared_params))
-    ordered = order_groups(_instants(events, settings), SERIES, ["time_sec"], settings, size_bound=shared)
+    ordered = order_groups(_instants(events, settings), SERIES, ["time_sec"], settings, size_bound=events)
     seam = F.coalesce((F.col("user_before") != F.col("first_user")).cast("long"), F.lit(0))
     totals = (
         ordered.previous(user_before="last_user")
@@ -247,8 +246,7 @@ def _pick_by_chain(candidates: DataFrame, settings: PanelSettings) -> DataFrame:
 def picked_windows(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The greedily picked windows: disjoint, in time order."""
     candidates = conflict_candidates(events, settings)
-    shared = events.where(F.col("param").isin(*settings.shared_params))
-    if hot_groups(shared, SERIES, settings.fold_rows) is None:
+    if hot_groups(events, SERIES, settings.fold_rows) is None:
         return _pick_by_fold(candidates)
     ensure_checkpoint_dir(events.sparkSession)
     candidates = candidates.checkpoint()

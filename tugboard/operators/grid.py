@@ -21,10 +21,19 @@ GRID = ("t_min", "step", "n_ticks")
 
 
 def _last_change_per_tick(
-    events: DataFrame, bounds: DataFrame, keys: Sequence[str], settings: PanelSettings
+    events: DataFrame,
+    chosen: DataFrame,
+    bounds: DataFrame,
+    keys: Sequence[str],
+    settings: PanelSettings,
 ) -> DataFrame:
     on_grid = attach_facts(
-        events, bounds.select("session_id", *GRID), ["session_id"], ["param", "user", "mid", "time_sec"], settings
+        chosen,
+        bounds.select("session_id", *GRID),
+        ["session_id"],
+        ["param", "user", "mid", "time_sec"],
+        settings,
+        remember_on=events,
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
     return (
         on_grid.where(F.col("lo") < F.col("n_ticks"))
@@ -83,7 +92,7 @@ def merged_runs(
     bounds = session_bounds(events, settings)
     keys = ("session_id", "param")
     chosen = _only(events, None, params)
-    changes = _last_change_per_tick(chosen, bounds, keys, settings)
+    changes = _last_change_per_tick(events, chosen, bounds, keys, settings)
     if not blank:
         return _runs(changes, keys)
     series = chosen.select(*keys).distinct().join(bounds, "session_id")
@@ -99,7 +108,7 @@ def user_runs(
     """The same per user: the value each user set last, for every user and parameter of the session."""
     bounds = session_bounds(events, settings)
     keys = ("session_id", "param", "user")
-    changes = _last_change_per_tick(_only(events, users, params), bounds, keys, settings)
+    changes = _last_change_per_tick(events, _only(events, users, params), bounds, keys, settings)
     series = _only(users_by_params(change_counts(events)), users, params).join(bounds, "session_id")
     return _with_blank_start(changes, series, keys).drop("owner")
 
@@ -169,7 +178,7 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     spelled out last.
     """
     bounds = session_bounds(events, settings)
-    per_user = _last_change_per_tick(events, bounds, ("session_id", "param", "user"), settings)
+    per_user = _last_change_per_tick(events, events, bounds, ("session_id", "param", "user"), settings)
     cells = [
         F.max(F.when(F.col("user") == u, F.struct(F.col("last.value").alias("value")))).alias(f"user_{u}")
         for u in users

@@ -15,7 +15,9 @@ def change_segments(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
     A segment starts at the event right before the change, also if that one changed nothing.
     """
     keys = ["session_id", "user", "param"]
-    ordered = order_groups(events.select(*keys, "time", *LINE, "value"), keys, ["time", *LINE], settings)
+    ordered = order_groups(
+        events.select(*keys, "time", *LINE, "value"), keys, ["time", *LINE], settings, size_bound=events
+    )
     return (
         ordered.previous(start_time="time", from_value="value").done()
         .where(F.col("value") != F.col("from_value"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tugboard.config import PanelSettings
+from tugboard.plans.memo import remembered
 from tugboard.session import ensure_checkpoint_dir
 
 # A group below the 10 000 largest holds at most 1/10 000 of all rows: small enough for one task.
@@ -38,15 +39,18 @@ def _combine(kind: str, mine: Column, before: Column) -> Column:
 
 def hot_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """The groups with more than ``limit`` rows, at most MAX_HOT_GROUPS, or None."""
-    found = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_GROUPS)
-    )
-    listed = found.collect()
-    return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
+    def find() -> DataFrame | None:
+        found = (
+            rows.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > limit)
+            .orderBy(F.desc("_rows"), *keys)
+            .limit(MAX_HOT_GROUPS)
+        )
+        listed = found.collect()
+        return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
+
+    return remembered(rows, ("hot_groups", *keys, limit), find)
 
 
 @dataclass(frozen=True)
@@ -95,10 +99,14 @@ class OrderedGroups:
         return self._neighbour(columns, forward=True)
 
     def running(self, **totals: tuple[str, str]) -> OrderedGroups:
-        """Adds ``name=(kind, source)``: the sum, max or min of ``source`` up to and with this row."""
+        """Adds ``name=(kind, source)``: the sum, max or min of ``source`` up to and with this row.
+
+        A total may take the name of its own source and then replaces it.
+        """
+        kept = [name for name in self.frame.columns if name not in totals]
         upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         added = self.frame.select(
-            *self.frame.columns,
+            *kept,
             *[_AGGREGATES[kind](source).over(upto).alias(name) for name, (kind, source) in totals.items()],
         )
         if self.sliced:
@@ -112,7 +120,7 @@ class OrderedGroups:
             )
             joined = added.join(self._carry(carried), self.partition, "left")
             added = joined.select(
-                *self.frame.columns,
+                *kept,
                 *[
                     _combine(kind, F.col(name), F.col(f"_c_{name}")).alias(name)
                     for name, (kind, _) in totals.items()

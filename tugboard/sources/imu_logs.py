@@ -13,10 +13,14 @@ of a machine is a function from state to state, the splits of a file can be run
 3. each split marks the tokens it accepts, numbered by record.
 
 So a file is never gathered into one value or one task, and the result is that of the whole text.
+(A file that cannot be split, say a gzip, is one split.) The Python part is a loop over small
+integers that streams through rows Spark has partitioned and sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +53,7 @@ def _columns_of(sensor: str) -> list[tuple[str, str]]:
 
 
 IMU_NUMERIC = [pair for sensor in SENSORS for pair in _columns_of(sensor)]
+SPLIT = ["session_id", "file", "block_start"]
 IMU_COLUMNS = ["time"] + [name for name, _ in IMU_NUMERIC]
 STATES = 1 + len(SENSORS)
 
@@ -71,66 +76,95 @@ def _tokens(lines: DataFrame) -> DataFrame:
     ).withColumn("kind", kind.cast("int"))
 
 
-def _walk(kinds: list[int], state: int) -> tuple[int, int]:
-    opened = 0
-    for kind in kinds:
-        if kind == state:
-            opened += state == 0
-            state = state + 1 if state + 1 < STATES else 0
-    return state, opened
-
-
-def _split_function(split: pd.DataFrame) -> pd.DataFrame:
-    first = split.iloc[0]
-    kinds = split.sort_values(["mid", "place"])["kind"].tolist()
-    walks = [_walk(kinds, state) for state in range(STATES)]
-    return pd.DataFrame({
-        "session_id": [first.session_id],
-        "file": [first.file],
-        "block_start": [first.block_start],
-        "leaves": [[state for state, _ in walks]],
-        "opens": [[opened for _, opened in walks]],
-    })
-
-
-def _compose(splits: pd.DataFrame) -> pd.DataFrame:
-    ordered = splits.sort_values("block_start")
-    state, opened, entered, before = 0, 0, [], []
-    for leaves, opens in zip(ordered["leaves"], ordered["opens"]):
-        entered.append(state)
-        before.append(opened)
-        state, opened = int(leaves[state]), opened + int(opens[state])
-    return ordered[["session_id", "file", "block_start"]].assign(state=entered, opened=before)
-
-
-def _accept(split: pd.DataFrame) -> pd.DataFrame:
-    ordered = split.sort_values(["mid", "place"], ignore_index=True)
-    state, record = int(ordered.at[0, "state"]), int(ordered.at[0, "opened"])
-    kept, records = [], []
-    for at, kind in enumerate(ordered["kind"].tolist()):
-        if kind == state:
-            record += state == 0
-            kept.append(at)
-            records.append(record)
-            state = state + 1 if state + 1 < STATES else 0
-    return ordered.iloc[kept][["session_id", "file", "kind", "token"]].assign(
-        record_no=np.asarray(records, dtype="int64")
-    )
+def _runs(keys: Sequence[tuple]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, stop) of each run of equal keys."""
+    start = 0
+    for at in range(1, len(keys) + 1):
+        if at == len(keys) or keys[at] != keys[start]:
+            yield keys[start], start, at
+            start = at
+
+
+def _split_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per split, for every entry state: the state after its tokens and the records opened by them."""
+    current, states, opened = None, [], []
+
+    def closed() -> list[tuple]:
+        return [] if current is None else [(*current, states, opened)]
+
+    for batch in batches:
+        done = []
+        kinds = batch["kind"].tolist()
+        for key, start, stop in _runs(list(zip(batch["session_id"], batch["file"], batch["block_start"]))):
+            if key != current:
+                done += closed()
+                current, states, opened = key, list(range(STATES)), [0] * STATES
+            for entry in range(STATES):
+                state, count = states[entry], 0
+                for kind in kinds[start:stop]:
+                    if kind == state:
+                        count += state == 0
+                        state = state + 1 if state + 1 < STATES else 0
+                states[entry], opened[entry] = state, opened[entry] + count
+        yield pd.DataFrame(done, columns=[*SPLIT, "leaves", "opens"])
+    yield pd.DataFrame(closed(), columns=[*SPLIT, "leaves", "opens"])
+
+
+def _entry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per split, in file order: the state it is entered in and the records opened before it."""
+    current, state, opened = None, 0, 0
+    for batch in batches:
+        entered, before = [], []
+        for session, file, leaves, opens in zip(batch["session_id"], batch["file"], batch["leaves"], batch["opens"]):
+            if (session, file) != current:
+                current, state, opened = (session, file), 0, 0
+            entered.append(state)
+            before.append(opened)
+            state, opened = int(leaves[state]), opened + int(opens[state])
+        yield batch[SPLIT].assign(state=entered, opened=before)
+
+
+def _accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tokens that take part in a record, numbered by record. A split starts with its entry row."""
+    state, record = 0, 0
+    for batch in batches:
+        kept, records = [], []
+        for at, (kind, entered, opened) in enumerate(zip(batch["kind"], batch["state"], batch["opened"])):
+            if kind < 0:
+                state, record = int(entered), int(opened)
+            elif kind == state:
+                record += state == 0
+                kept.append(at)
+                records.append(record)
+                state = state + 1 if state + 1 < STATES else 0
+        yield batch.iloc[kept][["session_id", "file", "kind", "token"]].assign(
+            record_no=np.asarray(records, dtype="int64")
+        )
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each key whole in one partition, in order: the sort is Spark's, and tasks stream through it."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def parse_imu_records(lines: DataFrame, require_nonempty: bool = False) -> DataFrame:
     """``session_id, file, record_no`` and the 27 fields of each complete record, as text."""
-    split = ["session_id", "file", "block_start"]
     tokens = _tokens(lines)
-    functions = tokens.select(*split, "mid", "place", "kind").groupBy(*split).applyInPandas(
-        _split_function,
+    functions = _in_order(tokens.select(*SPLIT, "mid", "place", "kind"), SPLIT, ["mid", "place"]).mapInPandas(
+        _split_functions,
         "session_id string, file string, block_start long, leaves array<int>, opens array<long>",
     )
-    entries = functions.groupBy("session_id", "file").applyInPandas(
-        _compose, "session_id string, file string, block_start long, state int, opened long"
+    entries = _in_order(functions, ["session_id", "file"], ["block_start"]).mapInPandas(
+        _entry_states, "session_id string, file string, block_start long, state int, opened long"
+    )
+    # The entry state travels as a row ahead of its split's tokens, which saves a join.
+    first = entries.select(
+        *SPLIT, F.lit(-1).cast("long").alias("mid"), F.lit(0).alias("place"), F.lit("").alias("token"),
+        F.lit(-1).alias("kind"), "state", "opened",
     )
-    accepted = tokens.join(entries, split).groupBy(*split).applyInPandas(
-        _accept, "session_id string, file string, kind int, token string, record_no long"
+    led = tokens.withColumns({"state": F.lit(0), "opened": F.lit(0).cast("long")}).unionByName(first)
+    accepted = _in_order(led, SPLIT, ["mid", "place"]).mapInPandas(
+        _accepted, "session_id string, file string, kind int, token string, record_no long"
     )
     slots = [F.max(F.when(F.col("kind") == k, F.col("token"))).alias(f"_{k}") for k in range(STATES)]
     whole = (
