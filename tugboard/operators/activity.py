@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
 from tugboard.functions.cells import bar, padded_bar, per_minute, share_percent
 from tugboard.operators.grid import merged_runs
-from tugboard.operators.roster import change_counts, param_change_counts, session_bounds, user_change_counts, users_by_params
+from tugboard.operators.roster import (
+    change_counts,
+    param_change_counts,
+    session_bounds,
+    user_change_counts,
+    user_totals,
+    users_by_params,
+)
 from tugboard.plans.ordered import order_groups
 
 USER = ["session_id", "user"]
@@ -19,6 +26,7 @@ def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
 
     Owned ticks times the resolution: the run lengths are added up, no tick is ever spelled out.
     """
+    counts = change_counts(events, keep=True)
     owned = (
         merged_runs(events, settings, settings.shared_params)
         .groupBy("session_id", "param", F.col("owner").alias("user"))
@@ -26,7 +34,7 @@ def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
     )
     seconds = F.coalesce("ticks", F.lit(0)) * F.lit(settings.tick)
     return (
-        users_by_params(change_counts(events), settings.shared_params)
+        users_by_params(counts, settings.shared_params)
         .join(owned, ["session_id", "param", "user"], "left")
         .join(session_bounds(events, settings).select("session_id", "duration"), "session_id")
         .select(
@@ -39,63 +47,55 @@ def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
     )
 
 
-def _user_times(events: DataFrame, settings: PanelSettings) -> DataFrame:
-    """Per user: changes, first and last time, largest gap and number of long gaps.
+def _gaps(events: DataFrame, settings: PanelSettings) -> DataFrame:
+    """Per user with more than one instant: the largest gap and the number of long gaps.
 
-    Changes of one instant have no gap between them, so each instant is kept once, with its count,
-    before anything is put in order. The mean gap needs no order: it is the span over the number of
-    gaps.
+    Changes of one instant have no gap between them, so each instant is kept once before anything
+    is put in order.
     """
-    instants = events.groupBy(*USER, "time_sec").agg(F.count(F.lit(1)).alias("n"))
-    ordered = order_groups(instants, USER, ["time_sec"], settings, size_bound=events)
+    instants = events.select(*USER, "time_sec").distinct()
+    ordered = order_groups(instants, USER, ["time_sec"], settings, change_counts(events, keep=True))
     gap = F.col("time_sec") - F.col("before")
     return (
         ordered.previous(before="time_sec").done()
-        .withColumn("gap", gap)
+        .select(*USER, gap.alias("gap"))
         .groupBy(*USER)
-        .agg(
-            F.sum("n").alias("total_changes"),
-            F.min("time_sec").alias("first_action_time"),
-            F.max("time_sec").alias("last_action_time"),
-            F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_inactivity_gap"),
-            F.count_if(F.col("gap") > settings.long_gap).alias("long_inactivity_periods"),
-        )
+        .agg(F.max("gap").alias("largest"), F.count_if(F.col("gap") > settings.long_gap).alias("long"))
     )
 
 
-def _mean_gap() -> Column:
+def _with_gaps(users: DataFrame, events: DataFrame, settings: PanelSettings) -> DataFrame:
+    # The mean gap needs no order: it is the span over the number of gaps.
     span = F.col("last_action_time") - F.col("first_action_time")
-    return F.coalesce(F.try_divide(span, F.col("total_changes") - 1), F.lit(0.0))
+    return users.join(_gaps(events, settings), USER).withColumns({
+        "max_inactivity_gap": F.coalesce("largest", F.lit(0.0)),
+        "avg_gap_between_changes": F.coalesce(F.try_divide(span, F.col("total_changes") - 1), F.lit(0.0)),
+        "long_inactivity_periods": F.col("long"),
+    })
+
+
+def _with_span(users: DataFrame) -> DataFrame:
+    active = F.col("last_action_time") - F.col("first_action_time")
+    return users.withColumns({
+        "active_duration": active,
+        "activity_percentage": share_percent(active, F.col("duration")),
+    })
 
 
 def inactivity_gaps(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """Longest and mean gap between a user's changes, over all parameters, and the number of long ones."""
-    return _user_times(events, settings).select(
-        *USER, "max_inactivity_gap", _mean_gap().alias("avg_gap_between_changes"), "long_inactivity_periods"
+    return _with_gaps(user_totals(events), events, settings).select(
+        *USER, "max_inactivity_gap", "avg_gap_between_changes", "long_inactivity_periods"
     )
 
 
-def activity_span(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
+def activity_span(events: DataFrame) -> DataFrame:
     """First and last action of each user, the time between, and its percent of the session."""
-    spans = events.groupBy(*USER).agg(
-        F.min("time_sec").alias("first_action_time"), F.max("time_sec").alias("last_action_time")
-    )
-    return _with_session_span(spans).select(
+    return _with_span(user_totals(events)).select(
         *USER, "first_action_time", "last_action_time", "active_duration", "activity_percentage"
     )
 
 
-def _with_session_span(users: DataFrame) -> DataFrame:
-    session = users.groupBy("session_id").agg(
-        (F.max("last_action_time") - F.min("first_action_time")).alias("duration")
-    )
-    active = F.col("last_action_time") - F.col("first_action_time")
-    return users.join(session, "session_id").withColumns({
-        "active_duration": active,
-        "activity_percentage": share_percent(active, F.col("duration")),
-    })
-
-
 def user_activity(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The full record of each user, with maps parameter -> changes and parameter -> seconds in control."""
     def as_map(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -106,7 +106,7 @@ def user_activity(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Data
     changes = as_map(param_change_counts(events), "changes", "param_changes")
     control = as_map(time_in_control(events, settings), "control_seconds", "time_in_control")
     return (
-        _with_session_span(_user_times(events, settings))
+        _with_span(_with_gaps(user_totals(events), events, settings))
         .join(changes, USER)
         .join(control, USER, "left")
         .select(
@@ -116,7 +116,7 @@ def user_activity(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Data
             "param_changes",
             F.coalesce("time_in_control", F.create_map().cast("map<string,double>")).alias("time_in_control"),
             "max_inactivity_gap",
-            _mean_gap().alias("avg_gap_between_changes"),
+            "avg_gap_between_changes",
             "long_inactivity_periods",
             "first_action_time",
             "last_action_time",
@@ -126,9 +126,13 @@ def user_activity(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Data
     )
 
 
+def _user_counts(events: DataFrame, keep: bool = False) -> DataFrame:
+    return change_counts(events, keep).groupBy(*USER).agg(F.sum("changes").alias("total_changes"))
+
+
 def engagement_distribution(events: DataFrame) -> DataFrame:
     """Each user's share of all changes of the session, with its bar."""
-    counts = events.groupBy(*USER).agg(F.count(F.lit(1)).alias("total_changes"))
+    counts = _user_counts(events, keep=True)
     sessions = counts.groupBy("session_id").agg(F.sum("total_changes").alias("all_changes"))
     percent = share_percent(F.col("total_changes"), F.col("all_changes"))
     return counts.join(sessions, "session_id").select(
@@ -147,12 +151,11 @@ def _winner(rows: DataFrame, by: list[str], measure: str, keep: list[str]) -> Da
 
 
 def most_active_user(events: DataFrame) -> DataFrame:
-    counts = events.groupBy(*USER).agg(F.count(F.lit(1)).alias("total_changes"))
-    return _winner(counts, ["session_id"], "total_changes", ["total_changes"])
+    return _winner(_user_counts(events), ["session_id"], "total_changes", ["total_changes"])
 
 
-def most_responsive_user(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
-    rates = user_change_counts(events, settings)
+def most_responsive_user(events: DataFrame) -> DataFrame:
+    rates = user_change_counts(events)
     return _winner(rates, ["session_id"], "changes_per_minute", ["changes_per_minute"])
 
 

@@ -20,9 +20,9 @@ NO_DATA = "Insufficient data"
 SERIES = ["session_id", "user", "param"]
 
 
-def _step_measures(events: DataFrame, settings: PanelSettings) -> DataFrame:
+def _step_measures(events: DataFrame, counts: DataFrame, settings: PanelSettings) -> DataFrame:
     rows = events.select(*SERIES, "time_sec", *LINE, "value")
-    ordered = order_groups(rows, SERIES, ["time_sec", *LINE], settings, size_bound=events)
+    ordered = order_groups(rows, SERIES, ["time_sec", *LINE], settings, counts)
     steps = (
         ordered.previous(before="value")
         .whole(lowest=("min", "value"), highest=("max", "value"))
@@ -47,7 +47,8 @@ def carefulness(
     A step is small up to a tenth of the range the user covered. Without two values there is nothing
     to judge; without any variation all measures are 0.
     """
-    grid = users_by_params(change_counts(events))
+    counts = change_counts(events, keep=True)
+    grid = users_by_params(counts)
     if users is not None:
         chosen = F.col("user").isin(*users) if users else F.lit(False)
         grid, events = grid.where(chosen), events.where(chosen)
@@ -60,7 +61,7 @@ def carefulness(
         .otherwise(RECKLESS)
     )
     return (
-        grid.join(_step_measures(events, settings), SERIES, "left")
+        grid.join(_step_measures(events, counts, settings), SERIES, "left")
         .withColumn("careful_ratio", ratio)
         .select(*SERIES, "avg_step", "max_step", "careful_ratio", label.alias("behavior_type"))
     )

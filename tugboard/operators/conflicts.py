@@ -24,6 +24,7 @@ from tugboard.config import DEFAULTS, PanelSettings
 from tugboard.functions.cells import fixed
 from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
+from tugboard.operators.roster import change_counts
 from tugboard.plans.ordered import hot_groups, order_groups
 from tugboard.session import ensure_checkpoint_dir
 
@@ -47,7 +48,7 @@ def _instants(events: DataFrame, settings: PanelSettings) -> DataFrame:
 
 def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """The look-ahead window of every instant: running totals at its end less those at its start."""
-    ordered = order_groups(_instants(events, settings), SERIES, ["time_sec"], settings, size_bound=events)
+    ordered = order_groups(_instants(events, settings), SERIES, ["time_sec"], settings, change_counts(events, keep=True))
     seam = F.coalesce((F.col("user_before") != F.col("first_user")).cast("long"), F.lit(0))
     totals = (
         ordered.previous(user_before="last_user")
@@ -186,23 +187,19 @@ def _chain_walk(part: pd.DataFrame) -> pd.DataFrame:
     return ordered.loc[picked, [*SERIES, *WINDOW]]
 
 
-def _pick_by_chain(candidates: DataFrame, settings: PanelSettings) -> DataFrame:
+def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
     """For series with more candidates than one array should hold.
 
-    Candidates are numbered in time order, and each points to the first one after its window. The
+    Candidates are ranked in time order, and each points to the first one after its window. The
     picks are the chain that starts at number 1. The numbers are cut into parts; each part works out
     where a chain entering at any of its candidates leaves it. What remains is the chain from part to
     part, over the few candidates that chains enter at; it is followed by doubling, so the number of
     rounds is the logarithm of the number of parts. Last, each part walks its own stretch.
     """
-    spark = candidates.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranked = order_groups(candidates.withColumn("one", F.lit(1)), SERIES, ["start_time"], settings).running(
-        rank=("sum", "one")
-    ).done().drop("one")
+    window = "struct<end_time:double,num_changes:bigint,user_switches:bigint,start_time:double>"
     starts = ranked.select(
         *SERIES, F.col("start_time").alias("at"), F.lit(0).alias("asks"), F.col("rank").alias("asked_by"),
-        F.col("rank").alias("passed"), F.lit(None).cast("struct<end_time:double,num_changes:bigint,user_switches:bigint,start_time:double>").alias("window"),
+        F.col("rank").alias("passed"), F.lit(None).cast(window).alias("window"),
     )
     ends = ranked.select(
         *SERIES, F.col("end_time").alias("at"), F.lit(1).alias("asks"), F.col("rank").alias("asked_by"),
@@ -246,17 +243,19 @@ def _pick_by_chain(candidates: DataFrame, settings: PanelSettings) -> DataFrame:
 def picked_windows(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The greedily picked windows: disjoint, in time order."""
     candidates = conflict_candidates(events, settings)
-    if hot_groups(events, SERIES, settings.fold_rows) is None:
+    if hot_groups(change_counts(events, keep=True), SERIES, settings.fold_rows, "changes") is None:
         return _pick_by_fold(candidates)
     ensure_checkpoint_dir(events.sparkSession)
     candidates = candidates.checkpoint()
-    large = hot_groups(candidates, SERIES, settings.fold_rows)
-    if large is None:
+    if hot_groups(candidates, SERIES, settings.fold_rows) is None:
         return _pick_by_fold(candidates)
-    marked = F.broadcast(large.select(*SERIES))
-    small = candidates.join(marked, SERIES, "left_anti")
-    return _pick_by_fold(small).unionByName(
-        _pick_by_chain(candidates.join(marked, SERIES, "left_semi"), settings)
+    ranked = (
+        order_groups(candidates.withColumn("one", F.lit(1)), SERIES, ["start_time"], settings)
+        .running(rank=("sum", "one")).whole(in_series=("sum", "one")).done().drop("one").checkpoint()
+    )
+    is_long = F.col("in_series") > settings.fold_rows
+    return _pick_by_fold(ranked.where(~is_long)).unionByName(
+        _pick_by_chain(ranked.where(is_long).drop("in_series"), settings)
     )
 
 

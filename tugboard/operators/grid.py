@@ -20,20 +20,16 @@ from tugboard.plans.joins import attach_facts
 GRID = ("t_min", "step", "n_ticks")
 
 
+def _roster(events: DataFrame, settings: PanelSettings) -> tuple[DataFrame, DataFrame]:
+    counts = change_counts(events, keep=True)
+    return counts, session_bounds(events, settings)
+
+
 def _last_change_per_tick(
-    events: DataFrame,
-    chosen: DataFrame,
-    bounds: DataFrame,
-    keys: Sequence[str],
-    settings: PanelSettings,
+    events: DataFrame, bounds: DataFrame, keys: Sequence[str], settings: PanelSettings
 ) -> DataFrame:
     on_grid = attach_facts(
-        chosen,
-        bounds.select("session_id", *GRID),
-        ["session_id"],
-        ["param", "user", "mid", "time_sec"],
-        settings,
-        remember_on=events,
+        events, bounds.select("session_id", *GRID), ["session_id"], ["param", "user", "mid", "time_sec"], settings
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
     return (
         on_grid.where(F.col("lo") < F.col("n_ticks"))
@@ -89,13 +85,13 @@ def merged_runs(
 
     ``blank`` adds the ticks before the first change, without value or owner.
     """
-    bounds = session_bounds(events, settings)
+    counts, bounds = _roster(events, settings)
     keys = ("session_id", "param")
     chosen = _only(events, None, params)
-    changes = _last_change_per_tick(events, chosen, bounds, keys, settings)
+    changes = _last_change_per_tick(chosen, bounds, keys, settings)
     if not blank:
         return _runs(changes, keys)
-    series = chosen.select(*keys).distinct().join(bounds, "session_id")
+    series = _only(counts, None, params).select(*keys).distinct().join(bounds, "session_id")
     return _with_blank_start(changes, series, keys)
 
 
@@ -106,10 +102,10 @@ def user_runs(
     params: Sequence[str] | None = None,
 ) -> DataFrame:
     """The same per user: the value each user set last, for every user and parameter of the session."""
-    bounds = session_bounds(events, settings)
+    counts, bounds = _roster(events, settings)
     keys = ("session_id", "param", "user")
-    changes = _last_change_per_tick(events, _only(events, users, params), bounds, keys, settings)
-    series = _only(users_by_params(change_counts(events)), users, params).join(bounds, "session_id")
+    changes = _last_change_per_tick(_only(events, users, params), bounds, keys, settings)
+    series = _only(users_by_params(counts), users, params).join(bounds, "session_id")
     return _with_blank_start(changes, series, keys).drop("owner")
 
 
@@ -177,15 +173,15 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     The pivot works on the reduced changes. The columns are filled forward there, and the ticks are
     spelled out last.
     """
-    bounds = session_bounds(events, settings)
-    per_user = _last_change_per_tick(events, events, bounds, ("session_id", "param", "user"), settings)
+    counts, bounds = _roster(events, settings)
+    per_user = _last_change_per_tick(events, bounds, ("session_id", "param", "user"), settings)
     cells = [
         F.max(F.when(F.col("user") == u, F.struct(F.col("last.value").alias("value")))).alias(f"user_{u}")
         for u in users
     ]
     keys = ("session_id", "param")
     changed = per_user.groupBy(*keys, *GRID, "lo").agg(*cells)
-    origin = events.select(*keys).distinct().join(bounds, "session_id").select(
+    origin = counts.select(*keys).distinct().join(bounds, "session_id").select(
         *keys, *GRID, F.lit(-1).cast("long").alias("lo"), *[F.lit(None).alias(f"user_{u}") for u in users]
     )
     along = Window.partitionBy(*keys).orderBy("lo")

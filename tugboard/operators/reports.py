@@ -19,7 +19,7 @@ from tugboard.operators.activity import (
     user_activity,
 )
 from tugboard.operators.carefulness import NO_DATA, carefulness, summarise_carefulness
-from tugboard.operators.roster import param_change_counts, session_bounds
+from tugboard.operators.roster import change_counts, param_change_counts, session_bounds
 
 SERIES = ["session_id", "user", "param"]
 
@@ -27,7 +27,8 @@ SERIES = ["session_id", "user", "param"]
 def session_overview(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """Duration in seconds and minutes, and the parameters of each session in name order."""
     # One name per parameter of the session.
-    names = events.select("session_id", "param").distinct().groupBy("session_id").agg(
+    counts = change_counts(events, keep=True)
+    names = counts.select("session_id", "param").distinct().groupBy("session_id").agg(
         F.array_join(F.array_sort(F.collect_list(title_case(F.col("param")))), ", ").alias("params")
     )
     return session_bounds(events, settings).join(names, "session_id").select(
@@ -87,7 +88,7 @@ def comparative_report(events: DataFrame, settings: PanelSettings = DEFAULTS) ->
     active = most_active_user(events).select(
         "session_id", F.col("user").alias("most_active_user"), F.col("total_changes").alias("most_changes")
     )
-    responsive = most_responsive_user(events, settings).select(
+    responsive = most_responsive_user(events).select(
         "session_id",
         F.col("user").alias("most_responsive_user"),
         F.col("changes_per_minute").alias("best_rate"),

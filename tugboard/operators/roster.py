@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
 from tugboard.functions.cells import per_minute, share_percent
 from tugboard.functions.clock import tick_count, tick_step
+from tugboard.plans.memo import recall, remembered
+from tugboard.session import ensure_checkpoint_dir
+
+SERIES = ["session_id", "user", "param"]
+
+
+def change_counts(events: DataFrame, keep: bool = False) -> DataFrame:
+    """Number, first and last time of the changes of each (session, user, parameter) that occurs.
+
+    One pass over four columns of the events, combined before the shuffle. Session bounds, users,
+    parameters and all coarser counts are made from this small table, and the sizes that decide how
+    groups are laid out. ``keep`` writes it to the checkpoint folder, once per ``events`` frame, for
+    operators that use it several times.
+    """
+    kept = recall(events, "change_counts")
+    if kept is not None:
+        return kept
+    counts = events.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("changes"),
+        F.min("time_sec").alias("first_time"),
+        F.max("time_sec").alias("last_time"),
+    )
+    if not keep:
+        return counts
+    ensure_checkpoint_dir(events.sparkSession)
+    return remembered(events, "change_counts", counts.checkpoint)
 
 
 def session_bounds(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
@@ -15,7 +43,9 @@ def session_bounds(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Dat
 
     The grid is half open, so the last event normally lies beyond it; with one instant it is empty.
     """
-    span = events.groupBy("session_id").agg(F.min("time_sec").alias("t_min"), F.max("time_sec").alias("t_max"))
+    span = change_counts(events).groupBy("session_id").agg(
+        F.min("first_time").alias("t_min"), F.max("last_time").alias("t_max")
+    )
     return span.select(
         "session_id",
         "t_min",
@@ -26,25 +56,20 @@ def session_bounds(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Dat
     )
 
 
-def change_counts(events: DataFrame) -> DataFrame:
-    """Changes per (session, user, parameter) that occurs; all coarser counts are made from this."""
-    return events.groupBy("session_id", "user", "param").agg(F.count(F.lit(1)).alias("changes"))
-
-
 def distinct_users(events: DataFrame) -> DataFrame:
     return events.select("session_id", "user").distinct()
 
 
 def distinct_params(events: DataFrame) -> DataFrame:
     """The parameters of each session, numbered in the order of their first change."""
-    first = events.groupBy("session_id", "param").agg(
-        F.min(F.struct("time_sec", "user")).alias("seen")
+    first = change_counts(events).groupBy("session_id", "param").agg(
+        F.min(F.struct("first_time", "user")).alias("seen")
     )
     order = Window.partitionBy("session_id").orderBy("seen", "param")
     return first.select(
         "session_id",
         "param",
-        F.col("seen.time_sec").alias("first_time"),
+        "seen.first_time",
         F.row_number().over(order).cast("long").alias("position"),
     )
 
@@ -58,7 +83,7 @@ def parse_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def users_by_params(counts: DataFrame, params: tuple[str, ...] | None = None) -> DataFrame:
+def users_by_params(counts: DataFrame, params: Sequence[str] | None = None) -> DataFrame:
     """Every user of a session with every parameter of that session, also where there is no change."""
     users = counts.select("session_id", "user").distinct()
     listed = counts.select("session_id", "param").distinct()
@@ -67,16 +92,20 @@ def users_by_params(counts: DataFrame, params: tuple[str, ...] | None = None) ->
     return users.join(listed, "session_id")
 
 
-def user_change_counts(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
-    """Changes per user and their rate per minute of the whole session."""
-    totals = events.groupBy("session_id", "user").agg(
-        F.count(F.lit(1)).alias("total_changes"),
-        F.min("time_sec").alias("first"),
-        F.max("time_sec").alias("last"),
+def user_totals(events: DataFrame) -> DataFrame:
+    """Changes, first and last action of each user, with the duration of the session."""
+    users = change_counts(events, keep=True).groupBy("session_id", "user").agg(
+        F.sum("changes").alias("total_changes"),
+        F.min("first_time").alias("first_action_time"),
+        F.max("last_time").alias("last_action_time"),
     )
-    # The session's bounds follow from the users' own, so the events are read once.
-    span = totals.groupBy("session_id").agg((F.max("last") - F.min("first")).alias("duration"))
-    return totals.join(span, "session_id").select(
+    sessions = session_bounds(events).select("session_id", "duration")
+    return users.join(sessions, "session_id")
+
+
+def user_change_counts(events: DataFrame) -> DataFrame:
+    """Changes per user and their rate per minute of the whole session."""
+    return user_totals(events).select(
         "session_id",
         "user",
         "total_changes",
@@ -86,17 +115,12 @@ def user_change_counts(events: DataFrame, settings: PanelSettings = DEFAULTS) ->
 
 def param_change_counts(events: DataFrame) -> DataFrame:
     """Changes per user and parameter, zeros included, and their share of the user's changes."""
-    counts = change_counts(events)
+    counts = change_counts(events, keep=True).select(*SERIES, "changes")
     totals = counts.groupBy("session_id", "user").agg(F.sum("changes").alias("total"))
+    changes = F.coalesce("changes", F.lit(0))
     return (
         users_by_params(counts)
-        .join(counts, ["session_id", "user", "param"], "left")
+        .join(counts, SERIES, "left")
         .join(totals, ["session_id", "user"])
-        .select(
-            "session_id",
-            "user",
-            "param",
-            F.coalesce("changes", F.lit(0)).alias("changes"),
-            share_percent(F.coalesce("changes", F.lit(0)), F.col("total")).alias("share_percent"),
-        )
+        .select(*SERIES, changes.alias("changes"), share_percent(changes, F.col("total")).alias("share_percent"))
     )

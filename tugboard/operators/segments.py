@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, LINE, PanelSettings
+from tugboard.operators.roster import change_counts
 from tugboard.plans.ordered import order_groups
 
 
@@ -16,7 +17,7 @@ def change_segments(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
     """
     keys = ["session_id", "user", "param"]
     ordered = order_groups(
-        events.select(*keys, "time", *LINE, "value"), keys, ["time", *LINE], settings, size_bound=events
+        events.select(*keys, "time", *LINE, "value"), keys, ["time", *LINE], settings, change_counts(events)
     )
     return (
         ordered.previous(start_time="time", from_value="value").done()

@@ -11,14 +11,10 @@ from tugboard.config import PanelSettings
 from tugboard.plans.memo import remembered
 
 
-def fits_broadcast(facts: DataFrame, settings: PanelSettings, remember_on: DataFrame | None = None) -> bool:
+def fits_broadcast(facts: DataFrame, settings: PanelSettings) -> bool:
     """Counts at most ``broadcast_rows + 1`` rows, so the check itself stays cheap."""
     limit = settings.broadcast_rows
-    return remembered(
-        facts if remember_on is None else remember_on,
-        ("fits_broadcast", *facts.columns, limit),
-        lambda: facts.limit(limit + 1).count() <= limit,
-    )
+    return remembered(facts, ("fits_broadcast", limit), lambda: facts.limit(limit + 1).count() <= limit)
 
 
 def attach_facts(
@@ -27,16 +23,14 @@ def attach_facts(
     on: Sequence[str],
     salt_by: Sequence[str],
     settings: PanelSettings,
-    remember_on: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` with one-row-per-key ``facts``.
 
     Facts of a checked size are broadcast, so the rows never move. Beyond that both sides shuffle on
     the key *and* a salt: a key that holds a third of all rows lands on ``fan_out`` tasks, not one,
-    and a later aggregation cannot inherit a partitioning on the bare key. ``remember_on`` is the
-    frame the facts come from; the size check is then made once per such frame.
+    and a later aggregation cannot inherit a partitioning on the bare key.
     """
-    if fits_broadcast(facts, settings, remember_on):
+    if fits_broadcast(facts, settings):
         return rows.join(F.broadcast(facts), list(on))
     salts = F.sequence(F.lit(0), F.lit(settings.fan_out - 1))
     salted_facts = facts.withColumn("_salt", F.explode(salts))

@@ -1,4 +1,4 @@
-"""Size checks made once per frame, although many operators of one report ask for them."""
+"""What is computed once per frame, although many operators of one report ask for it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 T = TypeVar("T")
 
-# Frames are immutable, and only sizes and small key lists are kept, as long as the frame lives.
+# Frames are immutable. Only sizes and handles of small tables are kept, as long as the frame lives.
 _known: WeakKeyDictionary[DataFrame, dict[Hashable, object]] = WeakKeyDictionary()
 
 
@@ -19,3 +19,7 @@ def remembered(frame: DataFrame, what: Hashable, compute: Callable[[], T]) -> T:
     if what not in facts:
         facts[what] = compute()
     return facts[what]
+
+
+def recall(frame: DataFrame, what: Hashable):
+    return _known.get(frame, {}).get(what)

@@ -37,12 +37,18 @@ def _combine(kind: str, mine: Column, before: Column) -> Column:
     return F.greatest(mine, before) if kind == "max" else F.least(mine, before)
 
 
-def hot_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """The groups with more than ``limit`` rows, at most MAX_HOT_GROUPS, or None."""
+def hot_groups(
+    rows: DataFrame, keys: Sequence[str], limit: int, weight: str | None = None
+) -> DataFrame | None:
+    """The groups with more than ``limit`` rows, at most MAX_HOT_GROUPS, or None.
+
+    With ``weight`` the rows are counts already, and that column is summed.
+    """
     def find() -> DataFrame | None:
+        size = F.count(F.lit(1)) if weight is None else F.sum(weight)
         found = (
             rows.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_rows"))
+            .agg(size.alias("_rows"))
             .where(F.col("_rows") > limit)
             .orderBy(F.desc("_rows"), *keys)
             .limit(MAX_HOT_GROUPS)
@@ -50,7 +56,7 @@ def hot_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame |
         listed = found.collect()
         return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
 
-    return remembered(rows, ("hot_groups", *keys, limit), find)
+    return remembered(rows, ("hot_groups", *keys, limit, weight), find)
 
 
 @dataclass(frozen=True)
@@ -160,16 +166,16 @@ def order_groups(
     keys: Sequence[str],
     order: Sequence[str],
     settings: PanelSettings,
-    size_bound: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> OrderedGroups:
     """Lay ``rows`` out by ``keys``, ordered by ``order`` (which must be total within a group).
 
-    ``size_bound`` may name a cheaper frame whose groups are at least as large; ``rows`` themselves
-    are then counted only if one of its groups is hot.
+    ``counts`` may be a small table whose ``changes`` add up, per group, to at least the rows of that
+    group; ``rows`` themselves are then counted only if such a sum is hot.
     """
     keys, order = tuple(keys), tuple(order)
     hot = None
-    if size_bound is None or hot_groups(size_bound, keys, settings.hot_rows) is not None:
+    if counts is None or hot_groups(counts, keys, settings.hot_rows, "changes") is not None:
         hot = hot_groups(rows, keys, settings.hot_rows)
     if hot is None:
         return OrderedGroups(rows, keys, order, sliced=False)

@@ -28,23 +28,28 @@ def read_control_logs(
 
 
 def _matched(lines: DataFrame, pattern: str) -> DataFrame:
-    def group(number: int) -> Column:
-        return F.regexp_extract("line", pattern, number)
+    """The four groups of the first hit of each line that has one.
 
+    One replacement fetches all groups, so the expression runs once per line. It sits in a generator
+    because a filter on its result would otherwise be pushed below it and run it again.
+    """
+    flags, bare = pattern[:5], pattern[5:]
+    groups = F.split(F.regexp_replace("line", f"{flags}^.*?{bare}.*$", "$1\n$2\n$3\n$4"), "\n")
     name = F.element_at(F.split("file", "/"), -1)
-    written_by = F.expr("try_cast(file_user as int)")
-    named = F.expr("try_cast(user_text as int)")
-    return (
-        lines.withColumns({
-            "time": group(1),
-            "user_text": group(2),
-            "param_text": F.trim(group(3)),
-            "value_text": group(4),
-            "file_user": F.regexp_extract(name, USER_IN_NAME, 1),
-        })
-        .where(F.col("time") != "")
-        .withColumn("user", F.when(F.col("user_text") != "", named).otherwise(written_by))
-        .withColumn("value", F.expr("try_cast(value_text as double)"))
+    hits = lines.select("*", F.explode(F.array(groups)).alias("groups")).where(F.size("groups") == 4)
+    return hits.select(
+        "session_id",
+        *LINE,
+        "line",
+        F.col("groups")[0].alias("time"),
+        F.col("groups")[1].alias("user_text"),
+        F.trim(F.col("groups")[2]).alias("param_text"),
+        F.col("groups")[3].alias("value_text"),
+        F.regexp_extract(name, USER_IN_NAME, 1).alias("file_user"),
+    ).select(
+        "*",
+        F.expr("try_cast(if(user_text != '', user_text, file_user) as int)").alias("user"),
+        F.expr("try_cast(value_text as double)").alias("value"),
     )
 
 

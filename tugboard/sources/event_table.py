@@ -16,7 +16,7 @@ SEATS = 4
 
 def read_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    panel = F.floor(F.col("user_id") / SEATS).cast("string")
+    panel = F.expr(f"cast(user_id div {SEATS} as string)")
     return (
         raw.where(F.col("value").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
         .withColumns({

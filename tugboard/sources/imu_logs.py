@@ -171,13 +171,20 @@ def parse_imu_records(lines: DataFrame, require_nonempty: bool = False) -> DataF
         accepted.groupBy("session_id", "file", "record_no").agg(*slots)
         .where(F.col(f"_{STATES - 1}").isNotNull())
     )
-    fields = [F.col("_0").alias("time")]
-    for state, (sensor, pattern) in enumerate(SENSORS.items(), start=1):
-        fields += [
-            F.regexp_extract(F.col(f"_{state}"), pattern, number).alias(name)
-            for number, (name, _) in enumerate(_columns_of(sensor), start=1)
-        ]
-    records = whole.select("session_id", "file", "record_no", *fields)
+    # A reading holds its numbers in column order and nothing else of their alphabet.
+    numbers = {
+        sensor: F.regexp_extract_all(F.col(f"_{state}"), F.lit(_NUMBER), F.lit(1))
+        for state, sensor in enumerate(SENSORS, start=1)
+    }
+    whole = whole.select("session_id", "file", "record_no", F.col("_0").alias("time"), *[
+        found.alias(sensor) for sensor, found in numbers.items()
+    ])
+    fields = [
+        F.col(sensor)[place].alias(name)
+        for sensor in SENSORS
+        for place, (name, _) in enumerate(_columns_of(sensor))
+    ]
+    records = whole.select("session_id", "file", "record_no", "time", *fields)
     return require_rows(records, "sensor records") if require_nonempty else records
 
 

@@ -14,7 +14,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
         "event_type",
-        F.concat(F.lit("panel-"), F.floor(F.col("user_id") / SEATS).cast("string")).alias("session_id"),
+        F.concat(F.lit("panel-"), F.expr(f"cast(user_id div {SEATS} as string)")).alias("session_id"),
         (F.col("user_id") % SEATS).cast("string").alias("user"),
         F.date_format("ts", "HH:mm:ss.SSSSSS").alias("time"),
         F.col("value").cast("string").alias("value"),
@@ -42,7 +42,7 @@ def control_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select(
         "session_id",
         F.concat(F.col("session_id"), F.lit("/User"), user, F.lit(".log")).alias("file"),
-        F.floor(F.col("event_id") / EVENTS_PER_BLOCK).alias("block_start"),
+        F.expr(f"event_id div {EVENTS_PER_BLOCK}").alias("block_start"),
         F.col("event_id").alias("mid"),
         text.alias("line"),
     )
@@ -73,7 +73,7 @@ def imu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select(
         "session_id",
         F.concat(F.col("session_id"), F.lit("/imu_log.txt")).alias("file"),
-        F.floor(number / EVENTS_PER_BLOCK).alias("block_start"),
+        F.expr(f"event_id div {EVENTS_PER_BLOCK}").alias("block_start"),
         number,
         F.posexplode(lines).alias("k", "line"),
     ).select("session_id", "file", "block_start", (F.col("event_id") * 8 + F.col("k")).alias("mid"), "line")

@@ -92,7 +92,7 @@ def queries() -> dict[str, Query]:
         "session_bounds": on(lambda e: roster.session_bounds(e, s)),
         "distinct_users": on(roster.distinct_users),
         "distinct_params": on(roster.distinct_params),
-        "user_change_counts": on(lambda e: roster.user_change_counts(e, s)),
+        "user_change_counts": on(roster.user_change_counts),
         "param_change_counts": on(roster.param_change_counts),
         # segments
         "change_segments": on(lambda e: segments.change_segments(e, s)),
@@ -105,12 +105,12 @@ def queries() -> dict[str, Query]:
         # activity
         "time_in_control": on(lambda e: activity.time_in_control(e, s)),
         "inactivity_gaps": on(lambda e: activity.inactivity_gaps(e, s)),
-        "activity_span": on(lambda e: activity.activity_span(e, s)),
+        "activity_span": on(activity.activity_span),
         "user_activity": on(lambda e: _maps_as_text(activity.user_activity(e, s))),
         "engagement_distribution": on(activity.engagement_distribution),
         "most_active_user": on(activity.most_active_user),
         "most_dominant_user": on(lambda e: activity.most_dominant_user(e, s)),
-        "most_responsive_user": on(lambda e: activity.most_responsive_user(e, s)),
+        "most_responsive_user": on(activity.most_responsive_user),
         # carefulness
         "carefulness": on(lambda e: carefulness.carefulness(e, s)),
         "carefulness_summary": on(lambda e: carefulness.carefulness_summary(e, s)),
