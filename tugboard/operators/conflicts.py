@@ -25,10 +25,11 @@ from tugboard.functions.cells import fixed
 from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import change_counts
-from tugboard.plans.ordered import hot_groups, order_groups
+from tugboard.plans.ordered import OrderedGroups, hot_groups, order_groups, slice_rows
 from tugboard.session import ensure_checkpoint_dir
 
 SERIES = ["session_id", "param"]
+_REACHED = [*SERIES, "time_sec", "n_before", "turns_before", "end_time", "n_end", "turns_end"]
 WINDOW = ["start_time", "end_time", "num_changes", "user_switches"]
 
 
@@ -60,18 +61,18 @@ def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
         "turns_before": F.col("turn_sum") - F.col("inner_turns"),
         "until": F.col("time_sec") + F.lit(settings.conflict_window),
     }
-    if not ordered.sliced:
-        ahead = (
-            f"over (partition by {', '.join(SERIES)} order by time_sec "
-            f"range between unbounded preceding and {settings.conflict_window!r}D following)"
-        )
-        reached = totals.frame.withColumns(opening).withColumns({
-            "end_time": F.expr(f"max(time_sec) {ahead}"),
-            "n_end": F.expr(f"max(n_sum) {ahead}"),
-            "turns_end": F.expr(f"max(turn_sum) {ahead}"),
-        })
-    else:
-        reached = _look_ahead(totals.done().withColumns(opening), settings)
+    ahead = (
+        f"over (partition by {', '.join(SERIES)} order by time_sec "
+        f"range between unbounded preceding and {settings.conflict_window!r}D following)"
+    )
+    asked = totals.derive(**opening)
+    reached = asked.small().withColumns({
+        "end_time": F.expr(f"max(time_sec) {ahead}"),
+        "n_end": F.expr(f"max(n_sum) {ahead}"),
+        "turns_end": F.expr(f"max(turn_sum) {ahead}"),
+    }).select(*_REACHED)
+    if asked.sliced:
+        reached = reached.unionByName(_look_ahead(asked.large(), settings).select(*_REACHED))
     return reached.select(
         *SERIES,
         F.col("time_sec").alias("start_time"),
@@ -87,21 +88,29 @@ def _look_ahead(instants: DataFrame, settings: PanelSettings) -> DataFrame:
     A range frame would have to cross slices. Instead each instant also asks a question, placed at
     its ``until`` right after the instants of that time; the running maximum there is the answer.
     """
-    steps = instants.select(
-        *SERIES, F.col("time_sec").alias("at"), F.lit(0).alias("asks"), F.col("time_sec").alias("asked_by"),
-        F.col("time_sec").alias("end_time"), F.col("n_sum").alias("n_end"), F.col("turn_sum").alias("turns_end"),
-        F.lit(None).cast("long").alias("n_before"), F.lit(None).cast("long").alias("turns_before"),
-    )
-    nothing = F.lit(None)
-    questions = instants.select(
-        *SERIES, F.col("until").alias("at"), F.lit(1).alias("asks"), F.col("time_sec").alias("asked_by"),
-        nothing.cast("double").alias("end_time"), nothing.cast("long").alias("n_end"),
-        nothing.cast("long").alias("turns_end"), "n_before", "turns_before",
-    )
-    answered = order_groups(steps.unionByName(questions), SERIES, ["at", "asks", "asked_by"], settings).running(
+    def steps(at: str, asks: int, answers: bool) -> DataFrame:
+        def only(shown: bool, source: str, kind: str) -> Column:
+            return F.col(source) if shown else F.lit(None).cast(kind)
+
+        return instants.select(
+            *SERIES,
+            F.col(at).alias("at"),
+            F.lit(asks).alias("asks"),
+            "time_sec",
+            only(answers, "time_sec", "double").alias("end_time"),
+            only(answers, "n_sum", "long").alias("n_end"),
+            only(answers, "turn_sum", "long").alias("turns_end"),
+            only(not answers, "n_before", "long").alias("n_before"),
+            only(not answers, "turns_before", "long").alias("turns_before"),
+        )
+
+    instants = instants.checkpoint()
+    order = ["at", "asks", "time_sec"]
+    both = steps("time_sec", 0, True).unionByName(steps("until", 1, False))
+    sliced = slice_rows(both, SERIES, order, 2 * instants.count(), settings)
+    return OrderedGroups(sliced, tuple(SERIES), tuple(order), sliced=True).running(
         end_time=("max", "end_time"), n_end=("max", "n_end"), turns_end=("max", "turns_end")
-    )
-    return answered.done().where(F.col("asks") == 1).withColumn("time_sec", F.col("asked_by"))
+    ).done().where(F.col("asks") == 1)
 
 
 def conflict_candidates(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:

@@ -157,10 +157,30 @@ class OrderedGroups:
         """Adds columns computed row by row."""
         return replace(self, frame=self.frame.withColumns(columns))
 
+    def small(self) -> DataFrame:
+        """The rows of groups that are not sliced."""
+        return self.frame.where(F.col(SLICE) < 0).drop(SLICE) if self.sliced else self.frame
+
+    def large(self) -> DataFrame:
+        """The rows of sliced groups."""
+        return self.frame.where(F.col(SLICE) >= 0).drop(SLICE)
+
     def done(self) -> DataFrame:
         return self.frame.drop(SLICE)
 
 
+def slice_rows(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], total: int, settings: PanelSettings
+) -> DataFrame:
+    """``rows`` range-partitioned on (keys, order) and written down, with the number of their slice.
+
+    ``total`` is roughly how many there are. Only groups that are large should come here.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    slices = min(MAX_SLICES, max(2, math.ceil(total / settings.slice_rows)))
+    return rows.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+
+
 def order_groups(
     rows: DataFrame,
     keys: Sequence[str],
@@ -171,24 +191,20 @@ def order_groups(
     """Lay ``rows`` out by ``keys``, ordered by ``order`` (which must be total within a group).
 
     ``counts`` may be a small table whose ``changes`` add up, per group, to at least the rows of that
-    group; ``rows`` themselves are then counted only if such a sum is hot.
+    group; the rows need not be counted then.
     """
     keys, order = tuple(keys), tuple(order)
-    hot = None
-    if counts is None or hot_groups(counts, keys, settings.hot_rows, "changes") is not None:
+    if counts is None:
         hot = hot_groups(rows, keys, settings.hot_rows)
+    else:
+        hot = hot_groups(counts, keys, settings.hot_rows, "changes")
     if hot is None:
         return OrderedGroups(rows, keys, order, sliced=False)
 
-    ensure_checkpoint_dir(rows.sparkSession)
-    total = hot.agg(F.sum("_rows")).first()[0]
-    slices = min(MAX_SLICES, max(2, math.ceil(total / settings.slice_rows)))
+    # At most MAX_HOT_GROUPS keys. Where rows are an aggregate by the same keys, the optimizer moves
+    # both joins below it, so each row is aggregated on one side only.
     marked = F.broadcast(hot.select(*keys))
-    cut = (
-        rows.join(marked, list(keys), "left_semi")
-        .repartitionByRange(slices, *keys, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
+    total = hot.agg(F.sum("_rows")).first()[0]
+    cut = slice_rows(rows.join(marked, list(keys), "left_semi"), keys, order, total, settings)
     rest = rows.join(marked, list(keys), "left_anti").withColumn(SLICE, F.lit(-1))
     return OrderedGroups(rest.unionByName(cut), keys, order, sliced=True)
