@@ -70,6 +70,6 @@ def test_slices_split_a_hot_instant(rows):
 def test_salted_join_equals_broadcast(spark, rows):
     _, frame = rows
     facts = frame.groupBy("k").count()
-    wide = attach_facts(frame, facts, ["k"], ["id"], PanelSettings())
-    salted = attach_facts(frame, facts, ["k"], ["id"], PanelSettings(broadcast_rows=1, fan_out=8))
+    wide = attach_facts(frame, facts, ["k"], ["id"], 4, PanelSettings())
+    salted = attach_facts(frame, facts, ["k"], ["id"], 4, PanelSettings(broadcast_rows=3, fan_out=8))
     assert sorted(wide.collect(), key=str) == sorted(salted.select(*wide.columns).collect(), key=str)

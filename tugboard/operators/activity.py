@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
@@ -10,7 +10,6 @@ from tugboard.functions.cells import bar, padded_bar, per_minute, share_percent
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import (
     change_counts,
-    param_change_counts,
     session_bounds,
     user_change_counts,
     user_totals,
@@ -19,23 +18,31 @@ from tugboard.operators.roster import (
 from tugboard.plans.ordered import order_groups
 
 USER = ["session_id", "user"]
+SERIES = [*USER, "param"]
 
 
-def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
-    """Seconds each user owned each shared parameter, zeros included, and percent of the session.
-
-    Owned ticks times the resolution: the run lengths are added up, no tick is ever spelled out.
-    """
-    counts = change_counts(events, keep=True)
-    owned = (
+def owned_ticks(events: DataFrame, settings: PanelSettings) -> DataFrame:
+    """Ticks under each owner of a shared parameter: run lengths added up, no tick spelled out."""
+    return (
         merged_runs(events, settings, settings.shared_params)
         .groupBy("session_id", "param", F.col("owner").alias("user"))
         .agg(F.sum(F.col("hi") - F.col("lo")).alias("ticks"))
     )
+
+
+def control_seconds(settings: PanelSettings) -> Column:
+    """Owned ticks times the resolution; NULL for parameters that are not shared."""
     seconds = F.coalesce("ticks", F.lit(0)) * F.lit(settings.tick)
+    return F.when(F.col("param").isin(*settings.shared_params), seconds)
+
+
+def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """Seconds each user owned each shared parameter, zeros included, and percent of the session."""
+    counts = change_counts(events, keep=True)
+    seconds = control_seconds(settings)
     return (
         users_by_params(counts, settings.shared_params)
-        .join(owned, ["session_id", "param", "user"], "left")
+        .join(owned_ticks(events, settings), SERIES, "left")
         .join(session_bounds(events, settings).select("session_id", "duration"), "session_id")
         .select(
             "session_id",
@@ -96,34 +103,38 @@ def activity_span(events: DataFrame) -> DataFrame:
     )
 
 
+def activity_record(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """The measures of each user that are single numbers."""
+    return _with_span(_with_gaps(user_totals(events), events, settings)).select(
+        *USER,
+        "total_changes",
+        per_minute(F.col("total_changes"), F.col("duration")).alias("changes_per_minute"),
+        "max_inactivity_gap",
+        "avg_gap_between_changes",
+        "long_inactivity_periods",
+        "first_action_time",
+        "last_action_time",
+        "active_duration",
+        "activity_percentage",
+    )
+
+
 def user_activity(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The full record of each user, with maps parameter -> changes and parameter -> seconds in control."""
-    def as_map(rows: DataFrame, value: str, name: str) -> DataFrame:
-        # One entry per parameter of the session.
-        entries = F.array_sort(F.collect_list(F.struct("param", value)))
-        return rows.groupBy(*USER).agg(F.map_from_entries(entries).alias(name))
-
-    changes = as_map(param_change_counts(events), "changes", "param_changes")
-    control = as_map(time_in_control(events, settings), "control_seconds", "time_in_control")
-    return (
-        _with_span(_with_gaps(user_totals(events), events, settings))
-        .join(changes, USER)
-        .join(control, USER, "left")
-        .select(
-            *USER,
-            "total_changes",
-            per_minute(F.col("total_changes"), F.col("duration")).alias("changes_per_minute"),
-            "param_changes",
-            F.coalesce("time_in_control", F.create_map().cast("map<string,double>")).alias("time_in_control"),
-            "max_inactivity_gap",
-            "avg_gap_between_changes",
-            "long_inactivity_periods",
-            "first_action_time",
-            "last_action_time",
-            "active_duration",
-            "activity_percentage",
+    seconds = control_seconds(settings)
+    # One entry per parameter of the session; a NULL entry is not collected.
+    changes = F.collect_list(F.struct("param", "changes"))
+    control = F.collect_list(F.when(seconds.isNotNull(), F.struct("param", seconds.alias("seconds"))))
+    maps = (
+        users_by_params(change_counts(events, keep=True))
+        .join(owned_ticks(events, settings), SERIES, "left")
+        .groupBy(*USER)
+        .agg(
+            F.map_from_entries(F.array_sort(changes)).alias("param_changes"),
+            F.map_from_entries(F.array_sort(control)).alias("time_in_control"),
         )
     )
+    return activity_record(events, settings).join(maps, USER)
 
 
 def _user_counts(events: DataFrame, keep: bool = False) -> DataFrame:

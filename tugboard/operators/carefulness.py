@@ -20,7 +20,8 @@ NO_DATA = "Insufficient data"
 SERIES = ["session_id", "user", "param"]
 
 
-def _step_measures(events: DataFrame, counts: DataFrame, settings: PanelSettings) -> DataFrame:
+def step_measures(events: DataFrame, counts: DataFrame, settings: PanelSettings) -> DataFrame:
+    """Steps of every user and parameter with at least two values."""
     rows = events.select(*SERIES, "time_sec", *LINE, "value")
     ordered = order_groups(rows, SERIES, ["time_sec", *LINE], settings, counts)
     steps = (
@@ -39,6 +40,19 @@ def _step_measures(events: DataFrame, counts: DataFrame, settings: PanelSettings
     )
 
 
+def judged(measured: DataFrame, settings: PanelSettings) -> DataFrame:
+    """Percent of small steps and label from the step measures, which are NULL without two values."""
+    moved = F.col("max_step") > 0
+    ratio = F.when(moved, F.col("small_steps").cast("double") / F.col("steps") * 100).when(~moved, F.lit(0.0))
+    label = (
+        F.when(F.col("max_step").isNull(), NO_DATA)
+        .when(~moved, NO_VARIATION)
+        .when(F.col("careful_ratio") > settings.careful_percent, CAREFUL)
+        .otherwise(RECKLESS)
+    )
+    return measured.withColumn("careful_ratio", ratio).withColumn("behavior_type", label).drop("small_steps", "steps")
+
+
 def carefulness(
     events: DataFrame, settings: PanelSettings = DEFAULTS, users: Sequence[int] | None = None
 ) -> DataFrame:
@@ -52,19 +66,7 @@ def carefulness(
     if users is not None:
         chosen = F.col("user").isin(*users) if users else F.lit(False)
         grid, events = grid.where(chosen), events.where(chosen)
-    moved = F.col("max_step") > 0
-    ratio = F.when(moved, F.col("small_steps").cast("double") / F.col("steps") * 100).when(~moved, F.lit(0.0))
-    label = (
-        F.when(F.col("max_step").isNull(), NO_DATA)
-        .when(~moved, NO_VARIATION)
-        .when(F.col("careful_ratio") > settings.careful_percent, CAREFUL)
-        .otherwise(RECKLESS)
-    )
-    return (
-        grid.join(_step_measures(events, counts, settings), SERIES, "left")
-        .withColumn("careful_ratio", ratio)
-        .select(*SERIES, "avg_step", "max_step", "careful_ratio", label.alias("behavior_type"))
-    )
+    return judged(grid.select(*SERIES).join(step_measures(events, counts, settings), SERIES, "left"), settings)
 
 
 def summarise_carefulness(measures: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:

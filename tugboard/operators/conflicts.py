@@ -25,7 +25,7 @@ from tugboard.functions.cells import fixed
 from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import change_counts
-from tugboard.plans.ordered import OrderedGroups, hot_groups, order_groups, slice_rows
+from tugboard.plans.ordered import OrderedGroups, hot_by_counts, hot_groups, order_groups, slice_rows
 from tugboard.session import ensure_checkpoint_dir
 
 SERIES = ["session_id", "param"]
@@ -252,7 +252,7 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
 def picked_windows(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The greedily picked windows: disjoint, in time order."""
     candidates = conflict_candidates(events, settings)
-    if hot_groups(change_counts(events, keep=True), SERIES, settings.fold_rows, "changes") is None:
+    if hot_by_counts(change_counts(events, keep=True), SERIES, settings.fold_rows) is None:
         return _pick_by_fold(candidates)
     ensure_checkpoint_dir(events.sparkSession)
     candidates = candidates.checkpoint()

@@ -16,20 +16,23 @@ from tugboard.config import CANONICAL, DEFAULTS, PanelSettings
 from tugboard.functions.clock import first_tick_beyond, first_tick_from, tick_time
 from tugboard.operators.roster import change_counts, session_bounds, users_by_params
 from tugboard.plans.joins import attach_facts
+from tugboard.plans.sizes import session_sizes
 
 GRID = ("t_min", "step", "n_ticks")
 
 
-def _roster(events: DataFrame, settings: PanelSettings) -> tuple[DataFrame, DataFrame]:
-    counts = change_counts(events, keep=True)
-    return counts, session_bounds(events, settings)
-
-
 def _last_change_per_tick(
-    events: DataFrame, bounds: DataFrame, keys: Sequence[str], settings: PanelSettings
+    chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings
 ) -> DataFrame:
+    """Of the ``chosen`` events, on the grid that all ``events`` span."""
+    counts = change_counts(events, keep=True)
     on_grid = attach_facts(
-        events, bounds.select("session_id", *GRID), ["session_id"], ["param", "user", "mid", "time_sec"], settings
+        chosen,
+        session_bounds(events, settings).select("session_id", *GRID),
+        ["session_id"],
+        ["param", "user", "mid", "time_sec"],
+        session_sizes(counts).sessions,
+        settings,
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
     return (
         on_grid.where(F.col("lo") < F.col("n_ticks"))
@@ -85,13 +88,12 @@ def merged_runs(
 
     ``blank`` adds the ticks before the first change, without value or owner.
     """
-    counts, bounds = _roster(events, settings)
     keys = ("session_id", "param")
-    chosen = _only(events, None, params)
-    changes = _last_change_per_tick(chosen, bounds, keys, settings)
+    changes = _last_change_per_tick(_only(events, None, params), events, keys, settings)
     if not blank:
         return _runs(changes, keys)
-    series = _only(counts, None, params).select(*keys).distinct().join(bounds, "session_id")
+    listed = _only(change_counts(events), None, params).select(*keys).distinct()
+    series = listed.join(session_bounds(events, settings), "session_id")
     return _with_blank_start(changes, series, keys)
 
 
@@ -102,10 +104,10 @@ def user_runs(
     params: Sequence[str] | None = None,
 ) -> DataFrame:
     """The same per user: the value each user set last, for every user and parameter of the session."""
-    counts, bounds = _roster(events, settings)
     keys = ("session_id", "param", "user")
-    changes = _last_change_per_tick(_only(events, users, params), bounds, keys, settings)
-    series = _only(users_by_params(counts), users, params).join(bounds, "session_id")
+    changes = _last_change_per_tick(_only(events, users, params), events, keys, settings)
+    listed = _only(users_by_params(change_counts(events)), users, params)
+    series = listed.join(session_bounds(events, settings), "session_id")
     return _with_blank_start(changes, series, keys).drop("owner")
 
 
@@ -173,15 +175,15 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     The pivot works on the reduced changes. The columns are filled forward there, and the ticks are
     spelled out last.
     """
-    counts, bounds = _roster(events, settings)
-    per_user = _last_change_per_tick(events, bounds, ("session_id", "param", "user"), settings)
+    per_user = _last_change_per_tick(events, events, ("session_id", "param", "user"), settings)
     cells = [
         F.max(F.when(F.col("user") == u, F.struct(F.col("last.value").alias("value")))).alias(f"user_{u}")
         for u in users
     ]
     keys = ("session_id", "param")
     changed = per_user.groupBy(*keys, *GRID, "lo").agg(*cells)
-    origin = counts.select(*keys).distinct().join(bounds, "session_id").select(
+    listed = change_counts(events).select(*keys).distinct()
+    origin = listed.join(session_bounds(events, settings), "session_id").select(
         *keys, *GRID, F.lit(-1).cast("long").alias("lo"), *[F.lit(None).alias(f"user_{u}") for u in users]
     )
     along = Window.partitionBy(*keys).orderBy("lo")

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
-from tugboard.functions.cells import fixed, title_case
+from tugboard.functions.cells import fixed, share_percent, title_case
 from tugboard.operators.activity import (
+    SERIES,
     USER,
+    activity_record,
+    control_seconds,
     engagement_distribution,
     most_active_user,
     most_dominant_user,
     most_responsive_user,
-    time_in_control,
-    user_activity,
+    owned_ticks,
 )
-from tugboard.operators.carefulness import NO_DATA, carefulness, summarise_carefulness
-from tugboard.operators.roster import change_counts, param_change_counts, session_bounds
-
-SERIES = ["session_id", "user", "param"]
+from tugboard.operators.carefulness import NO_DATA, carefulness, judged, step_measures, summarise_carefulness
+from tugboard.operators.roster import change_counts, session_bounds, users_by_params
 
 
 def session_overview(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
@@ -38,14 +38,30 @@ def session_overview(events: DataFrame, settings: PanelSettings = DEFAULTS) -> D
 
 def session_report(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """One row per user and parameter: the user's activity with counts, control and carefulness."""
-    people = user_activity(events, settings).drop("param_changes", "time_in_control").withColumn(
-        "active_minutes", F.col("active_duration") / 60
+    counts = change_counts(events, keep=True)
+    people = activity_record(events, settings).withColumn("active_minutes", F.col("active_duration") / 60)
+    measured = (
+        users_by_params(counts)
+        .join(owned_ticks(events, settings), SERIES, "left")
+        .join(step_measures(events, counts, settings), SERIES, "left")
     )
+    seconds = control_seconds(settings)
     return (
-        people.join(param_change_counts(events), USER)
-        .join(time_in_control(events, settings), SERIES, "left")
-        .join(carefulness(events, settings), SERIES)
-        .withColumn("param_label", title_case(F.col("param")))
+        judged(measured, settings)
+        .join(session_bounds(events, settings).select("session_id", "duration"), "session_id")
+        .select(
+            *SERIES,
+            "changes",
+            share_percent(F.col("changes"), F.col("total")).alias("share_percent"),
+            seconds.alias("control_seconds"),
+            F.when(seconds.isNotNull(), share_percent(seconds, F.col("duration"))).alias("control_percent"),
+            "avg_step",
+            "max_step",
+            "careful_ratio",
+            "behavior_type",
+            title_case(F.col("param")).alias("param_label"),
+        )
+        .join(people, USER)
     )
 
 

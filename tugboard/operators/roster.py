@@ -84,12 +84,19 @@ def parse_summary(events: DataFrame) -> DataFrame:
 
 
 def users_by_params(counts: DataFrame, params: Sequence[str] | None = None) -> DataFrame:
-    """Every user of a session with every parameter of that session, also where there is no change."""
-    users = counts.select("session_id", "user").distinct()
+    """Every user of a session with every parameter of that session, also where there is no change.
+
+    With the number of changes, and the user's total over all parameters.
+    """
+    users = counts.groupBy("session_id", "user").agg(F.sum("changes").alias("total"))
     listed = counts.select("session_id", "param").distinct()
     if params is not None:
         listed = listed.where(F.col("param").isin(*params))
-    return users.join(listed, "session_id")
+    return (
+        users.join(listed, "session_id")
+        .join(counts.select(*SERIES, "changes"), SERIES, "left")
+        .select(*SERIES, F.coalesce("changes", F.lit(0)).alias("changes"), "total")
+    )
 
 
 def user_totals(events: DataFrame) -> DataFrame:
@@ -115,12 +122,7 @@ def user_change_counts(events: DataFrame) -> DataFrame:
 
 def param_change_counts(events: DataFrame) -> DataFrame:
     """Changes per user and parameter, zeros included, and their share of the user's changes."""
-    counts = change_counts(events, keep=True).select(*SERIES, "changes")
-    totals = counts.groupBy("session_id", "user").agg(F.sum("changes").alias("total"))
-    changes = F.coalesce("changes", F.lit(0))
-    return (
-        users_by_params(counts)
-        .join(counts, SERIES, "left")
-        .join(totals, ["session_id", "user"])
-        .select(*SERIES, changes.alias("changes"), share_percent(changes, F.col("total")).alias("share_percent"))
+    percent = share_percent(F.col("changes"), F.col("total"))
+    return users_by_params(change_counts(events, keep=True)).select(
+        *SERIES, "changes", percent.alias("share_percent")
     )

@@ -1,4 +1,4 @@
-"""Joining per-key facts onto many rows without a skewed shuffle."""
+"""Joining per-session facts onto many rows without a skewed shuffle."""
 
 from __future__ import annotations
 
@@ -8,13 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import PanelSettings
-from tugboard.plans.memo import remembered
-
-
-def fits_broadcast(facts: DataFrame, settings: PanelSettings) -> bool:
-    """Counts at most ``broadcast_rows + 1`` rows, so the check itself stays cheap."""
-    limit = settings.broadcast_rows
-    return remembered(facts, ("fits_broadcast", limit), lambda: facts.limit(limit + 1).count() <= limit)
 
 
 def attach_facts(
@@ -22,15 +15,16 @@ def attach_facts(
     facts: DataFrame,
     on: Sequence[str],
     salt_by: Sequence[str],
+    n_facts: int,
     settings: PanelSettings,
 ) -> DataFrame:
-    """Inner join of ``rows`` with one-row-per-key ``facts``.
+    """Inner join of ``rows`` with ``facts``, a table of ``n_facts`` rows, one per key.
 
-    Facts of a checked size are broadcast, so the rows never move. Beyond that both sides shuffle on
-    the key *and* a salt: a key that holds a third of all rows lands on ``fan_out`` tasks, not one,
-    and a later aggregation cannot inherit a partitioning on the bare key.
+    Up to ``broadcast_rows`` facts are broadcast, so the rows never move. Beyond that both sides
+    shuffle on the key *and* a salt: a key that holds a third of all rows lands on ``fan_out`` tasks,
+    not one, and a later aggregation cannot inherit a partitioning on the bare key.
     """
-    if fits_broadcast(facts, settings):
+    if n_facts <= settings.broadcast_rows:
         return rows.join(F.broadcast(facts), list(on))
     salts = F.sequence(F.lit(0), F.lit(settings.fan_out - 1))
     salted_facts = facts.withColumn("_salt", F.explode(salts))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tugboard.config import PanelSettings
 from tugboard.plans.memo import remembered
+from tugboard.plans.sizes import session_sizes
 from tugboard.session import ensure_checkpoint_dir
 
 # A group below the 10 000 largest holds at most 1/10 000 of all rows: small enough for one task.
@@ -59,6 +60,13 @@ def hot_groups(
     return remembered(rows, ("hot_groups", *keys, limit, weight), find)
 
 
+def hot_by_counts(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """The same for keys that begin with the session, from the small table of change counts."""
+    if session_sizes(counts).largest <= limit:
+        return None
+    return hot_groups(counts, keys, limit, "changes")
+
+
 @dataclass(frozen=True)
 class OrderedGroups:
     frame: DataFrame
@@ -197,7 +205,7 @@ def order_groups(
     if counts is None:
         hot = hot_groups(rows, keys, settings.hot_rows)
     else:
-        hot = hot_groups(counts, keys, settings.hot_rows, "changes")
+        hot = hot_by_counts(counts, keys, settings.hot_rows)
     if hot is None:
         return OrderedGroups(rows, keys, order, sliced=False)
 
