@@ -12,6 +12,7 @@ from tugboard.operators.views import param_page, select_view, time_viewport
 
 SHARED = PanelSettings(shared_params=("frequency", "offset"))
 SALTED = PanelSettings(shared_params=("frequency", "offset"), broadcast_rows=0, fan_out=4)
+LARGE = PanelSettings(shared_params=("frequency", "offset"), hot_rows=10)
 
 
 @pytest.fixture(scope="module", params=[(1, True), (2, False)])
@@ -30,7 +31,7 @@ def test_bounds(session):
     assert (row.t_min, row.t_max, row.n_ticks) == (ordered[0][0], ordered[-1][0], len(ticks))
 
 
-@pytest.mark.parametrize("settings", [SHARED, SALTED], ids=["broadcast", "salted"])
+@pytest.mark.parametrize("settings", [SHARED, SALTED, LARGE], ids=["broadcast", "salted", "large"])
 def test_merged_series(session, settings):
     events, ordered, ticks = session
     expected = {}
@@ -42,22 +43,23 @@ def test_merged_series(session, settings):
     assert found == expected
 
 
-def test_locf_series_wide_and_views(session):
+@pytest.mark.parametrize("settings", [SHARED, LARGE], ids=["small", "large"])
+def test_locf_series_wide_and_views(session, settings):
     events, ordered, ticks = session
     expected = {}
     for param in ("frequency", "offset", "gain"):
         for user in range(3):
             held = brute.as_of(ticks, [(t, v) for t, u, p, _, _, v in ordered if p == param and u == user])
             expected.update({(param, user, i): (t, v) for i, (t, v) in enumerate(zip(ticks, held))})
-    rows = locf_series(events).collect()
+    rows = locf_series(events, settings).collect()
     assert {(r.param, r.user, r.i): (r.t, r.value) for r in rows} == expected and len(rows) == len(expected)
 
-    wide = series_wide(events, range(3)).collect()
+    wide = series_wide(events, range(3), settings).collect()
     assert len(wide) == len(ticks) * 3
     for r in wide:
         assert [r.user_0, r.user_1, r.user_2] == [expected[r.param, u, r.i][1] for u in range(3)]
 
-    view = select_view(events, [0, 2], ["gain", "offset"]).collect()
+    view = select_view(events, [0, 2], ["gain", "offset"], settings).collect()
     assert {(r.param, r.user, r.i): (r.t, r.value) for r in view} == {
         k: v for k, v in expected.items() if k[0] != "frequency" and k[1] != 1
     }

@@ -16,6 +16,7 @@ from tugboard.operators.roster import (
     users_by_params,
 )
 from tugboard.plans.ordered import order_groups
+from tugboard.plans.sizes import session_sizes
 
 USER = ["session_id", "user"]
 SERIES = [*USER, "param"]
@@ -57,11 +58,14 @@ def time_in_control(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Da
 def _gaps(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """Per user with more than one instant: the largest gap and the number of long gaps.
 
-    Changes of one instant have no gap between them, so each instant is kept once before anything
-    is put in order.
+    Changes of one instant have no gap between them, whatever their order. In large sessions each
+    instant is kept once before anything is put in order.
     """
-    instants = events.select(*USER, "time_sec").distinct()
-    ordered = order_groups(instants, USER, ["time_sec"], settings, change_counts(events, keep=True))
+    counts = change_counts(events, keep=True)
+    instants = events.select(*USER, "time_sec")
+    if session_sizes(counts).largest > settings.hot_rows:
+        instants = instants.distinct()
+    ordered = order_groups(instants, USER, ["time_sec"], settings, counts)
     gap = F.col("time_sec") - F.col("before")
     return (
         ordered.previous(before="time_sec").done()

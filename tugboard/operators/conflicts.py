@@ -4,11 +4,11 @@ From each change a window looks ahead. It is a conflict if it holds enough chang
 who take turns often enough. Windows are then picked greedily: the first conflict, then the first
 one that starts after its window, and so on. Picks a short gap apart are merged into zones.
 
-Nothing here works on single changes. The changes of one instant are combined first (before any
-shuffle) into their number, the users among them and the turns between them, which is all a window
-asks for: within an instant changes are in user order, so the turns are the users less one. And only
-the first change of an instant can start a pick. The window of a later one is a suffix of the
-first's, so it has no more changes, users or turns, and a pick always ends with a whole instant.
+Only the first change of an instant can start a pick. Within an instant changes are in user order, and
+the window of a later one is a suffix of the first's, so it has no more changes, users or turns; and a
+pick always ends with a whole instant. In large sessions the changes of an instant are therefore
+combined first (before any shuffle) into their number, the first and last user and the turns between
+users, which is all a window asks for.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tugboard.config import DEFAULTS, PanelSettings
+from tugboard.config import DEFAULTS, LINE, PanelSettings
 from tugboard.functions.cells import fixed
 from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import change_counts
 from tugboard.plans.ordered import OrderedGroups, hot_by_counts, hot_groups, order_groups, slice_rows
+from tugboard.plans.sizes import session_sizes
 from tugboard.session import ensure_checkpoint_dir
 
 SERIES = ["session_id", "param"]
@@ -33,26 +34,36 @@ _REACHED = [*SERIES, "time_sec", "n_before", "turns_before", "end_time", "n_end"
 WINDOW = ["start_time", "end_time", "num_changes", "user_switches"]
 
 
-def _user_instants(events: DataFrame, settings: PanelSettings) -> DataFrame:
-    shared = events.where(F.col("param").isin(*settings.shared_params))
-    return shared.groupBy(*SERIES, "time_sec", "user").agg(F.count(F.lit(1)).alias("n"))
+def _shared(events: DataFrame, settings: PanelSettings) -> DataFrame:
+    return events.where(F.col("param").isin(*settings.shared_params))
 
 
-def _instants(events: DataFrame, settings: PanelSettings) -> DataFrame:
-    return _user_instants(events, settings).groupBy(*SERIES, "time_sec").agg(
+def _steps(events: DataFrame, settings: PanelSettings) -> tuple[DataFrame, list[str]]:
+    """What windows are made of, with its order: single changes, or combined instants."""
+    shared = _shared(events, settings)
+    if session_sizes(change_counts(events, keep=True)).largest <= settings.hot_rows:
+        single = shared.select(
+            *SERIES, "time_sec", "user", *LINE, F.lit(1).cast("long").alias("n"), F.col("user").alias("first_user"),
+            F.col("user").alias("last_user"), F.lit(0).cast("long").alias("inner_turns"),
+        )
+        return single, ["time_sec", "user", *LINE]
+    users = shared.groupBy(*SERIES, "time_sec", "user").agg(F.count(F.lit(1)).alias("n"))
+    instants = users.groupBy(*SERIES, "time_sec").agg(
         F.sum("n").alias("n"),
         F.min("user").alias("first_user"),
         F.max("user").alias("last_user"),
         (F.count(F.lit(1)) - 1).alias("inner_turns"),
     )
+    return instants, ["time_sec"]
 
 
 def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """The look-ahead window of every instant: running totals at its end less those at its start."""
-    ordered = order_groups(_instants(events, settings), SERIES, ["time_sec"], settings, change_counts(events, keep=True))
+    steps, order = _steps(events, settings)
+    ordered = order_groups(steps, SERIES, order, settings, change_counts(events, keep=True))
     seam = F.coalesce((F.col("user_before") != F.col("first_user")).cast("long"), F.lit(0))
     totals = (
-        ordered.previous(user_before="last_user")
+        ordered.previous(user_before="last_user", time_before="time_sec")
         .derive(turns=F.col("inner_turns") + seam)
         .running(n_sum=("sum", "n"), turn_sum=("sum", "turns"))
     )
@@ -70,7 +81,7 @@ def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
         "end_time": F.expr(f"max(time_sec) {ahead}"),
         "n_end": F.expr(f"max(n_sum) {ahead}"),
         "turns_end": F.expr(f"max(turn_sum) {ahead}"),
-    }).select(*_REACHED)
+    }).where(F.col("time_before").isNull() | (F.col("time_before") < F.col("time_sec"))).select(*_REACHED)
     if asked.sliced:
         reached = reached.unionByName(_look_ahead(asked.large(), settings).select(*_REACHED))
     return reached.select(
@@ -128,7 +139,7 @@ def _with_enough_users(windows: DataFrame, events: DataFrame, settings: PanelSet
     Each window asks for each user of the series when that user acts next; a user counts if that is
     within the window. One ordered pass answers all, so no window is ever spelled out.
     """
-    acts = _user_instants(events, settings)
+    acts = _shared(events, settings).select(*SERIES, "time_sec", "user").distinct()
     users = acts.select(*SERIES, "user").distinct()
     later = -F.col("time_sec")
     marks = acts.select(
@@ -284,7 +295,7 @@ def _users_of_zones(picks: DataFrame, events: DataFrame, settings: PanelSettings
     """Per zone the users seen in its picks, sorted.
 
     Picks and changes meet in time bins of one window's length, so a pick lies in at most two bins
-    and a change in one.
+    and a change in one. Up to a checked number picks are broadcast, and no change moves.
     """
     def bin_of(t: str) -> Column:
         return F.floor(F.col(t) / settings.conflict_window)
@@ -293,7 +304,9 @@ def _users_of_zones(picks: DataFrame, events: DataFrame, settings: PanelSettings
         *SERIES, "zone_no", "start_time", "end_time",
         F.explode(F.sequence(bin_of("start_time"), bin_of("end_time"))).alias("bin"),
     )
-    acts = _user_instants(events, settings).select(*SERIES, "time_sec", "user", bin_of("time_sec").alias("bin"))
+    if 2 * picks.count() <= settings.broadcast_rows:
+        spread = F.broadcast(spread)
+    acts = _shared(events, settings).select(*SERIES, "time_sec", "user", bin_of("time_sec").alias("bin"))
     inside = F.col("time_sec").between(F.col("start_time"), F.col("end_time"))
     return (
         acts.join(spread, [*SERIES, "bin"]).where(inside)
@@ -305,9 +318,11 @@ def _users_of_zones(picks: DataFrame, events: DataFrame, settings: PanelSettings
 def detect_conflicts(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """The conflict zones of the shared parameters, numbered in time order per session and parameter.
 
-    Counts of merged zones are sums over their picks, so a turn between two picks is not counted.
+    Counts of merged zones are sums over their picks, so a turn between two picks is not counted. The
+    picks are written to the checkpoint folder: they are few, used twice, and dear to find.
     """
-    picks = _merge_picks(picked_windows(events, settings), settings)
+    ensure_checkpoint_dir(events.sparkSession)
+    picks = _merge_picks(picked_windows(events, settings), settings).checkpoint()
     zones = picks.groupBy(*SERIES, "zone_no").agg(
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),

@@ -1,18 +1,19 @@
 """Step functions on the tick grid, held as runs of ticks and spelled out only on request.
 
-Of all changes between two ticks only the last can be seen on the grid. So the changes are first
-reduced to one per (series, tick), a combine that starts before any shuffle, and only what is left
-is put in order: at most one row per tick, however many changes there were.
+Of all changes between two ticks only the last can be seen on the grid. Sessions of ordinary size are
+put in order with one shuffle, and the last change of each tick is kept there. Where a session is
+large, its changes are first combined to one per (series, tick), which starts before the shuffle, so
+what is put in order is at most one row per tick, however many changes there were.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tugboard.config import CANONICAL, DEFAULTS, PanelSettings
+from tugboard.config import DEFAULTS, LINE, PanelSettings
 from tugboard.functions.clock import first_tick_beyond, first_tick_from, tick_time
 from tugboard.operators.roster import change_counts, session_bounds, users_by_params
 from tugboard.plans.joins import attach_facts
@@ -21,10 +22,11 @@ from tugboard.plans.sizes import session_sizes
 GRID = ("t_min", "step", "n_ticks")
 
 
-def _last_change_per_tick(
-    chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings
-) -> DataFrame:
-    """Of the ``chosen`` events, on the grid that all ``events`` span."""
+_PLACED = ("lo", "time_sec", "user", *LINE, "value")
+
+
+def _placed(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings) -> DataFrame:
+    """The ``chosen`` events with the first tick that sees them, on the grid all ``events`` span."""
     counts = change_counts(events, keep=True)
     on_grid = attach_facts(
         chosen,
@@ -34,40 +36,50 @@ def _last_change_per_tick(
         session_sizes(counts).sessions,
         settings,
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
-    return (
-        on_grid.where(F.col("lo") < F.col("n_ticks"))
-        .groupBy(*keys, *GRID, "lo")
-        .agg(F.max_by(F.struct("value", F.col("user").alias("owner")), F.struct(*CANONICAL)).alias("last"))
-    )
+    extra = [c for c in _PLACED if c not in keys]
+    return on_grid.where(F.col("lo") < F.col("n_ticks")).select(*keys, *GRID, *extra)
 
 
-def _runs(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    following = F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo"))
-    return changes.select(
-        *keys, *GRID, "lo", F.coalesce(following, F.col("n_ticks")).alias("hi"), "last.value", "last.owner"
-    )
+def _marker(series: DataFrame, keys: Sequence[str], lo: Column) -> DataFrame:
+    """One row without a value per series, at tick ``lo``, shaped like ``_placed``."""
+    kinds = {"time_sec": "double", "user": "int", "file": "string", "block_start": "long", "mid": "long", "value": "double"}
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items() if c not in keys]
+    return series.select(*keys, *GRID, lo.cast("long").alias("lo"), *empty)
+
+
+def _is_large(events: DataFrame, settings: PanelSettings) -> bool:
+    return session_sizes(change_counts(events, keep=True)).largest > settings.hot_rows
+
+
+def _in_tick_order(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("lo", "time_sec", "user", *LINE)
 
 
-def _with_blank_start(changes: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Runs of every series listed in ``series``, led by a run without a value up to its first change."""
-    closing = series.select(*keys, *GRID, F.col("n_ticks").alias("lo"), F.lit(None).alias("last"))
-    along = Window.partitionBy(*keys).orderBy("lo")
-    placed = changes.unionByName(closing).withColumns({
-        "hi": F.coalesce(F.lead("lo").over(along), F.col("n_ticks")),
-        "first": F.lag("lo").over(along).isNull(),
-    })
-    blank = F.struct(
+def _combined(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per (series, tick): the last change. Columns as before."""
+    rest = [c for c in _PLACED if c not in keys and c != "lo"]
+    last = F.max_by(F.struct(*rest), F.struct("time_sec", "user", *LINE)).alias("last")
+    return placed.groupBy(*keys, *GRID, "lo").agg(last).select(*keys, *GRID, "lo", "last.*")
+
+
+def _runs(placed: DataFrame, keys: Sequence[str], large: bool, blank: bool) -> DataFrame:
+    """Runs ``[lo, hi)`` of ticks under one change; ``blank`` adds the ticks before the first one."""
+    along = _in_tick_order(keys)
+    following = F.coalesce(F.lead("lo").over(along), F.col("n_ticks"))
+    rows = (_combined(placed, keys) if large else placed).withColumn("hi", following)
+    if not blank:
+        runs = rows.select(*keys, *GRID, "lo", "hi", "value", F.col("user").alias("owner"))
+        return runs.where(F.col("hi") > F.col("lo"))
+    held = F.struct("lo", "hi", "value", F.col("user").alias("owner"))
+    before = F.struct(
         F.lit(0).cast("long").alias("lo"),
         F.col("lo").alias("hi"),
         F.lit(None).cast("double").alias("value"),
         F.lit(None).cast("int").alias("owner"),
     )
-    held = F.struct("lo", "hi", F.col("last.value").alias("value"), F.col("last.owner").alias("owner"))
-    return (
-        placed.select(
-            *keys, *GRID, F.inline(F.when(F.col("first"), F.array(blank, held)).otherwise(F.array(held)))
-        ).where(F.col("hi") > F.col("lo"))
-    )
+    first = rows.withColumn("first", F.lag("lo").over(along).isNull())
+    both = F.inline(F.when(F.col("first"), F.array(before, held)).otherwise(F.array(held)))
+    return first.select(*keys, *GRID, both).where(F.col("hi") > F.col("lo"))
 
 
 def _only(rows: DataFrame, users: Sequence[int] | None, params: Sequence[str] | None) -> DataFrame:
@@ -89,12 +101,12 @@ def merged_runs(
     ``blank`` adds the ticks before the first change, without value or owner.
     """
     keys = ("session_id", "param")
-    changes = _last_change_per_tick(_only(events, None, params), events, keys, settings)
-    if not blank:
-        return _runs(changes, keys)
-    listed = _only(change_counts(events), None, params).select(*keys).distinct()
-    series = listed.join(session_bounds(events, settings), "session_id")
-    return _with_blank_start(changes, series, keys)
+    placed = _placed(_only(events, None, params), events, keys, settings)
+    if blank:
+        listed = _only(change_counts(events), None, params).select(*keys).distinct()
+        series = listed.join(session_bounds(events, settings), "session_id")
+        placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
+    return _runs(placed, keys, _is_large(events, settings), blank)
 
 
 def user_runs(
@@ -105,10 +117,11 @@ def user_runs(
 ) -> DataFrame:
     """The same per user: the value each user set last, for every user and parameter of the session."""
     keys = ("session_id", "param", "user")
-    changes = _last_change_per_tick(_only(events, users, params), events, keys, settings)
+    placed = _placed(_only(events, users, params), events, keys, settings)
     listed = _only(users_by_params(change_counts(events)), users, params)
     series = listed.join(session_bounds(events, settings), "session_id")
-    return _with_blank_start(changes, series, keys).drop("owner")
+    placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
+    return _runs(placed, keys, _is_large(events, settings), blank=True).drop("owner")
 
 
 def clip_runs(runs: DataFrame, start: Column | None, width: float) -> DataFrame:
@@ -172,27 +185,22 @@ def ownership_segments(
 def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings = DEFAULTS) -> DataFrame:
     """Tick by user matrix of each parameter, one column ``user_<n>`` per listed user.
 
-    The pivot works on the reduced changes. The columns are filled forward there, and the ticks are
-    spelled out last.
+    Each change becomes a row with its value in its user's column. The columns are filled forward
+    along the series, and the ticks are spelled out last, so the long form is never shuffled.
     """
-    per_user = _last_change_per_tick(events, events, ("session_id", "param", "user"), settings)
-    cells = [
-        F.max(F.when(F.col("user") == u, F.struct(F.col("last.value").alias("value")))).alias(f"user_{u}")
-        for u in users
-    ]
     keys = ("session_id", "param")
-    changed = per_user.groupBy(*keys, *GRID, "lo").agg(*cells)
+    placed = _placed(events, events, keys, settings)
+    if _is_large(events, settings):
+        placed = _combined(placed, (*keys, "user"))
     listed = change_counts(events).select(*keys).distinct()
-    origin = listed.join(session_bounds(events, settings), "session_id").select(
-        *keys, *GRID, F.lit(-1).cast("long").alias("lo"), *[F.lit(None).alias(f"user_{u}") for u in users]
-    )
-    along = Window.partitionBy(*keys).orderBy("lo")
+    series = listed.join(session_bounds(events, settings), "session_id")
+    along = _in_tick_order(keys)
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    filled = changed.unionByName(origin).select(
+    filled = placed.unionByName(_marker(series, keys, F.lit(-1))).select(
         *keys,
         *GRID,
         F.greatest("lo", F.lit(0)).alias("lo"),
         F.coalesce(F.lead("lo").over(along), F.col("n_ticks")).alias("hi"),
-        *[F.last(f"user_{u}", ignorenulls=True).over(upto).getField("value").alias(f"user_{u}") for u in users],
+        *[F.last(F.when(F.col("user") == u, F.col("value")), ignorenulls=True).over(upto).alias(f"user_{u}") for u in users],
     )
     return spell_out(filled.where(F.col("hi") > F.col("lo")), [f"user_{u}" for u in users])
