@@ -6,7 +6,7 @@ event type is the parameter. Times are seconds since 1970, so thresholds have to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tugboard.sources.control_logs import EVENT_COLUMNS
@@ -14,6 +14,15 @@ from tugboard.sources.control_logs import EVENT_COLUMNS
 SEATS = 4
 
 
+def _epoch_seconds(kind: str) -> Column:
+    """Seconds since 1970 with microseconds; wall-clock time counts as UTC in every session zone."""
+    if kind == "timestamp":
+        return F.unix_micros("ts").cast("double") / 1e6
+    minutes = F.expr("unix_date(cast(ts as date)) * 1440L + hour(ts) * 60 + minute(ts)")
+    micros = F.expr("cast(extract(second from ts) * 1000000 as bigint)")
+    return (minutes * 60_000_000 + micros).cast("double") / 1e6
+
+
 def read_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     panel = F.expr(f"cast(user_id div {SEATS} as string)")
@@ -27,7 +36,7 @@ def read_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             "time": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
             "user": (F.col("user_id") % SEATS).cast("int"),
             "param": F.col("event_type"),
-            "time_sec": F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6,
+            "time_sec": _epoch_seconds(dict(raw.dtypes)["ts"]),
         })
         .select(*EVENT_COLUMNS)
     )
