@@ -31,6 +31,26 @@ def padded_bar(percent: Column) -> Column:
     return F.rpad(bar(percent), BAR_WIDTH, "░")
 
 
+def _scaled(value: Column, factor: int) -> Column:
+    """``value * factor`` rounded to a whole number, halves to even, judged on the exact product.
+
+    The product of two doubles is their rounded product plus a remainder that is itself a double;
+    splitting the value into two short halves makes the remainder exact.
+    """
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    product = value * F.lit(float(factor))
+    remainder = (high * F.lit(float(factor)) - product) + (value - high) * F.lit(float(factor))
+    below = F.floor(product)
+    beyond_half = (product - below.cast("double") - F.lit(0.5)) + remainder
+    up = (beyond_half > 0) | ((beyond_half == 0) & (below % 2 != 0))
+    return below + up.cast("long")
+
+
 def fixed(value: Column, decimals: int) -> Column:
-    """Decimal text with a set number of places, halves to even."""
-    return F.format_string(f"%.{decimals}f", F.bround(value, decimals))
+    """Decimal text with a set number of places, as ``%.<n>f`` prints it."""
+    factor = 10**decimals
+    whole = _scaled(F.abs(value), factor)
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    digits = F.lpad((whole % factor).cast("string"), decimals, "0")
+    return F.concat(sign, ((whole - whole % factor) / factor).cast("long").cast("string"), F.lit("."), digits)

@@ -136,30 +136,36 @@ def conflict_candidates(events: DataFrame, settings: PanelSettings = DEFAULTS) -
 def _with_enough_users(windows: DataFrame, events: DataFrame, settings: PanelSettings) -> DataFrame:
     """Windows with at least ``min_users`` different users.
 
-    Each window asks for each user of the series when that user acts next; a user counts if that is
-    within the window. One ordered pass answers all, so no window is ever spelled out.
+    A user arrives with an act that no own act precedes within a window's length, and leaves with one
+    that none follows. The users of a window are those who arrived by its end less those who left
+    before its start: two running counts, whatever the number of users.
     """
-    acts = _shared(events, settings).select(*SERIES, "time_sec", "user").distinct()
-    users = acts.select(*SERIES, "user").distinct()
-    later = -F.col("time_sec")
-    marks = acts.select(
-        *SERIES, "user", later.alias("back"), F.lit(0).alias("asks"), F.col("time_sec").alias("next_act"),
-        F.lit(None).cast("double").alias("start_time"),
+    acts = _shared(events, settings).select(*SERIES, "user", "time_sec").distinct()
+    counts = change_counts(events, keep=True)
+    lived = (
+        order_groups(acts, [*SERIES, "user"], ["time_sec"], settings, counts)
+        .previous(earlier="time_sec").following(later="time_sec").done()
     )
-    questions = windows.select(*SERIES, "start_time").join(users, SERIES).select(
-        *SERIES, "user", (-F.col("start_time")).alias("back"), F.lit(1).alias("asks"),
-        F.lit(None).cast("double").alias("next_act"), "start_time",
-    )
-    answered = order_groups(
-        marks.unionByName(questions), [*SERIES, "user"], ["back", "asks"], settings
-    ).running(next_act=("min", "next_act"))
-    present = (
-        answered.done()
-        .where((F.col("asks") == 1) & (F.col("next_act") <= F.col("start_time") + settings.conflict_window))
-        .groupBy(*SERIES, "start_time").agg(F.count(F.lit(1)).alias("n_users"))
-        .where(F.col("n_users") >= settings.min_users)
-    )
-    return windows.join(present.drop("n_users"), [*SERIES, "start_time"], "left_semi")
+    width = F.lit(settings.conflict_window)
+    arrivals = lived.where(F.col("earlier").isNull() | (F.col("earlier") + width < F.col("time_sec")))
+    departures = lived.where(F.col("later").isNull() | (F.col("time_sec") + width < F.col("later")))
+    open_at = windows.select(*SERIES, "start_time", F.col("start_time").alias("at"))
+    until = open_at.withColumn("at", F.col("at") + width)
+    arrived = _passed(arrivals, until, True, settings).withColumnRenamed("passed", "arrived")
+    gone = _passed(departures, open_at, False, settings).withColumnRenamed("passed", "gone")
+    enough = F.col("arrived") - F.col("gone") >= settings.min_users
+    window = [*SERIES, "start_time"]
+    return windows.join(arrived, window).join(gone, window).where(enough).drop("arrived", "gone")
+
+
+def _passed(marks: DataFrame, questions: DataFrame, inclusive: bool, settings: PanelSettings) -> DataFrame:
+    """Per question the number of marks before its ``at``, or up to and with it."""
+    ranked = marks.select(
+        *SERIES, F.col("time_sec").alias("at"), F.lit(0 if inclusive else 2).alias("turn"),
+        F.lit(None).cast("double").alias("start_time"), F.lit(1).alias("one"),
+    ).unionByName(questions.withColumns({"turn": F.lit(1), "one": F.lit(0)}))
+    counted = order_groups(ranked, SERIES, ["at", "turn", "start_time"], settings).running(passed=("sum", "one"))
+    return counted.done().where(F.col("turn") == 1).select(*SERIES, "start_time", "passed")
 
 
 def _greedy_fold(candidates: Column) -> Column:

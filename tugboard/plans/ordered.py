@@ -26,7 +26,7 @@ from tugboard.session import ensure_checkpoint_dir
 
 # A group below the 10 000 largest holds at most 1/10 000 of all rows: small enough for one task.
 MAX_HOT_GROUPS = 10_000
-MAX_SLICES = 20_000
+MAX_SLICES = 50_000
 SLICE = "_slice"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -177,12 +177,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     QUALIFY row_number() OVER (PARTITION BY session_id, param ORDER BY control_seconds DESC, "user") = 1"""),
     "looks": (("ev",), f"""
     SELECT session_id, param, time_sec AS start_time, max(time_sec) OVER w AS end_time, count(*) OVER w AS num_changes,
-           CAST(sum(turn) OVER w - turn AS BIGINT) AS user_switches
+           CAST(sum(turn) OVER w - turn AS BIGINT) AS user_switches, count(DISTINCT "user") OVER w AS num_users
     FROM (SELECT *, CASE WHEN "user" <> lag("user") OVER (PARTITION BY session_id, param ORDER BY time_sec) THEN 1 ELSE 0 END AS turn
           FROM ev WHERE param IN ({SHARED}))
     WINDOW w AS (PARTITION BY session_id, param ORDER BY time_sec RANGE BETWEEN CURRENT ROW AND {WIDTH} FOLLOWING)"""),
     "cand": (("looks",), f"""
-    SELECT *, row_number() OVER (PARTITION BY session_id, param ORDER BY start_time) AS rn FROM looks
+    SELECT * EXCLUDE num_users, row_number() OVER (PARTITION BY session_id, param ORDER BY start_time) AS rn FROM looks
     WHERE num_changes >= {STRETCHED.min_changes} AND user_switches >= {STRETCHED.min_users}"""),
     "linked": (("cand",), """
     SELECT c.*, d.rn AS next_rn FROM cand c
@@ -243,11 +243,11 @@ FROM (SELECT *, lag(time) OVER w AS start_time, lag(value) OVER w AS from_value
 
 
 def oracle_sql() -> dict[str, str]:
-    typed = ", ".join(
+    typed = [
         _r(f"TRY_CAST({c} AS DOUBLE)", c) if kind == "double"
         else f"TRY_CAST({c} AS {'BIGINT' if kind == 'long' else 'INTEGER'}) AS {c}"
         for c, kind in IMU_NUMERIC
-    )
+    ]
     bad = ", ".join(
         f"count(*) FILTER (TRY_CAST({c} AS {dict(double='DOUBLE', long='BIGINT', int='INTEGER')[kind]}) IS NULL) AS {c}"
         for c, kind in IMU_NUMERIC
@@ -265,8 +265,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT session_id, file, mid, line, user_text, value_text FROM strict
             WHERE value IS NULL OR "user" IS NULL""", "strict"),
         "parse_imu_records": _with("SELECT * FROM imu", "imu"),
-        "imu_numeric_cast": _with(f"SELECT session_id, file, record_no, time, {typed} FROM imu", "imu"),
+        "imu_numeric_cast": _with(f"SELECT session_id, file, record_no, time, {', '.join(typed)} FROM imu", "imu"),
         "imu_bad_cells": _with(f"SELECT {bad} FROM imu", "imu"),
+        "imu_numeric_columns": _with(
+            f"SELECT session_id, file, record_no, time, gyro_x, {', '.join(c for c in typed if ' AS gyro_x' not in c)} FROM imu",
+            "imu"),
         "parse_summary": _with("""
             SELECT session_id, count(*) AS n_changes, count(DISTINCT "user") AS n_users, count(DISTINCT param) AS n_params
             FROM ev GROUP BY ALL""", "ev"),
@@ -312,10 +315,16 @@ def oracle_sql() -> dict[str, str]:
         "most_responsive_user": _with(f'SELECT session_id, "user", {_r("changes_per_minute")} FROM responsive', "responsive"),
         "carefulness": _with(f'SELECT session_id, "user", param, {_CARE} FROM care', "care"),
         "carefulness_summary": _with(f'SELECT session_id, "user", {_r("careful_percent")}, label FROM care_users', "care_users"),
+        "carefulness_summary_judged": _with(f"""
+            SELECT session_id, "user", {_r("careful_percent")}, label FROM care_users
+            WHERE careful_percent IS NOT NULL""", "care_users"),
         "carefulness_report": _with(care_report, "care_users"),
         "carefulness_report_one_user": _with(f'{care_report} WHERE c."user" = {REPORT_USER}', "care_users"),
         "conflict_candidates": _with(f"""
             SELECT session_id, param, {_r('start_time')}, {_r('end_time')}, num_changes, user_switches FROM cand""", "cand"),
+        "conflict_candidates_three_users": _with(f"""
+            SELECT session_id, param, {_r('start_time')}, {_r('end_time')}, num_changes, user_switches FROM looks
+            WHERE num_changes >= {STRETCHED.min_changes} AND user_switches >= 3 AND num_users >= 3""", "looks"),
         "detect_conflicts": _with(f"""
             SELECT session_id, param, zone_no, {_r('start_time')}, {_r('end_time')}, users, num_changes, user_switches
             FROM zones""", "zones"),
@@ -335,6 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "time_viewport": _with(f"""
             SELECT {_LOCF} FROM locf JOIN bounds USING (session_id)
             WHERE t BETWEEN t_min AND t_min + {STRETCHED.viewport}""", "locf", "bounds"),
+        "time_viewport_full": _with(f"SELECT {_LOCF} FROM locf WHERE param IN ({SHARED})", "locf"),
         "param_page": _with(f"""
             SELECT session_id, place, param
             FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY param) AS place,

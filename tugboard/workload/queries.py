@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,9 @@ def queries() -> dict[str, Query]:
             imu_logs.imu_numeric_cast(imu_logs.parse_imu_records(imu_lines(spark, d)))
         ),
         "imu_bad_cells": lambda spark, d: imu_logs.imu_bad_cells(imu_logs.parse_imu_records(imu_lines(spark, d))),
+        "imu_numeric_columns": lambda spark, d: _rounded(
+            imu_logs.imu_numeric_columns(imu_logs.parse_imu_records(imu_lines(spark, d)))
+        ),
         "parse_summary": on(roster.parse_summary),
         # who and what
         "session_bounds": on(lambda e: roster.session_bounds(e, s)),
@@ -114,10 +118,14 @@ def queries() -> dict[str, Query]:
         # carefulness
         "carefulness": on(lambda e: carefulness.carefulness(e, s)),
         "carefulness_summary": on(lambda e: carefulness.carefulness_summary(e, s)),
+        "carefulness_summary_judged": on(lambda e: carefulness.carefulness_summary(e, s, skip_without_data=True)),
         "carefulness_report": on(lambda e: reports.carefulness_report(e, s)),
         "carefulness_report_one_user": on(lambda e: reports.carefulness_report(e, s, REPORT_USER)),
         # conflicts
         "conflict_candidates": on(lambda e: conflicts.conflict_candidates(e, s)),
+        "conflict_candidates_three_users": on(
+            lambda e: conflicts.conflict_candidates(e, replace(s, min_users=3))
+        ),
         "detect_conflicts": on(lambda e: _listed_users(_zones(e))),
         "conflict_report": on(lambda e: conflicts.conflict_report(_zones(e))),
         "zone_value_stats": on(_zone_stats),
@@ -128,6 +136,7 @@ def queries() -> dict[str, Query]:
         # views
         "select_view": on(lambda e: views.select_view(e, VIEW_USERS, VIEW_PARAMS, s)),
         "time_viewport": on(lambda e: views.time_viewport(e, settings=s)),
+        "time_viewport_full": on(lambda e: views.time_viewport(e, full=True, settings=s, params=s.shared_params)),
         "param_page": on(lambda e: views.param_page(e, PAGE_OFFSET, s)),
         # reports
         "session_overview": on(lambda e: reports.session_overview(e, s)),
