@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import make_events
 
-from tugboard.operators.reports import comparative_report, session_overview, session_report
+from tugboard.operators.reports import comparative_report, session_overview, session_report, stats_panel
 
 ROWS = [(0, 0, 1), (1, 1, 2), (2, 0, 3), (60, 1, 2, "phase shift"), (120, 2, 4, "phase shift"), (120, 2, 5, "phase shift")]
 
@@ -38,3 +38,10 @@ def test_comparative_report(spark):
 def test_without_a_shared_parameter(spark):
     rows = comparative_report(make_events(spark, [(0, 0, 1, "gain"), (5, 1, 2, "gain")])).collect()
     assert [r.dominant_user for r in rows] == [None, None]
+
+
+def test_stats_panel(spark):
+    lines = {r.user: r.line for r in stats_panel(make_events(spark, ROWS)).collect()}
+    assert lines[0] == "User 0: 2 changes  |  1.0 chg/min  |  Frequency dominance: 99.2%  |  Max gap: 2.0s"
+    bare = stats_panel(make_events(spark, [(0, 0, 1, "gain"), (8, 0, 2, "gain")])).first().line
+    assert bare == "User 0: 2 changes  |  15.0 chg/min  |  Max gap: 8.0s"

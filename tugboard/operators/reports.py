@@ -19,6 +19,7 @@ from tugboard.operators.activity import (
     most_dominant_user,
     most_responsive_user,
     owned_ticks,
+    time_in_control,
 )
 from tugboard.operators.carefulness import NO_DATA, carefulness, judged, step_measures, summarise_carefulness
 from tugboard.operators.roster import change_counts, session_bounds, users_by_params
@@ -65,6 +66,26 @@ def session_report(events: DataFrame, settings: PanelSettings = DEFAULTS) -> Dat
     )
 
 
+def stats_panel(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """One compact line per user: changes, rate, share of control per shared parameter, longest gap."""
+    control = time_in_control(events, settings)
+    share = F.concat(
+        title_case(F.col("param")), F.lit(" dominance: "), fixed(F.col("control_percent"), 1), F.lit("%")
+    )
+    # One entry per shared parameter.
+    shares = control.groupBy(*USER).agg(
+        F.array_sort(F.collect_list(F.struct("param", share.alias("cell")))).alias("cells")
+    )
+    line = F.concat_ws(
+        "  |  ",
+        F.concat(F.lit("User "), F.col("user"), F.lit(": "), F.col("total_changes"), F.lit(" changes")),
+        F.concat(fixed(F.col("changes_per_minute"), 1), F.lit(" chg/min")),
+        F.transform(F.coalesce("cells", F.array()), lambda c: c["cell"]),
+        F.concat(F.lit("Max gap: "), fixed(F.col("max_inactivity_gap"), 1), F.lit("s")),
+    )
+    return activity_record(events, settings).join(shares, USER, "left").select(*USER, line.alias("line"))
+
+
 def carefulness_report(
     events: DataFrame, settings: PanelSettings = DEFAULTS, user: int | None = None
 ) -> DataFrame:

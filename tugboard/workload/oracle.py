@@ -361,6 +361,13 @@ def oracle_sql() -> dict[str, str]:
             FROM totals t JOIN gaps USING (session_id, "user") JOIN shares s USING (session_id, "user")
             JOIN care USING (session_id, "user", param) LEFT JOIN control USING (session_id, "user", param)""",
             "totals", "gaps", "shares", "control", "care"),
+        "stats_panel": _with("""
+            SELECT session_id, "user", concat_ws('  |  ', 'User ' || "user" || ': ' || total_changes || ' changes',
+                   printf('%.1f chg/min', changes_per_minute), cells, printf('Max gap: %.1fs', max_inactivity_gap)) AS line
+            FROM totals JOIN gaps USING (session_id, "user") LEFT JOIN (
+              SELECT session_id, "user", string_agg(printf('%s dominance: %.1f%%', upper(left(param, 1)) || lower(substr(param, 2)),
+                     control_percent), '  |  ' ORDER BY param) AS cells
+              FROM control GROUP BY ALL) USING (session_id, "user")""", "totals", "gaps", "control"),
         "comparative_report": _with(f"""
             SELECT e.session_id, e."user", e.total_changes, {_r('engagement_percent')}, bar, panel_bar,
                    {_r('careful_percent')}, label, a."user" AS most_active_user, a.total_changes AS most_changes,

@@ -141,5 +141,6 @@ def queries() -> dict[str, Query]:
         # reports
         "session_overview": on(lambda e: reports.session_overview(e, s)),
         "session_report": on(lambda e: reports.session_report(e, s)),
+        "stats_panel": on(lambda e: reports.stats_panel(e, s)),
         "comparative_report": on(lambda e: reports.comparative_report(e, s)),
     }
