@@ -118,3 +118,23 @@ def test_nothing_found(spark, tmp_path):
     (tmp_path / "imu_log.txt").write_text("no data\n")
     with pytest.raises(ValueError, match="no sensor records"):
         parse_imu_records(read_imu_logs(spark, str(tmp_path)), require_nonempty=True)
+
+
+def test_tasks_need_no_install(tmp_path):
+    """The functions travel by value: a bare interpreter elsewhere can load and run them."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tugboard.operators import conflicts
+    from tugboard.sources import imu_logs
+
+    functions = [
+        imu_logs._split_functions, imu_logs._entry_states, imu_logs._partial_records,
+        conflicts._chain_ends, conflicts._chain_walk,
+    ]
+    (tmp_path / "functions").write_bytes(cloudpickle.dumps(functions))
+    script = "import pickle; print(len([list(f(iter([]))) for f in pickle.load(open('functions', 'rb'))[:3]]))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "3", done.stderr

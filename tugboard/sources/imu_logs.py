@@ -21,11 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tugboard.session import ensure_checkpoint_dir
 from tugboard.sources.lines import read_lines, require_rows
 
 # File name, token formats in record order, and the columns they fill.
@@ -106,8 +106,10 @@ def _split_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         count += state == 0
                         state = state + 1 if state + 1 < STATES else 0
                 states[entry], opened[entry] = state, opened[entry] + count
-        yield pd.DataFrame(done, columns=[*SPLIT, "leaves", "opens"])
-    yield pd.DataFrame(closed(), columns=[*SPLIT, "leaves", "opens"])
+        if done:
+            yield pd.DataFrame(done, columns=[*SPLIT, "leaves", "opens"])
+    if current is not None:
+        yield pd.DataFrame(closed(), columns=[*SPLIT, "leaves", "opens"])
 
 
 def _entry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,22 +126,32 @@ def _entry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[SPLIT].assign(state=entered, opened=before)
 
 
-def _accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The tokens that take part in a record, numbered by record. A split starts with its entry row."""
+def _partial_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The accepted tokens, each in the slot of its kind, one row per record and batch.
+
+    A split starts with its entry row. Rows of a record that crosses splits or batches are put
+    together afterwards.
+    """
     state, record = 0, 0
+    taken = ["session_id", "file", "kind", "token", "state", "opened"]
     for batch in batches:
-        kept, records = [], []
-        for at, (kind, entered, opened) in enumerate(zip(batch["kind"], batch["state"], batch["opened"])):
+        place, slots, is_open = [], [[] for _ in range(STATES)], False
+        for session, file, kind, token, entered, opened in zip(*(batch[c] for c in taken)):
             if kind < 0:
-                state, record = int(entered), int(opened)
+                state, record, is_open = int(entered), int(opened), False
             elif kind == state:
-                record += state == 0
-                kept.append(at)
-                records.append(record)
+                if state == 0:
+                    record, is_open = record + 1, False
+                if not is_open:
+                    place.append((session, file, record))
+                    for slot in slots:
+                        slot.append(None)
+                    is_open = True
+                slots[kind][-1] = token
                 state = state + 1 if state + 1 < STATES else 0
-        yield batch.iloc[kept][["session_id", "file", "kind", "token"]].assign(
-            record_no=np.asarray(records, dtype="int64")
-        )
+        if place:
+            rows = pd.DataFrame(place, columns=["session_id", "file", "record_no"])
+            yield rows.assign(**{f"_{kind}": slot for kind, slot in enumerate(slots)})
 
 
 def _in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -163,13 +175,14 @@ def parse_imu_records(lines: DataFrame, require_nonempty: bool = False) -> DataF
         F.lit(-1).alias("kind"), "state", "opened",
     )
     led = tokens.withColumns({"state": F.lit(0), "opened": F.lit(0).cast("long")}).unionByName(first)
-    accepted = _in_order(led, SPLIT, ["mid", "place"]).mapInPandas(
-        _accepted, "session_id string, file string, kind int, token string, record_no long"
+    slots = [f"_{kind}" for kind in range(STATES)]
+    partial = _in_order(led, SPLIT, ["mid", "place"]).mapInPandas(
+        _partial_records,
+        "session_id string, file string, record_no long, " + ", ".join(f"{slot} string" for slot in slots),
     )
-    slots = [F.max(F.when(F.col("kind") == k, F.col("token"))).alias(f"_{k}") for k in range(STATES)]
     whole = (
-        accepted.groupBy("session_id", "file", "record_no").agg(*slots)
-        .where(F.col(f"_{STATES - 1}").isNotNull())
+        partial.groupBy("session_id", "file", "record_no").agg(*[F.max(slot).alias(slot) for slot in slots])
+        .where(F.col(slots[-1]).isNotNull())
     )
     # A reading holds its numbers in column order and nothing else of their alphabet.
     numbers = {
@@ -203,7 +216,12 @@ def imu_bad_cells(records: DataFrame) -> DataFrame:
 
 
 def imu_numeric_columns(records: DataFrame) -> DataFrame:
-    """All or nothing: a column with one bad cell stays text, so that no cell is lost."""
+    """All or nothing: a column with one bad cell stays text, so that no cell is lost.
+
+    The records are looked at twice, so they are written to the checkpoint folder first.
+    """
+    ensure_checkpoint_dir(records.sparkSession)
+    records = records.checkpoint()
     bad = imu_bad_cells(records).first().asDict()
     return records.withColumns({
         name: F.col(name).cast(kind) for name, kind in IMU_NUMERIC if bad[name] == 0
