@@ -144,3 +144,23 @@ def test_a_zone_without_ticks_drops_out(spark):
     zones = detect_conflicts(events)
     assert zones.count() == 1
     assert zone_value_stats(zones, events).count() == 0
+
+
+def test_large_and_small_sessions_side_by_side(spark):
+    from tugboard.operators.activity import inactivity_gaps
+    from tugboard.operators.carefulness import carefulness
+    from tugboard.operators.segments import change_segments
+
+    frames = [
+        make_events(spark, random_rows(41, 150, span=60.0), "big"),
+        make_events(spark, random_rows(42, 30, span=15.0), "small"),
+    ]
+    events = frames[0].unionByName(frames[1])
+    mixed = PanelSettings(shared_params=("frequency", "offset"), hot_rows=15, slice_rows=9)
+    plain = PanelSettings(shared_params=("frequency", "offset"))
+    for operator in (detect_conflicts, inactivity_gaps, carefulness, change_segments):
+        found = [
+            sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in operator(events, s).collect()), key=str)
+            for s in (mixed, plain)
+        ]
+        assert found[0] == found[1] and found[0]

@@ -136,3 +136,13 @@ def test_param_page(spark, offset, names):
 
 def test_param_page_of_a_short_list(spark):
     assert [r.param for r in param_page(make_events(spark, [(0, 0, 1, "a")]), 3).collect()] == ["a"]
+
+
+def test_large_and_small_sessions_side_by_side(spark):
+    sessions = {"big": random_rows(31, 80, users=2, span=9.0), "small": random_rows(32, 12, users=2, span=9.0)}
+    frames = [make_events(spark, rows, name) for name, rows in sessions.items()]
+    events = frames[0].unionByName(frames[1])
+    mixed = PanelSettings(shared_params=("frequency", "offset"), hot_rows=30)
+    plain = PanelSettings(shared_params=("frequency", "offset"))
+    for operator in (merged_series, locf_series, ownership_segments):
+        assert sorted(operator(events, mixed).collect(), key=str) == sorted(operator(events, plain).collect(), key=str)

@@ -15,8 +15,7 @@ from tugboard.operators.roster import (
     user_totals,
     users_by_params,
 )
-from tugboard.plans.ordered import order_groups
-from tugboard.plans.sizes import session_sizes
+from tugboard.plans.ordered import combine_large, order_groups
 
 USER = ["session_id", "user"]
 SERIES = [*USER, "param"]
@@ -62,9 +61,7 @@ def _gaps(events: DataFrame, settings: PanelSettings) -> DataFrame:
     instant is kept once before anything is put in order.
     """
     counts = change_counts(events, keep=True)
-    instants = events.select(*USER, "time_sec")
-    if session_sizes(counts).largest > settings.hot_rows:
-        instants = instants.distinct()
+    instants = combine_large(events.select(*USER, "time_sec"), counts, settings, DataFrame.distinct)
     ordered = order_groups(instants, USER, ["time_sec"], settings, counts)
     gap = F.col("time_sec") - F.col("before")
     return (

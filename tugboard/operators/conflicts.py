@@ -25,8 +25,14 @@ from tugboard.functions.cells import fixed
 from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import change_counts
-from tugboard.plans.ordered import OrderedGroups, hot_by_counts, hot_groups, order_groups, slice_rows
-from tugboard.plans.sizes import session_sizes
+from tugboard.plans.ordered import (
+    OrderedGroups,
+    combine_large,
+    hot_by_counts,
+    hot_groups,
+    order_groups,
+    slice_rows,
+)
 from tugboard.session import ensure_checkpoint_dir
 
 SERIES = ["session_id", "param"]
@@ -38,30 +44,32 @@ def _shared(events: DataFrame, settings: PanelSettings) -> DataFrame:
     return events.where(F.col("param").isin(*settings.shared_params))
 
 
-def _steps(events: DataFrame, settings: PanelSettings) -> tuple[DataFrame, list[str]]:
-    """What windows are made of, with its order: single changes, or combined instants."""
-    shared = _shared(events, settings)
-    if session_sizes(change_counts(events, keep=True)).largest <= settings.hot_rows:
-        single = shared.select(
-            *SERIES, "time_sec", "user", *LINE, F.lit(1).cast("long").alias("n"), F.col("user").alias("first_user"),
-            F.col("user").alias("last_user"), F.lit(0).cast("long").alias("inner_turns"),
-        )
-        return single, ["time_sec", "user", *LINE]
-    users = shared.groupBy(*SERIES, "time_sec", "user").agg(F.count(F.lit(1)).alias("n"))
-    instants = users.groupBy(*SERIES, "time_sec").agg(
-        F.sum("n").alias("n"),
-        F.min("user").alias("first_user"),
-        F.max("user").alias("last_user"),
-        (F.count(F.lit(1)) - 1).alias("inner_turns"),
+def _steps(events: DataFrame, settings: PanelSettings) -> DataFrame:
+    """What windows are made of: single changes, or in large sessions whole instants."""
+    user = F.col("user")
+    single = _shared(events, settings).select(
+        *SERIES, "time_sec", "user", *LINE, F.lit(1).cast("long").alias("n"),
+        user.alias("last_user"), F.lit(0).cast("long").alias("inner_turns"),
     )
-    return instants, ["time_sec"]
+
+    def instants(changes: DataFrame) -> DataFrame:
+        users = changes.groupBy(*SERIES, "time_sec", "user").agg(F.sum("n").alias("n"))
+        return users.groupBy(*SERIES, "time_sec").agg(
+            F.min("user").alias("user"),
+            *[F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in LINE],
+            F.sum("n").alias("n"),
+            F.max("user").alias("last_user"),
+            (F.count(F.lit(1)) - 1).alias("inner_turns"),
+        )
+
+    return combine_large(single, change_counts(events, keep=True), settings, instants)
 
 
 def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """The look-ahead window of every instant: running totals at its end less those at its start."""
-    steps, order = _steps(events, settings)
-    ordered = order_groups(steps, SERIES, order, settings, change_counts(events, keep=True))
-    seam = F.coalesce((F.col("user_before") != F.col("first_user")).cast("long"), F.lit(0))
+    order = ["time_sec", "user", *LINE]
+    ordered = order_groups(_steps(events, settings), SERIES, order, settings, change_counts(events, keep=True))
+    seam = F.coalesce((F.col("user_before") != F.col("user")).cast("long"), F.lit(0))
     totals = (
         ordered.previous(user_before="last_user", time_before="time_sec")
         .derive(turns=F.col("inner_turns") + seam)

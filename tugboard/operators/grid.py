@@ -17,6 +17,7 @@ from tugboard.config import DEFAULTS, LINE, PanelSettings
 from tugboard.functions.clock import first_tick_beyond, first_tick_from, tick_time
 from tugboard.operators.roster import change_counts, session_bounds, users_by_params
 from tugboard.plans.joins import attach_facts
+from tugboard.plans.ordered import combine_large
 from tugboard.plans.sizes import session_sizes
 
 GRID = ("t_min", "step", "n_ticks")
@@ -26,7 +27,10 @@ _PLACED = ("lo", "time_sec", "user", *LINE, "value")
 
 
 def _placed(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings) -> DataFrame:
-    """The ``chosen`` events with the first tick that sees them, on the grid all ``events`` span."""
+    """The ``chosen`` events with the first tick that sees them, on the grid all ``events`` span.
+
+    Of large sessions only the last change per (series, tick), where ``keys`` name the series.
+    """
     counts = change_counts(events, keep=True)
     on_grid = attach_facts(
         chosen,
@@ -37,7 +41,8 @@ def _placed(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings:
         settings,
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
     extra = [c for c in _PLACED if c not in keys]
-    return on_grid.where(F.col("lo") < F.col("n_ticks")).select(*keys, *GRID, *extra)
+    placed = on_grid.where(F.col("lo") < F.col("n_ticks")).select(*keys, *GRID, *extra)
+    return combine_large(placed, counts, settings, lambda rows: _last_per_tick(rows, keys))
 
 
 def _marker(series: DataFrame, keys: Sequence[str], lo: Column) -> DataFrame:
@@ -47,26 +52,21 @@ def _marker(series: DataFrame, keys: Sequence[str], lo: Column) -> DataFrame:
     return series.select(*keys, *GRID, lo.cast("long").alias("lo"), *empty)
 
 
-def _is_large(events: DataFrame, settings: PanelSettings) -> bool:
-    return session_sizes(change_counts(events, keep=True)).largest > settings.hot_rows
-
-
 def _in_tick_order(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("lo", "time_sec", "user", *LINE)
 
 
-def _combined(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (series, tick): the last change. Columns as before."""
+def _last_per_tick(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in _PLACED if c not in keys and c != "lo"]
     last = F.max_by(F.struct(*rest), F.struct("time_sec", "user", *LINE)).alias("last")
     return placed.groupBy(*keys, *GRID, "lo").agg(last).select(*keys, *GRID, "lo", "last.*")
 
 
-def _runs(placed: DataFrame, keys: Sequence[str], large: bool, blank: bool) -> DataFrame:
+def _runs(placed: DataFrame, keys: Sequence[str], blank: bool) -> DataFrame:
     """Runs ``[lo, hi)`` of ticks under one change; ``blank`` adds the ticks before the first one."""
     along = _in_tick_order(keys)
     following = F.coalesce(F.lead("lo").over(along), F.col("n_ticks"))
-    rows = (_combined(placed, keys) if large else placed).withColumn("hi", following)
+    rows = placed.withColumn("hi", following)
     if not blank:
         runs = rows.select(*keys, *GRID, "lo", "hi", "value", F.col("user").alias("owner"))
         return runs.where(F.col("hi") > F.col("lo"))
@@ -106,7 +106,7 @@ def merged_runs(
         listed = _only(change_counts(events), None, params).select(*keys).distinct()
         series = listed.join(session_bounds(events, settings), "session_id")
         placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
-    return _runs(placed, keys, _is_large(events, settings), blank)
+    return _runs(placed, keys, blank)
 
 
 def user_runs(
@@ -121,7 +121,7 @@ def user_runs(
     listed = _only(users_by_params(change_counts(events)), users, params)
     series = listed.join(session_bounds(events, settings), "session_id")
     placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
-    return _runs(placed, keys, _is_large(events, settings), blank=True).drop("owner")
+    return _runs(placed, keys, blank=True).drop("owner")
 
 
 def clip_runs(runs: DataFrame, start: Column | None, width: float) -> DataFrame:
@@ -189,9 +189,7 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     along the series, and the ticks are spelled out last, so the long form is never shuffled.
     """
     keys = ("session_id", "param")
-    placed = _placed(events, events, keys, settings)
-    if _is_large(events, settings):
-        placed = _combined(placed, (*keys, "user"))
+    placed = _placed(events, events, (*keys, "user"), settings)
     listed = change_counts(events).select(*keys).distinct()
     series = listed.join(session_bounds(events, settings), "session_id")
     along = _in_tick_order(keys)

@@ -13,7 +13,7 @@ readers of the slices must see the same cut, also when a lost executor makes Spa
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -67,6 +67,22 @@ def hot_by_counts(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFra
     return hot_groups(counts, keys, limit, "changes")
 
 
+def combine_large(
+    rows: DataFrame, counts: DataFrame, settings: PanelSettings, combine: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``combine`` applied to the rows of large sessions only; it must keep the columns.
+
+    Combining costs a shuffle of its own. It pays where a session is large, and would only be in the
+    way of all others.
+    """
+    large = hot_by_counts(counts, ["session_id"], settings.hot_rows)
+    if large is None:
+        return rows
+    marked = F.broadcast(large.select("session_id"))  # at most MAX_HOT_GROUPS
+    small = rows.join(marked, "session_id", "left_anti")
+    return small.unionByName(combine(rows.join(marked, "session_id", "left_semi")))
+
+
 @dataclass(frozen=True)
 class OrderedGroups:
     frame: DataFrame
