@@ -14,6 +14,7 @@ users, which is all a window asks for.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -159,21 +160,26 @@ def _with_enough_users(windows: DataFrame, events: DataFrame, settings: PanelSet
     departures = lived.where(F.col("later").isNull() | (F.col("time_sec") + width < F.col("later")))
     open_at = windows.select(*SERIES, "start_time", F.col("start_time").alias("at"))
     until = open_at.withColumn("at", F.col("at") + width)
-    arrived = _passed(arrivals, until, True, settings).withColumnRenamed("passed", "arrived")
-    gone = _passed(departures, open_at, False, settings).withColumnRenamed("passed", "gone")
+    arrived = _passed(arrivals, until, True, counts, settings).withColumnRenamed("passed", "arrived")
+    gone = _passed(departures, open_at, False, counts, settings).withColumnRenamed("passed", "gone")
     enough = F.col("arrived") - F.col("gone") >= settings.min_users
     window = [*SERIES, "start_time"]
     return windows.join(arrived, window).join(gone, window).where(enough).drop("arrived", "gone")
 
 
-def _passed(marks: DataFrame, questions: DataFrame, inclusive: bool, settings: PanelSettings) -> DataFrame:
+def _passed(
+    marks: DataFrame, questions: DataFrame, inclusive: bool, counts: DataFrame, settings: PanelSettings
+) -> DataFrame:
     """Per question the number of marks before its ``at``, or up to and with it."""
+    # A series has at most one mark and one question per change.
+    halved = replace(settings, hot_rows=settings.hot_rows // 2)
     ranked = marks.select(
         *SERIES, F.col("time_sec").alias("at"), F.lit(0 if inclusive else 2).alias("turn"),
         F.lit(None).cast("double").alias("start_time"), F.lit(1).alias("one"),
     ).unionByName(questions.withColumns({"turn": F.lit(1), "one": F.lit(0)}))
-    counted = order_groups(ranked, SERIES, ["at", "turn", "start_time"], settings).running(passed=("sum", "one"))
-    return counted.done().where(F.col("turn") == 1).select(*SERIES, "start_time", "passed")
+    ordered = order_groups(ranked, SERIES, ["at", "turn", "start_time"], halved, counts)
+    counted = ordered.running(passed=("sum", "one")).done()
+    return counted.where(F.col("turn") == 1).select(*SERIES, "start_time", "passed")
 
 
 def _greedy_fold(candidates: Column) -> Column:
