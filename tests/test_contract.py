@@ -14,6 +14,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import __spark_entry__ as contract  # noqa: E402
 from check_oracle import compare  # noqa: E402
+from tugboard.workload import oracle, queries  # noqa: E402
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -27,10 +28,10 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql()) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(queries.queries()))
 def test_query_equals_sql(spark, connection, name):
     verdict = compare(spark, connection, TABLES, name)
     assert verdict.startswith("ok") and "TYPES" not in verdict, verdict
