@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tugboard.llm import bpe_codec, line_dedup, mixing, quality_rules, simhash_dedup
+from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, mixing, quality_rules, simhash_dedup, token_output, url_filters
+from tugboard.llm.url_filters import GivenRule
+from tugboard.session import ensure_checkpoint_dir
 
 # Where the vocabulary files of public tokenizers lie; every executor needs them there.
 TOKENIZERS = os.environ.get("TUGBOARD_TOKENIZERS", "/opt/tokenizers")
 
+# The rules that url verdicts start from.
+URL_RULES = [
+    GivenRule("allow", "org", "/"),
+    GivenRule("block", "example.org", "/es/"),
+    GivenRule("block", "example.org", "/en/1"),
+    GivenRule("allow", "com", "/fr/"),
+    GivenRule("block", "com", "/de/"),
+]
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,10 +34,21 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(_documents(spark, sf_dir))
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4()}"
+    token_output.write_tokens(_documents(spark, sf_dir), folder, token_output.TokenRule(f"{TOKENIZERS}/word_bpe_49k.json"))
+    return token_output.read_tokens(spark, folder, with_ids=False)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_documents(spark, sf_dir))
 
@@ -37,12 +60,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return url_filters.filter_urls(pages, labels, URL_RULES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("source", "host_rate")
 
 
+def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.katz_scores(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op2_bpe_codec, op4_simhash_near_dedup, op6_source_mixing, op7_line_dedup, op9_quality_rules,
+        op2_bpe_codec, op3_embedding_near_dedup, op4_simhash_near_dedup,
+        op5_token_id_output, op6_source_mixing, op7_line_dedup,
+        op8_url_filters, op9_quality_rules, op10_katz_lm,
     )
     return {query.__name__: query for query in every}
