@@ -30,11 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tugboard.llm.packed import NAMES, ROWS, batch, pack, row, shard_of, table, unpack
 from tugboard.llm.shared import bounded_batches, fresh, stored, texts
 
 UNKNOWN, START, FIRST = 0, 1, 2   # ids: of unseen words, of the context before the first token, of the first word
@@ -50,18 +50,6 @@ class KatzRule:
     shard_rows: int = 2_000_000     # distinct words or pairs, summed over the groups, aimed at per shard
 
 
-def pack(values: np.ndarray) -> bytes:
-    """An array, byte place by byte place, compressed: most high bytes are zero."""
-    flat = np.ascontiguousarray(values)
-    return zstandard.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), 1)
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
 class Numbering(dict):
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -99,29 +87,6 @@ class Single:
         return np.where(counts > 0, worth / self.total, self.unseen)
 
 
-def _mix(values: np.ndarray, shards: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
-GROUPS = "kind string, grp bigint, shard int, n bigint, a binary, b binary, c binary, d binary, e binary"
-_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-_NAMES = [field.split()[0] for field in GROUPS.split(", ")]
-
-
-def _row(kind: str, group: int, shard: int, n: int, *packed: bytes) -> list:
-    return [kind, group, shard, n, *packed, *[None] * (5 - len(packed))]
-
-
-def _batch(rows: list[list]) -> list[pa.Array]:
-    return [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(_KINDS)]
-
-
-def _table(rows: list[list]) -> pa.Table:
-    return pa.Table.from_arrays(_batch(rows), _NAMES)
-
-
 def numbered_groups(docs: DataFrame, id: str, text: str, shards: int, rule: KatzRule) -> DataFrame:
     """Rows ``docs``: the documents of a group as numbers of its words. Rows ``words``: its words by shard.
 
@@ -129,7 +94,7 @@ def numbered_groups(docs: DataFrame, id: str, text: str, shards: int, rule: Katz
     in the order of the numbers. ``shards`` is the number of word shards.
     """
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part = TaskContext.get().partitionId(), 0
+        task, turn = TaskContext.get().partitionId(), 0
         words, docs_now, tokens, size = Numbering({b" ": 0}), [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -139,22 +104,22 @@ def numbered_groups(docs: DataFrame, id: str, text: str, shards: int, rule: Katz
             lengths = np.array([len(x) for x in tokens], np.int64)
             flat = np.concatenate(tokens)
             hashes = np.fromiter((xxhash.xxh64_intdigest(word) for word in words), np.uint64, len(words))
-            order = np.lexsort((hashes, _mix(hashes, shards)))
+            order = np.lexsort((hashes, shard_of(hashes, shards)))
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
             hashes, flat = hashes[order], place[flat]
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(order))
-            group = task << 24 | part
-            rows = [_row("docs", group, 0, int(trained.sum()), pack(ids), pack(known), pack(held), pack(lengths), pack(flat))]
-            cuts = np.searchsorted(_mix(hashes, shards), np.arange(shards + 1))
+            group = task << 24 | turn
+            rows = [row("docs", group, 0, int(trained.sum()), pack(ids), pack(known), pack(held), pack(lengths), pack(flat))]
+            cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
             rows += [
-                _row("words", group, s, int(cuts[s + 1] - cuts[s]), pack(hashes[cuts[s]: cuts[s + 1]]), pack(trained[cuts[s]: cuts[s + 1]].astype(np.uint32)))
+                row("words", group, s, int(cuts[s + 1] - cuts[s]), pack(hashes[cuts[s]: cuts[s + 1]]), pack(trained[cuts[s]: cuts[s + 1]].astype(np.uint32)))
                 for s in range(shards)
             ]
-            return pa.RecordBatch.from_arrays(_batch(rows), _NAMES)
+            return batch(rows)
 
-        for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+        for read in batches:
+            for doc, body in zip(read.column(0).to_pylist(), texts(read.column(1)), strict=True):
                 numbers = list(map(words.__getitem__, body.lower().split()))
                 numbers.append(0)  # the end; no word has a space in it
                 docs_now.append(doc)
@@ -162,13 +127,13 @@ def numbered_groups(docs: DataFrame, id: str, text: str, shards: int, rule: Katz
                 size += len(numbers)
                 if size >= rule.group_tokens:
                     yield closed()
-                    part += 1
+                    turn += 1
                     words, docs_now, tokens, size = Numbering({b" ": 0}), [], [], 0
         if docs_now:
             yield closed()
 
     taken = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return taken.mapInArrow(number, GROUPS)
+    return taken.mapInArrow(number, ROWS)
 
 
 def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,24 +147,24 @@ def _histogram(counts: np.ndarray, most: int) -> np.ndarray:
 
 def word_answers(asked: DataFrame, shards: int, hot: int, rule: KatzRule) -> DataFrame:
     """Rows ``answer`` (ids, counts) for each group and shard; ``seen``: a shard's counts of counts; ``hot``: common words."""
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
+    def answer(key: tuple, part: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        keys = [unpack(x, np.uint64) for x in table.column("a").to_pylist()]
-        distinct, counts, where = _added_up(keys, [unpack(x, np.uint32) for x in table.column("b").to_pylist()])
+        keys = [unpack(x, np.uint64) for x in part.column("a").to_pylist()]
+        distinct, counts, where = _added_up(keys, [unpack(x, np.uint32) for x in part.column("b").to_pylist()])
         ids = np.where(counts > 0, FIRST + np.arange(len(distinct)) * shards + shard, UNKNOWN).astype(np.uint64)
         common = np.flatnonzero(counts > hot)
         rows = [
-            _row("seen", -1, shard, int((counts > 0).sum()), pack(_histogram(counts, rule.discounted))),
-            _row("hot", -1, shard, len(common), pack(ids[common])),
+            row("seen", -1, shard, int((counts > 0).sum()), pack(_histogram(counts, rule.discounted))),
+            row("hot", -1, shard, len(common), pack(ids[common])),
         ]
         at = 0
-        for group, own in zip(table.column("grp").to_pylist(), keys, strict=True):
+        for group, own in zip(part.column("grp").to_pylist(), keys, strict=True):
             mine = where[at: at + len(own)]
-            rows.append(_row("answer", group, shard, len(own), pack(ids[mine]), pack(counts[mine])))
+            rows.append(row("answer", group, shard, len(own), pack(ids[mine]), pack(counts[mine])))
             at += len(own)
-        return _table(rows)
+        return table(rows)
 
-    return asked.groupBy("shard").applyInArrow(answer, GROUPS)
+    return asked.groupBy("shard").applyInArrow(answer, ROWS)
 
 
 def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray, rule: KatzRule, tokens: int, distinct: int) -> DataFrame:
@@ -210,8 +175,8 @@ def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray, rule: KatzR
     """
     floor = float(tokens + 0.5 * (distinct + 1))
 
-    def pair(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def pair(key: tuple, part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
         docs = next(r for r in rows if r["kind"] == "docs")
         answers = sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["shard"])
         ids = np.concatenate([unpack(r["a"], np.uint64) for r in answers])
@@ -230,7 +195,7 @@ def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray, rule: KatzR
         alone_of[place] = alone
         lefts, rights = heads[(pairs >> np.uint64(32)).astype(np.int64)], tails[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
         mixed = np.where(np.isin(lefts, hot), lefts * np.uint64(0x2545F4914F6CDD1D) + rights, lefts)
-        shard = _mix(mixed, shards)
+        shard = shard_of(mixed, shards)
         order = np.argsort(shard, kind="stable")
         moved = np.empty(len(order), np.uint32)
         moved[order] = np.arange(len(order), dtype=np.uint32)
@@ -239,17 +204,17 @@ def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray, rule: KatzR
         base = np.log10((alone + 0.5) / floor)
         base_score, known = np.add.reduceat(base, first), np.add.reduceat((alone > 0).astype(np.int64), first)
         group = docs["grp"]
-        head_row = np.stack([unpack(docs["a"], np.int64), unpack(docs["b"], bool).astype(np.int64), held.astype(np.int64), lengths, known])
-        out = [_row("docs", group, 0, len(lengths), pack(head_row.reshape(-1)), pack(base_score), pack(moved[place]))]
+        headrow = np.stack([unpack(docs["a"], np.int64), unpack(docs["b"], bool).astype(np.int64), held.astype(np.int64), lengths, known])
+        out = [row("docs", group, 0, len(lengths), pack(headrow), pack(base_score), pack(moved[place]))]
         for s in range(shards):
             own = slice(cuts[s], cuts[s + 1])
             starts = np.flatnonzero(np.diff(lefts[own].astype(np.int64), prepend=-1))
             runs = np.diff(np.append(starts, cuts[s + 1] - cuts[s])).astype(np.uint32)
-            out.append(_row("pairs", group, s, int(cuts[s + 1] - cuts[s]), pack(lefts[own][starts]), pack(runs), pack(rights[own]),
+            out.append(row("pairs", group, s, int(cuts[s + 1] - cuts[s]), pack(lefts[own][starts]), pack(runs), pack(rights[own]),
                             pack(alone_of[own].astype(np.int64)), pack(trained[own])))
-        return _table(out)
+        return table(out)
 
-    return groups.groupBy("grp").applyInArrow(pair, GROUPS)
+    return groups.groupBy("grp").applyInArrow(pair, ROWS)
 
 
 def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRule) -> DataFrame:
@@ -258,8 +223,8 @@ def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRu
     after it have alone. ``seen``: counts of counts. ``hot``: the same sums of the common contexts' parts."""
     most = rule.discounted
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        shard, rows = key[0].as_py(), table.to_pylist()
+    def answer(key: tuple, part: pa.Table) -> pa.Table:
+        shard, rows = key[0].as_py(), part.to_pylist()
         contexts = [unpack(r["a"], np.uint64) for r in rows]
         runs = [unpack(r["b"], np.uint32) for r in rows]
         left = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs, strict=True)])
@@ -277,17 +242,17 @@ def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRu
         rare = np.stack([np.bincount(of[counts == r], minlength=len(heads)) for r in range(1, most + 1)], axis=1).astype(np.uint32)
         common = np.flatnonzero(np.isin(heads, hot))
         out = [
-            _row("seen", -1, shard, 0, pack(_histogram(counts, most))),
-            _row("hot", -1, shard, len(common), pack(heads[common]), pack(rare[common].reshape(-1)), pack(whole[common]), pack(share[common])),
+            row("seen", -1, shard, 0, pack(_histogram(counts, most))),
+            row("hot", -1, shard, len(common), pack(heads[common]), pack(rare[common]), pack(whole[common]), pack(share[common])),
         ]
         at = 0
         for r, own in zip(rows, contexts, strict=True):
             mine, h = counts[place[at: at + r["n"]]], np.searchsorted(heads, own)
-            out.append(_row("answer", r["grp"], shard, r["n"], pack(mine), pack(rare[h].reshape(-1)), pack(whole[h]), pack(share[h]), r["a"]))
+            out.append(row("answer", r["grp"], shard, r["n"], pack(mine), pack(rare[h]), pack(whole[h]), pack(share[h]), r["a"]))
             at += r["n"]
-        return _table(out)
+        return table(out)
 
-    return asked.groupBy("shard").applyInArrow(answer, GROUPS)
+    return asked.groupBy("shard").applyInArrow(answer, ROWS)
 
 
 def log_probabilities(counts: np.ndarray, alone: np.ndarray, rare: np.ndarray, whole: np.ndarray, share: np.ndarray,
@@ -310,8 +275,8 @@ def group_scores(groups: DataFrame, hot: dict[int, tuple], worth: np.ndarray, si
     hot_whole, hot_share = np.array([hot[h][1] for h in sorted(hot)], np.int64), np.array([hot[h][2] for h in sorted(hot)], np.float64)
     names = [name, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def score(key: tuple, part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
         docs = next(r for r in rows if r["kind"] == "docs")
         asked = {r["shard"]: r for r in rows if r["kind"] == "pairs"}
         logs = [np.zeros(0)]
@@ -380,5 +345,5 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
         for context, rare, whole, share in zip(*parts, strict=True):
             now = sums.setdefault(int(context), [np.zeros(most, np.int64), 0, 0.0])
             now[0], now[1], now[2] = now[0] + rare, now[1] + int(whole), now[2] + float(share)
-    together = pairs.select(*_NAMES).unionByName(answers.where("kind = 'answer'").select(*_NAMES))
+    together = pairs.select(*NAMES).unionByName(answers.where("kind = 'answer'").select(*NAMES))
     return group_scores(together, {k: tuple(v) for k, v in sums.items()}, worth, single, tokens, name)

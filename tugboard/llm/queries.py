@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, mixing, quality_rules, simhash_dedup, token_output, url_filters
+from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, mixing, prefix_free_dedup, quality_rules, simhash_dedup, token_output, url_filters
 from tugboard.llm.url_filters import GivenRule
 from tugboard.session import ensure_checkpoint_dir
 
@@ -30,6 +30,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free_dedup.remove_repeats(_documents(spark, sf_dir))
+    removed = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("begins").cast("bigint").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(_documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -75,7 +83,7 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op2_bpe_codec, op3_embedding_near_dedup, op4_simhash_near_dedup,
+        op1_suffix_array_dedup, op2_bpe_codec, op3_embedding_near_dedup, op4_simhash_near_dedup,
         op5_token_id_output, op6_source_mixing, op7_line_dedup,
         op8_url_filters, op9_quality_rules, op10_katz_lm,
     )
