@@ -11,7 +11,8 @@ and keeps the documents as arrays of these numbers. From then on only what is di
    shard adds up all groups and answers each with the ids and counts of its words, in the order asked.
 2. ``pairs``: the group's pairs of ids, dealt by context, with their counts. A shard adds up and answers
    with the counts of the pairs and, per context, what its backoff weight needs.
-3. Each group puts the scores of its documents together.
+3. Each group puts the scores of its documents together, its pairs worked out once more: they would
+   take more room than its texts.
 
 All four tables (groups, words, pairs, answers) are partitioned Parquet in the shared folder, so a lost
 executor repeats a part of one step. A shard is a task; the number of shards follows the number of
@@ -46,8 +47,8 @@ class KatzRule:
     folds: int = 5
     held_out_fold: int = 1
     discounted: int = 5             # counts up to this one are discounted
-    group_tokens: int = 4_000_000   # of the documents a task keeps at a time
-    shard_rows: int = 2_000_000     # distinct words or pairs, summed over the groups, aimed at per shard
+    group_tokens: int = 2_200_000   # of the documents a task keeps at a time
+    shard_rows: int = 1_000_000     # distinct words or pairs, summed over the groups, aimed at per shard
 
 
 class Numbering(dict):
@@ -167,58 +168,69 @@ def word_answers(asked: DataFrame, shards: int, hot: int, rule: KatzRule) -> Dat
     return asked.groupBy("shard").applyInArrow(answer, ROWS)
 
 
-def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray, rule: KatzRule, tokens: int, distinct: int) -> DataFrame:
-    """From a group's ``docs`` and ``answer`` rows, rows ``pairs`` for each shard and a row ``docs`` that refers to them.
+class Pairs:
+    """The distinct pairs of a group, from its ``docs`` row and its ``answer`` rows to ``words``.
 
-    Pairs are kept by (shard, context, token): ``a`` contexts, ``b`` how many pairs each has, ``c``
-    tokens, ``d`` counts of the tokens alone, ``e`` counts of the pairs in the group's training texts.
+    They are in the order of (shard, context, token) by the group's numbers, so that the shards' answers, one after another,
+    are in this order. ``of`` has the pair of each token of the group.
     """
-    floor = float(tokens + 0.5 * (distinct + 1))
 
-    def pair(key: tuple, part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
+    def __init__(self, rows: list[dict], shards: int, hot: np.ndarray):
         docs = next(r for r in rows if r["kind"] == "docs")
         answers = sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["shard"])
         ids = np.concatenate([unpack(r["a"], np.uint64) for r in answers])
         counts = np.concatenate([unpack(r["b"], np.int64) for r in answers])
-        lengths, flat, held = unpack(docs["d"], np.int64), unpack(docs["e"], np.uint32), unpack(docs["c"], bool)
-        word, alone = ids[flat], counts[flat]
-        first = np.cumsum(lengths) - lengths
-        context = np.concatenate([[0], word[:-1]]).astype(np.uint64)
-        context[first] = START
-        # Numbers of contexts and words within the group fit in 32 bits each, so a pair is one number.
-        heads, head = np.unique(context, return_inverse=True)
-        tails, tail = np.unique(word, return_inverse=True)
-        pairs, place = np.unique(head.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64), return_inverse=True)
-        trained = np.bincount(place, np.repeat(~held, lengths), len(pairs)).astype(np.uint32)
-        alone_of = np.zeros(len(pairs), np.uint32 if alone.max() < 2**32 else np.int64)
-        alone_of[place] = alone
-        lefts, rights = heads[(pairs >> np.uint64(32)).astype(np.int64)], tails[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
-        mixed = np.where(np.isin(lefts, hot), lefts * np.uint64(0x2545F4914F6CDD1D) + rights, lefts)
+        self.group, self.ids, self.known = docs["grp"], unpack(docs["a"], np.int64), unpack(docs["b"], bool)
+        self.held, self.lengths = unpack(docs["c"], bool), unpack(docs["d"], np.int64)
+        flat = unpack(docs["e"], np.uint32)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        # Numbers of words within the group fit in 32 bits, so a pair is one number; the number after
+        # the last word's is that of the context before a document's first token.
+        context = np.empty_like(flat)
+        context[1:] = flat[:-1]
+        context[self.first] = len(ids)
+        pairs, place = np.unique(context.astype(np.uint64) << np.uint64(32) | flat, return_inverse=True)
+        heads = np.append(ids, np.uint64(START)).astype(np.uint64)
+        contexts, tokens = heads[(pairs >> np.uint64(32)).astype(np.int64)], ids[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
+        alone = counts[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
+        del context, flat
+        mixed = np.where(np.isin(contexts, hot), contexts * np.uint64(0x2545F4914F6CDD1D) + tokens, contexts)
         shard = shard_of(mixed, shards)
         order = np.argsort(shard, kind="stable")
         moved = np.empty(len(order), np.uint32)
         moved[order] = np.arange(len(order), dtype=np.uint32)
-        lefts, rights, trained, alone_of, shard = lefts[order], rights[order], trained[order], alone_of[order], shard[order]
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        base = np.log10((alone + 0.5) / floor)
-        base_score, known = np.add.reduceat(base, first), np.add.reduceat((alone > 0).astype(np.int64), first)
-        group = docs["grp"]
-        headrow = np.stack([unpack(docs["a"], np.int64), unpack(docs["b"], bool).astype(np.int64), held.astype(np.int64), lengths, known])
-        out = [row("docs", group, 0, len(lengths), pack(headrow), pack(base_score), pack(moved[place]))]
-        for s in range(shards):
-            own = slice(cuts[s], cuts[s + 1])
-            starts = np.flatnonzero(np.diff(lefts[own].astype(np.int64), prepend=-1))
-            runs = np.diff(np.append(starts, cuts[s + 1] - cuts[s])).astype(np.uint32)
-            out.append(row("pairs", group, s, int(cuts[s + 1] - cuts[s]), pack(lefts[own][starts]), pack(runs), pack(rights[own]),
-                            pack(alone_of[own].astype(np.int64)), pack(trained[own])))
+        self.of, self.contexts, self.tokens = moved[place], contexts[order], tokens[order]
+        self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        self.alone = alone[order]
+
+    def runs(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of a shard in turn, and how many pairs each has."""
+        own = self.contexts[self.cuts[shard]: self.cuts[shard + 1]]
+        starts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
+        return own[starts], np.diff(np.append(starts, len(own))).astype(np.uint32)
+
+    def per_document(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first)
+
+
+def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """A row ``pairs`` for each group and shard: ``a`` contexts, ``b`` how many pairs each has, ``c`` tokens,
+    ``d`` counts of the tokens alone, ``e`` counts of the pairs in the group's training texts."""
+    def pair(key: tuple, part: pa.Table) -> pa.Table:
+        pairs = Pairs(part.to_pylist(), shards, hot)
+        trained = np.bincount(pairs.of, np.repeat(~pairs.held, pairs.lengths), len(pairs.contexts)).astype(np.uint32)
+        out = []
+        for s in np.flatnonzero(np.diff(pairs.cuts)):
+            own = slice(pairs.cuts[s], pairs.cuts[s + 1])
+            contexts, runs = pairs.runs(s)
+            out.append(row("pairs", pairs.group, s, own.stop - own.start, pack(contexts), pack(runs), pack(pairs.tokens[own]), pack(pairs.alone[own]), pack(trained[own])))
         return table(out)
 
     return groups.groupBy("grp").applyInArrow(pair, ROWS)
 
 
 def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRule) -> DataFrame:
-    """Rows ``answer`` for each group and shard: ``a`` counts of its pairs, and for each of its contexts in
+    """Rows ``counts`` for each group and shard: ``a`` counts of its pairs, and for each of its contexts in
     turn ``b`` the pairs seen once, twice, ..., ``c`` all of its pairs' counts, ``d`` what the tokens seen
     after it have alone. ``seen``: counts of counts. ``hot``: the same sums of the common contexts' parts."""
     most = rule.discounted
@@ -234,10 +246,12 @@ def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRu
         heads, head = np.unique(left, return_inverse=True)
         tails, tail = np.unique(right, return_inverse=True)
         pairs, first, place = np.unique(head.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64), return_index=True, return_inverse=True)
+        alone = alone[first]
+        del left, right, head, tail, tails
         counts = np.bincount(place, trained, len(pairs)).astype(np.int64)
         of = (pairs >> np.uint64(32)).astype(np.int64)
         seen = counts > 0
-        share = np.bincount(of[seen], single.of(alone[first])[seen], len(heads))
+        share = np.bincount(of[seen], single.of(alone[seen]), len(heads))
         whole = np.bincount(of, counts, len(heads)).astype(np.int64)
         rare = np.stack([np.bincount(of[counts == r], minlength=len(heads)) for r in range(1, most + 1)], axis=1).astype(np.uint32)
         common = np.flatnonzero(np.isin(heads, hot))
@@ -248,7 +262,7 @@ def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRu
         at = 0
         for r, own in zip(rows, contexts, strict=True):
             mine, h = counts[place[at: at + r["n"]]], np.searchsorted(heads, own)
-            out.append(row("answer", r["grp"], shard, r["n"], pack(mine), pack(rare[h]), pack(whole[h]), pack(share[h]), r["a"]))
+            out.append(row("counts", r["grp"], shard, r["n"], pack(mine), pack(rare[h]), pack(whole[h]), pack(share[h])))
             at += r["n"]
         return table(out)
 
@@ -267,9 +281,9 @@ def log_probabilities(counts: np.ndarray, alone: np.ndarray, rare: np.ndarray, w
     return np.log10(np.where(counts > 0, valued / np.maximum(total, 1), backoff * single.of(alone)))
 
 
-def group_scores(groups: DataFrame, hot: dict[int, tuple], worth: np.ndarray, single: Single, tokens: int, name: str) -> DataFrame:
-    """The rows of the result, from a group's ``docs``, ``pairs`` and ``answer`` rows."""
-    most = len(worth) - 1
+def group_scores(groups: DataFrame, shards: int, hot: dict[int, tuple], worth: np.ndarray, single: Single, tokens: int, distinct: int, name: str) -> DataFrame:
+    """The rows of the result, from a group's ``docs`` row and its answers to ``words`` and to ``pairs``."""
+    most, floor = len(worth) - 1, tokens + 0.5 * (distinct + 1)
     hot_ids = np.array(sorted(hot), np.uint64)
     hot_rare = np.array([hot[h][0] for h in sorted(hot)], np.int64).reshape(-1, most)
     hot_whole, hot_share = np.array([hot[h][1] for h in sorted(hot)], np.int64), np.array([hot[h][2] for h in sorted(hot)], np.float64)
@@ -277,28 +291,22 @@ def group_scores(groups: DataFrame, hot: dict[int, tuple], worth: np.ndarray, si
 
     def score(key: tuple, part: pa.Table) -> pa.Table:
         rows = part.to_pylist()
-        docs = next(r for r in rows if r["kind"] == "docs")
-        asked = {r["shard"]: r for r in rows if r["kind"] == "pairs"}
-        logs = [np.zeros(0)]
-        for r in sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["shard"]):
-            runs = unpack(asked[r["shard"]]["b"], np.uint32)
-            context, rare = unpack(r["e"], np.uint64), unpack(r["b"], np.uint32).astype(np.int64).reshape(-1, most)
-            whole, share = unpack(r["c"], np.int64), unpack(r["d"], np.float64)
+        pairs = Pairs(rows, shards, hot_ids)
+        logs = np.empty(len(pairs.contexts))
+        for r in (r for r in rows if r["kind"] == "counts"):
+            own = slice(pairs.cuts[r["shard"]], pairs.cuts[r["shard"] + 1])
+            context, runs = pairs.runs(r["shard"])
+            rare, whole, share = unpack(r["b"], np.uint32).astype(np.int64).reshape(-1, most), unpack(r["c"], np.int64), unpack(r["d"], np.float64)
             common = np.flatnonzero(np.isin(context, hot_ids))
             at = np.searchsorted(hot_ids, context[common])
-            whole, share = whole.copy(), share.copy()
             rare[common], whole[common], share[common] = hot_rare[at], hot_whole[at], hot_share[at]
-            logs.append(log_probabilities(
-                unpack(r["a"], np.int64), unpack(asked[r["shard"]]["d"], np.int64), np.repeat(rare, runs, axis=0),
-                np.repeat(whole, runs), np.repeat(share, runs), worth, single,
-            ))
-        head = unpack(docs["a"], np.int64).reshape(5, -1)
-        ids, known_id, held, lengths, known = head
-        values = np.concatenate(logs)[unpack(docs["c"], np.uint32)]
-        sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
+            logs[own] = log_probabilities(
+                unpack(r["a"], np.int64), pairs.alone[own], np.repeat(rare, runs, axis=0), np.repeat(whole, runs), np.repeat(share, runs), worth, single
+            )
         return pa.Table.from_arrays([
-            pa.array(ids, mask=known_id == 0), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known),
-            pa.array(np.full(len(ids), tokens, np.int64)), pa.array(unpack(docs["b"], np.float64)), pa.array(sums),
+            pa.array(pairs.ids, mask=~pairs.known), pa.array(pairs.held), pa.array(pairs.lengths),
+            pa.array(pairs.per_document((pairs.alone > 0).astype(np.int64)[pairs.of])), pa.array(np.full(len(pairs.ids), tokens, np.int64)),
+            pa.array(pairs.per_document(np.log10((pairs.alone + 0.5) / floor)[pairs.of])), pa.array(pairs.per_document(logs[pairs.of])),
         ], names)
 
     schema = f"`{name}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -335,9 +343,9 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
     hot = np.sort(np.concatenate([np.array([START], np.uint64), *_summed(words, "hot", np.uint64)]))
     rows = asked.agg(F.sum("n")).first()[0] or 0
     pair_shards = max(4, -(-3 * rows // rule.shard_rows))
-    answered = own.unionByName(words.where("kind = 'answer'"))
-    pairs = stored(pairs_of_groups(answered, pair_shards, hot, rule, tokens, distinct), "kind")
-    answers = stored(pair_answers(pairs.where("kind = 'pairs'"), hot, single, rule), "kind")
+    answered = own.unionByName(words.where("kind = 'answer'")).select(*NAMES)
+    pairs = stored(pairs_of_groups(answered, pair_shards, hot))
+    answers = stored(pair_answers(pairs, hot, single, rule), "kind")
     worth = discounts(sum(_summed(answers, "seen", np.int64), np.zeros(most + 2, np.int64)), most)
     sums: dict[int, list] = {}
     for r in answers.where("kind = 'hot'").select("a", "b", "c", "d").toLocalIterator():  # a row per shard
@@ -345,5 +353,5 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
         for context, rare, whole, share in zip(*parts, strict=True):
             now = sums.setdefault(int(context), [np.zeros(most, np.int64), 0, 0.0])
             now[0], now[1], now[2] = now[0] + rare, now[1] + int(whole), now[2] + float(share)
-    together = pairs.select(*NAMES).unionByName(answers.where("kind = 'answer'").select(*NAMES))
-    return group_scores(together, {k: tuple(v) for k, v in sums.items()}, worth, single, tokens, name)
+    together = answered.unionByName(answers.where("kind = 'counts'").select(*NAMES))
+    return group_scores(together, pair_shards, {k: tuple(v) for k, v in sums.items()}, worth, single, tokens, distinct, name)

@@ -24,7 +24,7 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.array(planes.T, order="C").view(kind).reshape(-1)
 
 
 def row(kind: str, group: int, shard: int, n: int, *packed: bytes) -> list:

@@ -1,8 +1,8 @@
 """Token ids in files: Huffman-coded blocks in the order of the documents, and reading them back.
 
-A first pass counts the ids of all documents, which gives one canonical code for the whole output. A
-second pass deals the documents out in ranges of their ids, puts each range in order, encodes it and
-writes it down. The ids themselves are never shuffled or kept.
+The documents are dealt out in ranges of their ids, and each range is put in order and tokenized once;
+its ids are written down in blocks, compressed as they are. The counts of all these give one canonical
+code for the whole output, and the blocks are coded with it where they lie.
 
 The format: a folder with two Parquet tables. ``code`` has the length of each id's code, which is all a
 canonical code needs. ``blocks`` has rows that can each be read alone:
@@ -29,18 +29,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tugboard.llm.huffman import Code, code_lengths
-from tugboard.llm.shared import bounded_batches, ragged, worker_state
+from tugboard.llm.shared import bounded_batches, ragged, stored, worker_state
 
 BLOCKS = "file int, block int, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, bits binary"
 BLOCK_IDS = 1 << 16       # a block is closed by the document that reaches it
 BLOCKS_AT_ONCE = 16
-KNOWN_CHUNKS = 600_000    # what a worker remembers before it starts anew
+KNOWN_CHUNKS = 1_500_000  # what a worker remembers before it starts anew
 
 
 @dataclass(frozen=True)
@@ -61,36 +62,40 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("i"), array("q", [0])
 
-    def numbers(self, texts: list[str]) -> list[list[int]]:
-        """For each text the numbers of its stretches; ``spans`` says which ids a number stands for."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self._forget()
-        known = self.known
-        chunked = [text.replace("\n", " ").split(" ") for text in texts]
-        new = [chunk for chunk in set(chain.from_iterable(chunked)) if chunk not in known]
+    def _learn(self, new: list[str]) -> None:
         for begin in range(0, len(new), 10_000):
             part = new[begin: begin + 10_000]
             for chunk, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = len(known)
+                self.known[chunk] = len(self.known)
                 self.ids.extend(encoded.ids)
                 self.ends.append(len(self.ids))
-        return [list(map(known.__getitem__, chunks)) for chunks in chunked]
-
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.ids, np.int32), np.array(self.ends, np.int64)
 
-    def encode(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-        numbered = self.numbers(texts)
-        ids, ends = self.spans()
-        for numbers in numbered:
-            chosen = np.array(numbers, np.int64)
-            yield np.append(ids[ragged(ends[chosen], ends[chosen + 1] - ends[chosen])], np.int32(end_id))
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another and each with the end id behind it, and how many each has."""
+        if len(self.known) > KNOWN_CHUNKS:
+            self._forget()
+        known = self.known
+        chunked = [text.replace("\n", " ").split(" ") for text in texts]
+        numbered = [list(map(known.get, chunks)) for chunks in chunked]
+        open_ = [k for k, numbers in enumerate(numbered) if None in numbers]
+        if open_:
+            self._learn(list({chunk for k in open_ for chunk, number in zip(chunked[k], numbered[k], strict=True) if number is None}))
+            for k in open_:
+                numbered[k] = list(map(known.__getitem__, chunked[k]))
+        sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
+        chosen = np.fromiter(chain.from_iterable(numbered), np.int64, int(sizes.sum()))
+        ids, ends = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32), np.frombuffer(self.ends, np.int64)
+        lengths = ends[chosen + 1] - ends[chosen]
+        flat = ids[ragged(ends[chosen], lengths)]
+        counts = np.add.reduceat(lengths, np.cumsum(sizes) - sizes) if len(sizes) else sizes  # a text has one stretch at least
+        return np.insert(flat, np.cumsum(counts), end_id), counts + 1
 
 
 def words_of(path: str) -> Words:
@@ -104,21 +109,61 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def id_counts(docs: DataFrame, text: str, rule: TokenRule) -> DataFrame:
-    """``id, count`` over all texts, the end ids included."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ordered_ids(docs: DataFrame, id: str, text: str, rule: TokenRule) -> DataFrame:
+    """Blocks as in the format, but with the plain ids in ``bits`` and no ``offsets``."""
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(rule.tokenizer)
-        total = np.zeros(max(words.tokenizer.get_vocab_size(), rule.end_id + 1), np.int64)
+        file, block, before = TaskContext.get().partitionId(), 0, 0
+        docs_now, counts_now, ids_now, size = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            bits = zstandard.compress(np.concatenate(ids_now).astype(words.kind).tobytes(), 3)
+            return _block(file, block, before, docs_now, counts_now, [], bits)
+
+        for batch in batches:
+            docs, (flat, counts) = batch.column(0).to_pylist(), words.encode(_texts(batch.column(1)), rule.end_id)
+            ends, begin = np.cumsum(counts), 0
+            while begin < len(docs):
+                done = int(ends[begin - 1]) if begin else 0
+                end = min(len(docs), int(np.searchsorted(ends, done + BLOCK_IDS - size)) + 1)
+                docs_now += docs[begin:end]
+                counts_now += counts[begin:end].tolist()
+                ids_now.append(flat[done: ends[end - 1]])
+                size, begin = size + int(ends[end - 1]) - done, end
+                if size >= BLOCK_IDS:
+                    yield closed()
+                    block, before = block + 1, before + size
+                    docs_now, counts_now, ids_now, size = [], [], [], 0
+        if docs_now:
+            yield closed()
+
+    taken = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return taken.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(tokenize, BLOCKS)
+
+
+def _block(*values) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+    names = [field.split()[0] for field in BLOCKS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+
+def _plain(bits: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(bits), kind)
+
+
+def id_counts(plain: DataFrame, kind) -> DataFrame:
+    """``id, count`` over the blocks of ``ordered_ids``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            numbered = words.numbers(_texts(batch.column(0)))
-            ids, ends = words.spans()
-            times = np.bincount(np.fromiter(chain.from_iterable(numbered), np.int64), minlength=len(ends) - 1)
-            total += np.bincount(ids, np.repeat(times, np.diff(ends)), len(total)).astype(np.int64)
-            total[rule.end_id] += len(batch)
+            for bits in batch.column(0):
+                here = np.bincount(_plain(bits.as_py(), kind), minlength=len(total))
+                here[: len(total)] += total
+                total = here
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "count"])
 
-    return docs.select(text).mapInArrow(count, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
+    return plain.select("bits").mapInArrow(count, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_tokens(docs: DataFrame, path: str, rule: TokenRule, id: str = "doc_id", text: str = "text") -> None:
@@ -129,7 +174,9 @@ def write_tokens(docs: DataFrame, path: str, rule: TokenRule, id: str = "doc_id"
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    counted = id_counts(docs, text, rule).collect()  # a row per id of the vocabulary at most
+    kind = Words(rule.tokenizer).kind
+    plain = stored(ordered_ids(docs, id, text, rule))
+    counted = id_counts(plain, kind).collect()  # a row per id of the vocabulary at most
     counts = np.zeros(max([rule.end_id, *[r["id"] for r in counted]]) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["count"]
@@ -138,31 +185,13 @@ def write_tokens(docs: DataFrame, path: str, rule: TokenRule, id: str = "doc_id"
     spark.createDataFrame(code_rows, "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, words = Code(lengths), words_of(rule.tokenizer)
-        file, block, before = TaskContext.get().partitionId(), 0, 0
-        docs_now, ids_now, size = [], [], 0
-
-        def closed() -> pa.RecordBatch:
-            bits, offsets = code.encode(np.concatenate(ids_now))
-            row = [file, block, before, docs_now, [len(x) for x in ids_now], offsets.tolist(), bits]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
-
+        code = Code(lengths)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(_texts(batch.column(1)), rule.end_id), strict=True):
-                docs_now.append(doc)
-                ids_now.append(ids)
-                size += len(ids)
-                if size >= BLOCK_IDS:
-                    yield closed()
-                    block, before = block + 1, before + size
-                    docs_now, ids_now, size = [], [], 0
-        if docs_now:
-            yield closed()
+            for r in batch.to_pylist():
+                bits, offsets = code.encode(_plain(r["bits"], kind))
+                yield _block(r["file"], r["block"], r["before"], r["doc_ids"], r["counts"], offsets.tolist(), bits)
 
-    taken = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    ordered = taken.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    plain.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = True) -> DataFrame:
