@@ -41,6 +41,7 @@ from tugboard.llm.shared import bounded_batches, ragged, stored, worker_state
 BLOCKS = "file int, block int, before bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, bits binary"
 BLOCK_IDS = 1 << 16       # a block is closed by the document that reaches it
 BLOCKS_AT_ONCE = 16
+FIRST_UNSURE = "\u0250"   # below it no letter changes by normalization
 KNOWN_CHUNKS = 1_500_000  # what a worker remembers before it starts anew
 
 
@@ -63,6 +64,15 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.cutter, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.cutter.normalizer = self.merger.normalizer = self.merger.pre_tokenizer = None
+        self.marks = {mark: array("i", self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,;:!?"}
+        # Whether the steps skipped do to plain words what is taken for granted here.
+        self.lowers = all(
+            self.tokenizer.encode(probe, add_special_tokens=False).ids
+            == self.cutter.encode(probe[:-1].lower(), add_special_tokens=False).ids + self.marks["."].tolist()
+            for probe in ("Word.", "ÉTÉ.", "straßeÑ.")
+        )
         self._forget()
 
     def _forget(self) -> None:
@@ -70,12 +80,41 @@ class Words:
         self.ids, self.ends = array("i"), array("q", [0])
 
     def _learn(self, new: list[str]) -> None:
-        for begin in range(0, len(new), 10_000):
-            part = new[begin: begin + 10_000]
-            for chunk, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = len(self.known)
-                self.ids.extend(encoded.ids)
-                self.ends.append(len(self.ids))
+        """Asks the library for the ids of ``new``. A word of plain letters, with a mark behind it or not, is
+        already in normal form but for its case and is one piece, so the library can skip these steps."""
+        known, marks, ids, ends = self.known, self.marks, self.ids, self.ends
+        plain, letters, variants, others = set(), set(), [], []
+        for chunk in new:
+            if chunk.isalpha():
+                word, mark = chunk, ""
+            elif chunk[:-1].isalpha() and chunk[-1] in marks:
+                word, mark = chunk[:-1], chunk[-1]
+            else:
+                others.append(chunk)
+                continue
+            lowered = word.lower()
+            if not self.lowers or not word.isascii() and (max(word) >= FIRST_UNSURE or not lowered.isalpha()):
+                others.append(chunk)
+                continue
+            if lowered not in known:
+                (plain if word.isascii() else letters).add(lowered)
+            if lowered != chunk:
+                variants.append((chunk, lowered, mark))
+        for tokenizer, part in ((self.merger, list(plain)), (self.cutter, list(letters)), (self.tokenizer, others)):
+            for begin in range(0, len(part), 10_000):
+                some = part[begin: begin + 10_000]
+                for chunk, encoded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    known[chunk] = len(ends) - 1
+                    ids.extend(encoded.ids)
+                    ends.append(len(ids))
+        for chunk, lowered, mark in variants:
+            number = known[lowered]
+            if mark:
+                ids += ids[ends[number]: ends[number + 1]]
+                ids += marks[mark]
+                number = len(ends) - 1
+                ends.append(len(ids))
+            known[chunk] = number
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another and each with the end id behind it, and how many each has."""
@@ -117,7 +156,7 @@ def ordered_ids(docs: DataFrame, id: str, text: str, rule: TokenRule) -> DataFra
         docs_now, counts_now, ids_now, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            bits = zstandard.compress(np.concatenate(ids_now).astype(words.kind).tobytes(), 3)
+            bits = zstandard.compress(np.concatenate(ids_now).astype(words.kind).tobytes(), 1)
             return _block(file, block, before, docs_now, counts_now, [], bits)
 
         for batch in batches:
