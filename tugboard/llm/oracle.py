@@ -66,8 +66,25 @@ FROM judged JOIN verdicts ON source IS NOT DISTINCT FROM host
 """.replace("@words", WORDS)
 
 
+NEAR_COPIES = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(max(n), 0) AS n_links, min(reach.b) AS component_id, vec_id = min(reach.b) AS kept
+FROM embeddings JOIN reach ON vec_id = reach.a LEFT JOIN counted ON vec_id = counted.a GROUP BY vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_near_dedup": NEAR_COPIES,
         "op7_line_dedup": LINE_DEDUP,
         "op9_quality_rules": QUALITY_RULES,
     }
