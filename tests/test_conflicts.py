@@ -164,3 +164,19 @@ def test_large_and_small_sessions_side_by_side(spark):
             for s in (mixed, plain)
         ]
         assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("layout", [dict(hot_rows=20, slice_rows=8), dict(hot_rows=5, slice_rows=3, broadcast_rows=0)])
+def test_many_hot_groups_give_the_plain_answer(spark, layout):
+    wide = [(t, (t + k) % 3, t, f"p{k}") for k in range(4) for t in range(12)]
+    narrow = [(t, u, t, "frequency") for t in range(12) for u in range(3)]
+    events = make_events(spark, wide, "A").unionByName(make_events(spark, narrow, "B"))
+    params = ("frequency", "p0", "p1", "p2", "p3")
+
+    def answers(**numbers):
+        settings = PanelSettings(shared_params=params, **numbers)
+        found = sorted(map(tuple, conflict_candidates(events, settings).collect()), key=repr)
+        return found, sorted(zones_of(events, settings), key=repr)
+
+    expected = answers()
+    assert expected[0] and answers(**layout) == expected

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import make_events
 
+from tugboard.config import PanelSettings
 from tugboard.operators.reports import comparative_report, session_overview, session_report, stats_panel
 
 ROWS = [(0, 0, 1), (1, 1, 2), (2, 0, 3), (60, 1, 2, "phase shift"), (120, 2, 4, "phase shift"), (120, 2, 5, "phase shift")]
@@ -35,6 +36,14 @@ def test_comparative_report(spark):
     assert rows[1].label == "Insufficient data"
 
 
+def test_comparative_report_has_every_shared_parameter(spark):
+    events = make_events(spark, [(0, 0, 1, "frequency"), (2, 1, 2, "gain"), (9, 0, 3, "frequency")])
+    rows = comparative_report(events, PanelSettings(shared_params=("frequency", "gain"))).collect()
+    assert sorted((r.user, r.dominant_param, r.dominant_user) for r in rows) == [
+        (0, "frequency", 0), (0, "gain", 1), (1, "frequency", 0), (1, "gain", 1)
+    ]
+
+
 def test_without_a_shared_parameter(spark):
     rows = comparative_report(make_events(spark, [(0, 0, 1, "gain"), (5, 1, 2, "gain")])).collect()
     assert [r.dominant_user for r in rows] == [None, None]

@@ -11,6 +11,9 @@ from tugboard.sources.control_logs import (
     rejected_lines,
 )
 from tugboard.sources.sinks import write_change_segments, write_control_events, write_imu_records
+from tugboard.config import PanelSettings
+from tugboard.operators.activity import time_in_control
+from tugboard.operators.grid import merged_series
 from tugboard.operators.roster import parse_summary
 from tugboard.operators.segments import change_segments
 
@@ -28,6 +31,7 @@ EDGE_LINES = [
     "10:00:08.0 user 3 SETS Gain  to 12. and more",
     "10:00:09.0 sets gain to -",
     "10:00:10.0 User 99999999999 sets gain to 4",
+    "10:00:11.0 User 99999999999999999999 sets gain to 5",
 ]
 
 
@@ -56,6 +60,7 @@ def test_lenient_lines(spark, logs):
         ("10:00:05.0", 1, "offset", 1.0),
         ("10:00:07.0", 5, "q", 1.2),
         ("10:00:08.0", 3, "gain", 12.0),
+        ("10:00:10.0", 99999999999, "gain", 4.0),
     ]
 
 
@@ -67,17 +72,18 @@ def test_strict_lines(spark, logs):
         ("10:00:04.5", 1, "a", 1.0),
         ("10:00:05.0", 1, "OFFSET", 1.0),
         ("10:00:08.0", 3, "Gain", 12.0),
+        ("10:00:10.0", 99999999999, "gain", 4.0),
     ]
     rejected = sorted(r.value_text for r in rejected_lines(lines, strict=True).collect())
-    assert rejected == ["-", "1.2.3", "2.5.", "4"]
-    assert [r.user_text for r in rejected_lines(lines).collect()] == ["99999999999"]
+    assert rejected == ["-", "1.2.3", "2.5.", "5"]
+    assert [r.user_text for r in rejected_lines(lines).collect()] == ["99999999999999999999"]
 
 
 def test_time_and_schema(spark, logs):
     events = parse_control_events(read_control_logs(spark, str(logs)))
     assert events.dtypes == [
         ("session_id", "string"), ("file", "string"), ("block_start", "bigint"), ("mid", "bigint"),
-        ("time", "string"), ("user", "int"), ("param", "string"), ("value", "double"), ("time_sec", "double"),
+        ("time", "string"), ("user", "bigint"), ("param", "string"), ("value", "double"), ("time_sec", "double"),
     ]
     assert events.where("time = '10:00:04.5'").first().time_sec == 36004.5
 
@@ -124,7 +130,7 @@ def test_event_and_segment_sinks(spark, logs, tmp_path):
     events = parse_control_events(read_control_logs(spark, str(logs)))
     write_control_events(events, str(tmp_path / "events"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "events")).collect()
-    assert len(rows) == 8 and rows[0].asDict() == {
+    assert len(rows) == 9 and rows[0].asDict() == {
         "time": "10:00:00.100", "user": "1", "param": "frequency", "value": "2.5", "time_sec": "36000.1"
     }
     write_change_segments(change_segments(events), str(tmp_path / "segments"))
@@ -141,3 +147,11 @@ def test_imu_sink_header(spark, tmp_path):
     write_imu_records(parse_imu_records(read_imu_logs(spark, str(tmp_path))), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("part-*.csv")).read_text().strip()
     assert text.split(",") == IMU_COLUMNS and len(IMU_COLUMNS) == 27
+
+
+def test_analysis_of_parsed_lines(spark, logs):
+    events = parse_control_events(read_control_logs(spark, str(logs)))
+    settings = PanelSettings(shared_params=("gain",))
+    owners = {r.user: r.control_seconds for r in time_in_control(events, settings).where("param = 'gain'").collect()}
+    assert owners[3] == pytest.approx(2.0)
+    assert {r.owner for r in merged_series(events, settings).where("param = 'gain'").collect()} == {None, 3}

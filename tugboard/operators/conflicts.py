@@ -33,6 +33,7 @@ from tugboard.plans.ordered import (
     hot_groups,
     order_groups,
     slice_rows,
+    slices_of,
 )
 from tugboard.session import ensure_checkpoint_dir
 
@@ -66,6 +67,10 @@ def _steps(events: DataFrame, settings: PanelSettings) -> DataFrame:
     return combine_large(single, change_counts(events, keep=True), settings, instants)
 
 
+def _first_of_instant() -> Column:
+    return F.col("time_before").isNull() | (F.col("time_before") < F.col("time_sec"))
+
+
 def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
     """The look-ahead window of every instant: running totals at its end less those at its start."""
     order = ["time_sec", "user", *LINE]
@@ -90,7 +95,7 @@ def _windows(events: DataFrame, settings: PanelSettings) -> DataFrame:
         "end_time": F.expr(f"max(time_sec) {ahead}"),
         "n_end": F.expr(f"max(n_sum) {ahead}"),
         "turns_end": F.expr(f"max(turn_sum) {ahead}"),
-    }).where(F.col("time_before").isNull() | (F.col("time_before") < F.col("time_sec"))).select(*_REACHED)
+    }).where(_first_of_instant()).select(*_REACHED)
     if asked.sliced:
         reached = reached.unionByName(_look_ahead(asked.large(), settings).select(*_REACHED))
     return reached.select(
@@ -108,11 +113,11 @@ def _look_ahead(instants: DataFrame, settings: PanelSettings) -> DataFrame:
     A range frame would have to cross slices. Instead each instant also asks a question, placed at
     its ``until`` right after the instants of that time; the running maximum there is the answer.
     """
-    def steps(at: str, asks: int, answers: bool) -> DataFrame:
+    def steps(rows: DataFrame, at: str, asks: int, answers: bool) -> DataFrame:
         def only(shown: bool, source: str, kind: str) -> Column:
             return F.col(source) if shown else F.lit(None).cast(kind)
 
-        return instants.select(
+        return rows.select(
             *SERIES,
             F.col(at).alias("at"),
             F.lit(asks).alias("asks"),
@@ -126,9 +131,12 @@ def _look_ahead(instants: DataFrame, settings: PanelSettings) -> DataFrame:
 
     instants = instants.checkpoint()
     order = ["at", "asks", "time_sec"]
-    both = steps("time_sec", 0, True).unionByName(steps("until", 1, False))
-    sliced = slice_rows(both, SERIES, order, 2 * instants.count(), settings)
-    return OrderedGroups(sliced, tuple(SERIES), tuple(order), sliced=True).running(
+    both = steps(instants, "time_sec", 0, True).unionByName(steps(instants.where(_first_of_instant()), "until", 1, False))
+    total = 2 * instants.count()
+    sliced = slice_rows(both, SERIES, order, total, settings)
+    parts = slices_of(total, settings) + instants.select(*SERIES).distinct().count()
+    small = parts <= settings.broadcast_rows
+    return OrderedGroups(sliced, tuple(SERIES), tuple(order), sliced=True, small_carry=small).running(
         end_time=("max", "end_time"), n_end=("max", "n_end"), turns_end=("max", "turns_end")
     ).done().where(F.col("asks") == 1)
 
@@ -374,7 +382,11 @@ def zone_value_stats(zones: DataFrame, events: DataFrame, settings: PanelSetting
     spelled out. Both are cut at fixed blocks of ticks to join on equal blocks; a run that meets a
     zone in several blocks changes no minimum or maximum. Zones without a value on the grid drop out.
     """
-    runs = merged_runs(events, settings, settings.shared_params)
+    ensure_checkpoint_dir(events.sparkSession)
+    # Once for both uses, and only of series that have a zone.
+    runs = merged_runs(events, settings, settings.shared_params).join(
+        zones.select(*SERIES).distinct(), SERIES, "left_semi"
+    ).checkpoint()
     block = max(1, math.ceil(settings.conflict_window / settings.tick))
 
     def in_blocks(rows: DataFrame, lo: str, hi: str) -> DataFrame:

@@ -20,6 +20,7 @@ from tugboard.plans.joins import attach_facts
 from tugboard.plans.ordered import combine_large
 from tugboard.plans.sizes import session_sizes
 
+TICK_BLOCK = 65_536
 GRID = ("t_min", "step", "n_ticks")
 
 
@@ -75,7 +76,7 @@ def _runs(placed: DataFrame, keys: Sequence[str], blank: bool) -> DataFrame:
         F.lit(0).cast("long").alias("lo"),
         F.col("lo").alias("hi"),
         F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast("int").alias("owner"),
+        F.lit(None).cast(placed.schema["user"].dataType).alias("owner"),
     )
     first = rows.withColumn("first", F.lag("lo").over(along).isNull())
     both = F.inline(F.when(F.col("first"), F.array(before, held)).otherwise(F.array(held)))
@@ -135,9 +136,14 @@ def clip_runs(runs: DataFrame, start: Column | None, width: float) -> DataFrame:
 
 
 def spell_out(runs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per tick. Nothing is shuffled after this, so the long form is never moved."""
-    ticks = F.explode(F.sequence("lo", F.col("hi") - 1))
-    return runs.withColumn("i", ticks).select(
+    """One row per tick. Nothing is shuffled after this, so the long form is never moved.
+
+    Runs are cut into blocks first: no array is longer than TICK_BLOCK or the number of a run's blocks.
+    """
+    blocks = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(TICK_BLOCK).cast("long")))
+    until = F.least(F.col("block") + TICK_BLOCK, F.col("hi"))
+    ticks = F.explode(F.sequence(F.col("block"), until - 1))
+    return runs.where(F.col("hi") > F.col("lo")).withColumn("block", blocks).withColumn("i", ticks).select(
         "session_id",
         "param",
         "i",
@@ -189,7 +195,7 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     along the series, and the ticks are spelled out last, so the long form is never shuffled.
     """
     keys = ("session_id", "param")
-    placed = _placed(events, events, (*keys, "user"), settings)
+    placed = _placed(events, events, (*keys, "user"), settings).where(F.col("user").isin(*users))
     listed = change_counts(events).select(*keys).distinct()
     series = listed.join(session_bounds(events, settings), "session_id")
     along = _in_tick_order(keys)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +110,13 @@ def carefulness_lines(report: DataFrame) -> DataFrame:
 
 
 def comparative_report(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
-    """One row per user: share of all changes, carefulness, and the winners of the session.
+    """One row per user and shared parameter: share of all changes, carefulness, and the winners of the session.
 
-    With several shared parameters the dominant user shown is that of the first in the settings.
+    ``dominant_param`` is null in sessions where no shared parameter was set.
     """
-    lead: Sequence[str] = settings.shared_params[:1]
-    dominant = most_dominant_user(events, settings).where(F.col("param").isin(*lead)).select(
+    dominant = most_dominant_user(events, settings).where(F.col("param").isin(*settings.shared_params)).select(
         "session_id",
+        F.col("param").alias("dominant_param"),
         F.col("user").alias("dominant_user"),
         F.col("control_seconds").alias("dominant_seconds"),
         F.col("control_percent").alias("dominant_percent"),

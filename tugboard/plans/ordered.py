@@ -24,9 +24,6 @@ from tugboard.plans.memo import remembered
 from tugboard.plans.sizes import session_sizes
 from tugboard.session import ensure_checkpoint_dir
 
-# A group below the 10 000 largest holds at most 1/10 000 of all rows: small enough for one task.
-MAX_HOT_GROUPS = 10_000
-MAX_SLICES = 50_000
 SLICE = "_slice"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -41,25 +38,28 @@ def _combine(kind: str, mine: Column, before: Column) -> Column:
 def hot_groups(
     rows: DataFrame, keys: Sequence[str], limit: int, weight: str | None = None
 ) -> DataFrame | None:
-    """The groups with more than ``limit`` rows, at most MAX_HOT_GROUPS, or None.
+    """All groups with more than ``limit`` rows, written down, or None.
 
     With ``weight`` the rows are counts already, and that column is summed.
     """
     def find() -> DataFrame | None:
         size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-        found = (
-            rows.groupBy(*keys)
-            .agg(size.alias("_rows"))
-            .where(F.col("_rows") > limit)
-            .orderBy(F.desc("_rows"), *keys)
-            .limit(MAX_HOT_GROUPS)
-        )
-        listed = found.collect()
-        return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
+        ensure_checkpoint_dir(rows.sparkSession)
+        found = rows.groupBy(*keys).agg(size.alias("_rows")).where(F.col("_rows") > limit).checkpoint()
+        return found if _number(found) else None
 
     return remembered(rows, ("hot_groups", *keys, limit, weight), find)
 
 
+def _number(listed: DataFrame) -> int:
+    return remembered(listed, "number", listed.count)
+
+
+def _small(listed: DataFrame, n: int, settings: PanelSettings) -> DataFrame:
+    """``listed``, a table of ``n`` rows, broadcast if it may be; else Spark shuffles and splits skewed keys."""
+    return F.broadcast(listed) if n <= settings.broadcast_rows else listed
+
+
 def hot_by_counts(counts: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """The same for keys that begin with the session, from the small table of change counts."""
     if session_sizes(counts).largest <= limit:
@@ -78,7 +78,7 @@ def combine_large(
     large = hot_by_counts(counts, ["session_id"], settings.hot_rows)
     if large is None:
         return rows
-    marked = F.broadcast(large.select("session_id"))  # at most MAX_HOT_GROUPS
+    marked = _small(large.select("session_id"), _number(large), settings)
     small = rows.join(marked, "session_id", "left_anti")
     return small.unionByName(combine(rows.join(marked, "session_id", "left_semi")))
 
@@ -89,6 +89,7 @@ class OrderedGroups:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     sliced: bool
+    small_carry: bool = True  # whether a table with a row per slice and hot group may be broadcast
 
     @property
     def partition(self) -> list[str]:
@@ -101,8 +102,7 @@ class OrderedGroups:
         return self.frame.where(F.col(SLICE) >= 0)
 
     def _carry(self, table: DataFrame) -> DataFrame:
-        # At most one row per slice plus one per hot group: MAX_SLICES + MAX_HOT_GROUPS rows.
-        return F.broadcast(table)
+        return F.broadcast(table) if self.small_carry else table
 
     def _neighbour(self, columns: dict[str, str], forward: bool) -> OrderedGroups:
         packed = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
@@ -193,6 +193,10 @@ class OrderedGroups:
         return self.frame.drop(SLICE)
 
 
+def slices_of(total: int, settings: PanelSettings) -> int:
+    return max(2, math.ceil(total / settings.slice_rows))
+
+
 def slice_rows(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], total: int, settings: PanelSettings
 ) -> DataFrame:
@@ -201,8 +205,7 @@ def slice_rows(
     ``total`` is roughly how many there are. Only groups that are large should come here.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    slices = min(MAX_SLICES, max(2, math.ceil(total / settings.slice_rows)))
-    return rows.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    return rows.repartitionByRange(slices_of(total, settings), *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
 
 
 def order_groups(
@@ -225,10 +228,12 @@ def order_groups(
     if hot is None:
         return OrderedGroups(rows, keys, order, sliced=False)
 
-    # At most MAX_HOT_GROUPS keys. Where rows are an aggregate by the same keys, the optimizer moves
+    # Where rows are an aggregate by the same keys, the optimizer moves
     # both joins below it, so each row is aggregated on one side only.
-    marked = F.broadcast(hot.select(*keys))
+    marked = _small(hot.select(*keys), _number(hot), settings)
     total = hot.agg(F.sum("_rows")).first()[0]
     cut = slice_rows(rows.join(marked, list(keys), "left_semi"), keys, order, total, settings)
     rest = rows.join(marked, list(keys), "left_anti").withColumn(SLICE, F.lit(-1))
-    return OrderedGroups(rest.unionByName(cut), keys, order, sliced=True)
+    # A slice can end one hot group and begin another, so there are at most this many parts of groups.
+    parts = slices_of(total, settings) + _number(hot)
+    return OrderedGroups(rest.unionByName(cut), keys, order, sliced=True, small_carry=parts <= settings.broadcast_rows)

@@ -48,7 +48,7 @@ def _matched(lines: DataFrame, pattern: str) -> DataFrame:
         F.regexp_extract(name, USER_IN_NAME, 1).alias("file_user"),
     ).select(
         "*",
-        F.expr("try_cast(if(user_text != '', user_text, file_user) as int)").alias("user"),
+        F.expr("try_cast(if(user_text != '', user_text, file_user) as bigint)").alias("user"),
         F.expr("try_cast(value_text as double)").alias("value"),
     )
 

@@ -24,6 +24,10 @@ STRETCHED = PanelSettings(
     viewport=432_000.0,
     shared_params=("click", "view"),
 )
+# The layout of large data, forced on small tables: slices, salted joins, chains.
+FORCED = replace(
+    STRETCHED, hot_rows=20, slice_rows=5000, broadcast_rows=10, fan_out=4, fold_rows=2, chain_rows=200
+)
 VIEW_USERS = (0, 2)
 VIEW_PARAMS = ("click", "error", "signup")
 PAGE_OFFSET = 9
@@ -136,11 +140,25 @@ def queries() -> dict[str, Query]:
         # views
         "select_view": on(lambda e: views.select_view(e, VIEW_USERS, VIEW_PARAMS, s)),
         "time_viewport": on(lambda e: views.time_viewport(e, settings=s)),
-        "time_viewport_full": on(lambda e: views.time_viewport(e, full=True, settings=s, params=s.shared_params)),
+        "time_viewport_full": on(lambda e: views.time_viewport(e, full=True, settings=s)),
         "param_page": on(lambda e: views.param_page(e, PAGE_OFFSET, s)),
         # reports
         "session_overview": on(lambda e: reports.session_overview(e, s)),
         "session_report": on(lambda e: reports.session_report(e, s)),
         "stats_panel": on(lambda e: reports.stats_panel(e, s)),
         "comparative_report": on(lambda e: reports.comparative_report(e, s)),
+        "param_page_first": on(lambda e: views.param_page(e, 0, s)),
+        # the same operators by the plans for large data
+        "change_segments_sliced": on(lambda e: segments.change_segments(e, FORCED)),
+        "inactivity_gaps_sliced": on(lambda e: activity.inactivity_gaps(e, FORCED)),
+        "time_in_control_sliced": on(lambda e: activity.time_in_control(e, FORCED)),
+        "carefulness_sliced": on(lambda e: carefulness.carefulness(e, FORCED)),
+        "conflict_candidates_sliced": on(lambda e: conflicts.conflict_candidates(e, FORCED)),
+        "conflict_candidates_three_users_sliced": on(
+            lambda e: conflicts.conflict_candidates(e, replace(FORCED, min_users=3))
+        ),
+        "detect_conflicts_sliced": on(lambda e: _listed_users(conflicts.detect_conflicts(e, FORCED))),
+        "zone_value_stats_sliced": on(
+            lambda e: conflicts.zone_value_stats(conflicts.detect_conflicts(e, FORCED), e, FORCED)
+        ),
     }
