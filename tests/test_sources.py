@@ -137,7 +137,7 @@ def test_event_and_segment_sinks(spark, logs, tmp_path):
     parts = list((tmp_path / "segments").glob("part-*.csv"))
     assert parts[0].read_text().splitlines() == ["user,param,start_time,end_time,from_value,to_value"]
     summary = parse_summary(events).first()
-    assert (summary.n_changes, summary.n_users, summary.n_params) == (8, 4, 8)
+    assert (summary.n_changes, summary.n_users, summary.n_params) == (9, 5, 8)
 
 
 def test_imu_sink_header(spark, tmp_path):
