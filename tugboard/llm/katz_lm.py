@@ -14,7 +14,7 @@ and keeps the documents as arrays of these numbers. From then on only what is di
 3. Each group puts the scores of its documents together, its pairs worked out once more: they would
    take more room than its texts.
 
-All four tables (groups, words, pairs, answers) are partitioned Parquet in the shared folder, so a lost
+The tables of groups and of both answers are partitioned Parquet in the shared folder, so a lost
 executor repeats a part of one step. A shard is a task; the number of shards follows the number of
 distinct rows sent. A context as common as 1/HOT_SHARE of all tokens is dealt by pair instead, and its
 few sums are added up afterwards.
@@ -344,8 +344,7 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
     rows = asked.agg(F.sum("n")).first()[0] or 0
     pair_shards = max(4, -(-3 * rows // rule.shard_rows))
     answered = own.unionByName(words.where("kind = 'answer'")).select(*NAMES)
-    pairs = stored(pairs_of_groups(answered, pair_shards, hot))
-    answers = stored(pair_answers(pairs, hot, single, rule), "kind")
+    answers = stored(pair_answers(pairs_of_groups(answered, pair_shards, hot), hot, single, rule), "kind")
     worth = discounts(sum(_summed(answers, "seen", np.int64), np.zeros(most + 2, np.int64)), most)
     sums: dict[int, list] = {}
     for r in answers.where("kind = 'hot'").select("a", "b", "c", "d").toLocalIterator():  # a row per shard

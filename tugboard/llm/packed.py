@@ -18,7 +18,7 @@ _KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 def pack(values: np.ndarray) -> bytes:
     """An array, byte place by byte place, compressed: most high bytes are zero."""
     flat = np.ascontiguousarray(values).reshape(-1)
-    return zstandard.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), 1)
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes(), 3)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
