@@ -51,8 +51,8 @@ class RepeatRule:
     length: int = 400
     reach: int = 240             # bytes before a trigger that it stands for; below ``length`` - WINDOW
     hot_places: int = 20_000     # full keys of one near key that a task may put in order
-    group_bytes: int = 24_000_000
-    slice_bytes: int = 2_000_000
+    group_bytes: int = 12_000_000
+    slice_bytes: int = 1_000_000
     seed: int = 1
 
     @property
