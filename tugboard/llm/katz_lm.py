@@ -1,32 +1,35 @@
-"""Scores texts by a bigram model with Katz backoff, learned from the same corpus.
+"""Scores texts by an n-gram model with Katz backoff, learned from the same corpus.
 
-A pair of tokens seen in training has its Good-Turing discounted share of its context; any other has
-the share of its last token, times a backoff weight that makes the context sum to one exactly; a token
-never seen has the probability that discounting took from the single tokens. All unseen tokens are one.
+Grams of two tokens up to ``order`` tokens are counted. One seen in training has its Good-Turing discounted
+share of its context (all tokens but its last); any other has what its last tokens have by the order below,
+times a backoff weight that makes the context sum to one exactly. A context never seen leaves all to the
+order below. A token never seen has the probability that discounting took from the single tokens. All unseen
+tokens are one. Before a document's first token the context is START as often as it takes.
 
 The texts are read once. Each task numbers the words of its documents (a *group*, a few million tokens)
 and keeps the documents as arrays of these numbers. From then on only what is distinct in a group moves:
 
 1. ``words``: hashes of the group's words, dealt to shards by hash, with their counts in training. A
    shard adds up all groups and answers each with the ids and counts of its words, in the order asked.
-2. ``pairs``: the group's pairs of ids, dealt by context, with their counts. A shard adds up and answers
-   with the counts of the pairs and, per context, what its backoff weight needs.
-3. Each group puts the scores of its documents together, its pairs worked out once more: they would
+2. ``grams``, order by order: the group's grams as ids, dealt by context, with their counts. A shard adds
+   up and answers with the counts of the grams and, per context, what its backoff weight needs. That is a
+   sum over tokens seen after the context, whose shares by the order below the groups have learned by then.
+3. Each group puts the scores of its documents together, its grams worked out once more: they would
    take more room than its texts.
 
-The tables of groups and of both answers are partitioned Parquet in the shared folder, so a lost
+The tables of groups and of all answers are partitioned Parquet in the shared folder, so a lost
 executor repeats a part of one step. A shard is a task; the number of shards follows the number of
-distinct rows sent. A context as common as 1/HOT_SHARE of all tokens is dealt by pair instead, and its
+distinct rows sent. A context as common as 1/HOT_SHARE of all tokens is dealt by gram instead, and its
 few sums are added up afterwards.
 
-Words are told apart by a 64-bit hash.
+Words, and common contexts of several tokens, are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +47,12 @@ HOT_SHARE = 1000
 
 @dataclass(frozen=True)
 class KatzRule:
+    order: int = 2                  # tokens of the longest grams counted
     folds: int = 5
     held_out_fold: int = 1
     discounted: int = 5             # counts up to this one are discounted
     group_tokens: int = 2_200_000   # of the documents a task keeps at a time
-    shard_rows: int = 1_000_000     # distinct words or pairs, summed over the groups, aimed at per shard
+    shard_rows: int = 1_000_000     # distinct words or grams, summed over the groups, aimed at per shard
 
 
 class Numbering(dict):
@@ -111,7 +115,10 @@ def numbered_groups(docs: DataFrame, id: str, text: str, shards: int, rule: Katz
             hashes, flat = hashes[order], place[flat]
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(order))
             group = task << 24 | turn
-            rows = [row("docs", group, 0, int(trained.sum()), pack(ids), pack(known), pack(held), pack(lengths), pack(flat))]
+            rows = [
+                row("docs", group, 0, int(trained.sum()), pack(ids), pack(known), pack(held), pack(lengths), pack(flat)),
+                row("size", group, 0, len(flat)),
+            ]
             cuts = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
             rows += [
                 row("words", group, s, int(cuts[s + 1] - cuts[s]), pack(hashes[cuts[s]: cuts[s + 1]]), pack(trained[cuts[s]: cuts[s + 1]].astype(np.uint32)))
@@ -168,151 +175,231 @@ def word_answers(asked: DataFrame, shards: int, hot: int, rule: KatzRule) -> Dat
     return asked.groupBy("shard").applyInArrow(answer, ROWS)
 
 
-class Pairs:
-    """The distinct pairs of a group, from its ``docs`` row and its ``answer`` rows to ``words``.
+def valued(counts: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Counts after discounting."""
+    return np.where(counts < len(worth), worth[np.minimum(counts, len(worth) - 1)], counts)
 
-    They are in the order of (shard, context, token) by the group's numbers, so that the shards' answers, one after another,
-    are in this order. ``of`` has the pair of each token of the group.
-    """
 
-    def __init__(self, rows: list[dict], shards: int, hot: np.ndarray):
-        docs = next(r for r in rows if r["kind"] == "docs")
-        answers = sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["shard"])
-        ids = np.concatenate([unpack(r["a"], np.uint64) for r in answers])
-        counts = np.concatenate([unpack(r["b"], np.int64) for r in answers])
-        self.group, self.ids, self.known = docs["grp"], unpack(docs["a"], np.int64), unpack(docs["b"], bool)
-        self.held, self.lengths = unpack(docs["c"], bool), unpack(docs["d"], np.int64)
-        flat = unpack(docs["e"], np.uint32)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        # Numbers of words within the group fit in 32 bits, so a pair is one number; the number after
-        # the last word's is that of the context before a document's first token.
+def longer_keys(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Keys of contexts with one more token at their end; the key of a single token is its id."""
+    return (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + tokens
+
+
+@dataclass(frozen=True)
+class Order:
+    """What all groups must know of the grams of one order. Fields from ``worth`` on come with the answers."""
+
+    shards: int
+    hot: np.ndarray                  # keys of common contexts, ascending
+    worth: np.ndarray | None = None
+    rare: np.ndarray | None = None   # of the common contexts: the grams seen once, twice, ...,
+    whole: np.ndarray | None = None  # all of their counts,
+    share: np.ndarray | None = None  # and what the tokens seen after them have by the order below
+
+
+class Level:
+    """The distinct grams of one order in a group, in the order of (shard, context, token), so that the shards'
+    answers, one after another, are in this order. ``of`` has the gram of each token, ``below`` each gram's last
+    tokens as a gram of the order below. A context is numbered as a gram of the order below; the number after the
+    last is that of START all along."""
+
+    def __init__(self, order: Order, flat: np.ndarray, first: np.ndarray, ids: np.ndarray, before: np.ndarray, keys: np.ndarray, heads: list[np.ndarray]):
+        """``before``: grams of the order below of each token; ``keys``, ``heads``: keys and ids of those grams and START."""
         context = np.empty_like(flat)
-        context[1:] = flat[:-1]
-        context[self.first] = len(ids)
-        pairs, place = np.unique(context.astype(np.uint64) << np.uint64(32) | flat, return_inverse=True)
-        heads = np.append(ids, np.uint64(START)).astype(np.uint64)
-        contexts, tokens = heads[(pairs >> np.uint64(32)).astype(np.int64)], ids[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
-        alone = counts[(pairs & np.uint64(2**32 - 1)).astype(np.int64)]
-        del context, flat
-        mixed = np.where(np.isin(contexts, hot), contexts * np.uint64(0x2545F4914F6CDD1D) + tokens, contexts)
-        shard = shard_of(mixed, shards)
-        order = np.argsort(shard, kind="stable")
-        moved = np.empty(len(order), np.uint32)
-        moved[order] = np.arange(len(order), dtype=np.uint32)
-        self.of, self.contexts, self.tokens = moved[place], contexts[order], tokens[order]
-        self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        self.alone = alone[order]
+        context[1:] = before[:-1]
+        context[first] = len(keys) - 1
+        # Numbers within the group fit in 32 bits, so a context and a token are one number.
+        grams, place = np.unique(context.astype(np.uint64) << np.uint64(32) | flat, return_inverse=True)
+        contexts, tokens = (grams >> np.uint64(32)).astype(np.uint32), grams.astype(np.uint32)
+        del context, grams
+        own = keys[contexts]
+        shard = shard_of(np.where(np.isin(own, order.hot), own * np.uint64(0x2545F4914F6CDD1D) + ids[tokens], own), order.shards)
+        del own
+        turn = np.argsort(shard, kind="stable")
+        moved = np.empty(len(turn), np.uint32)
+        moved[turn] = np.arange(len(turn), dtype=np.uint32)
+        self.of, self.contexts, self.tokens = moved[place], contexts[turn], tokens[turn]
+        self.cuts = np.searchsorted(shard[turn], np.arange(order.shards + 1))
+        self.below = np.empty(len(turn), np.uint32)
+        self.below[self.of] = before
+        self.keys, self.heads = keys, heads
 
     def runs(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """The contexts of a shard in turn, and how many pairs each has."""
+        """Where the contexts of a shard begin among its grams, and how many grams each has."""
         own = self.contexts[self.cuts[shard]: self.cuts[shard + 1]]
         starts = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
-        return own[starts], np.diff(np.append(starts, len(own))).astype(np.uint32)
+        return starts, np.diff(np.append(starts, len(own))).astype(np.uint32)
+
+    def learn(self, rows: list[dict], order: Order, lower: np.ndarray) -> None:
+        """Take the shards' answers. ``lower``: the probability of each gram by the order below."""
+        most = len(order.worth) - 1
+        self.counts, self.totals, self.chance = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), np.int64), np.empty(len(self.tokens))
+        for r in rows:
+            own = slice(self.cuts[r["shard"]], self.cuts[r["shard"] + 1])
+            starts, runs = self.runs(r["shard"])
+            keys = self.keys[self.contexts[own][starts]]
+            rare, total, share = unpack(r["b"], np.uint32).astype(np.int64).reshape(-1, most), unpack(r["c"], np.int64), unpack(r["d"], np.float64)
+            common = np.flatnonzero(np.isin(keys, order.hot))
+            at = np.searchsorted(order.hot, keys[common])
+            rare[common], total[common], share[common] = order.rare[at], totals_of(order.whole[at], order.rare[at]), order.share[at]
+            counts, totals = unpack(r["a"], np.int64), np.repeat(total, runs)
+            backoff = np.repeat(backoffs(rare, total, share, order.worth), runs)
+            self.counts[own], self.totals[own] = counts, totals
+            self.chance[own] = np.where(counts > 0, valued(counts, order.worth) / np.maximum(totals, 1), backoff * lower[own])
+
+
+def totals_of(whole: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """What counts are divided by: a context without counts to discount gives up a share of one."""
+    return np.where(whole > 0, whole + (rare.sum(axis=1) == 0), 0)
+
+
+def backoffs(rare: np.ndarray, total: np.ndarray, share: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The weight of the order below in each context; one where the context was never seen."""
+    lost = rare @ (np.arange(1, len(worth)) - worth[1:])
+    left = np.where(lost > 0, lost, 1) / np.maximum(total, 1)
+    return np.where(total > 0, left / np.maximum(1 - share, 1e-300), 1.0)
+
+
+class Group:
+    """A group, from its ``docs`` row, its ``answer`` rows to ``words``, and its ``counts`` rows of all orders but the last or of all."""
+
+    def __init__(self, rows: list[dict], orders: list[Order], single: Single):
+        docs = next(r for r in rows if r["kind"] == "docs")
+        answers = sorted((r for r in rows if r["kind"] == "answer"), key=lambda r: r["shard"])
+        ids = np.concatenate([unpack(r["a"], np.uint64) for r in answers])
+        self.counts = np.concatenate([unpack(r["b"], np.int64) for r in answers])
+        self.number, self.ids, self.known = docs["grp"], unpack(docs["a"], np.int64), unpack(docs["b"], bool)
+        self.held, self.lengths = unpack(docs["c"], bool), unpack(docs["d"], np.int64)
+        self.flat = unpack(docs["e"], np.uint32)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.words, self.level = ids, None
+        # Of the order below: grams of tokens, keys, ids, counts, what these are divided by, and probabilities.
+        start = np.array([START], np.uint64)
+        before, keys = self.flat, np.append(ids, start)
+        heads, counts, totals, chance = [keys], self.counts, np.full(len(ids), single.total, np.int64), single.of(self.counts)
+        for k, order in enumerate(orders, 2):
+            level = Level(order, self.flat, self.first, ids, before, keys, heads)
+            self.level, self.lower_counts, self.lower_totals = level, counts, totals
+            if order.worth is None:
+                return
+            level.learn([r for r in rows if r["kind"] == f"counts{k}"], order, chance[level.below])
+            if k == len(orders) + 1:
+                self.chance = level.chance[level.of]
+                return
+            before, counts, totals, chance = level.of, level.counts, level.totals, level.chance
+            heads = [*(np.append(x[level.contexts], start) for x in heads), np.append(ids[level.tokens], start)]
+            keys = heads[0]
+            for more in heads[1:]:
+                keys = longer_keys(keys, more)
+        self.chance = chance[before]
 
     def per_document(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.first)
 
 
-def pairs_of_groups(groups: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """A row ``pairs`` for each group and shard: ``a`` contexts, ``b`` how many pairs each has, ``c`` tokens,
-    ``d`` counts of the tokens alone, ``e`` counts of the pairs in the group's training texts."""
-    def pair(key: tuple, part: pa.Table) -> pa.Table:
-        pairs = Pairs(part.to_pylist(), shards, hot)
-        trained = np.bincount(pairs.of, np.repeat(~pairs.held, pairs.lengths), len(pairs.contexts)).astype(np.uint32)
+def grams_of_groups(groups: DataFrame, orders: list[Order], single: Single) -> DataFrame:
+    """A row ``grams`` of the last order for each group and shard: ``a`` the ids of each context's tokens, all first ones, then
+    all second ones, ..., then what counts in its own last tokens are divided by; ``b`` how many grams each has, ``c`` their tokens,
+    ``d`` the counts of their last tokens by the order below, ``e`` their counts in the group's training texts."""
+    def gram(key: tuple, part: pa.Table) -> pa.Table:
+        group = Group(part.to_pylist(), orders, single)
+        level = group.level
+        trained = np.bincount(level.of, np.repeat(~group.held, group.lengths), len(level.tokens)).astype(np.uint32)
         out = []
-        for s in np.flatnonzero(np.diff(pairs.cuts)):
-            own = slice(pairs.cuts[s], pairs.cuts[s + 1])
-            contexts, runs = pairs.runs(s)
-            out.append(row("pairs", pairs.group, s, own.stop - own.start, pack(contexts), pack(runs), pack(pairs.tokens[own]), pack(pairs.alone[own]), pack(trained[own])))
+        for s in np.flatnonzero(np.diff(level.cuts)):
+            own = slice(level.cuts[s], level.cuts[s + 1])
+            starts, runs = level.runs(s)
+            contexts, below = level.contexts[own][starts], level.below[own]
+            totals = group.lower_totals[below[starts]].astype(np.uint64)
+            lower = np.where(trained[own] > 0, group.lower_counts[below], 0)  # asked for where it was seen
+            out.append(row("grams", group.number, s, own.stop - own.start, pack(np.concatenate([*(x[contexts] for x in level.heads), totals])),
+                           pack(runs), pack(group.words[level.tokens[own]]), pack(lower), pack(trained[own])))
         return table(out)
 
-    return groups.groupBy("grp").applyInArrow(pair, ROWS)
+    return groups.groupBy("grp").applyInArrow(gram, ROWS)
 
 
-def pair_answers(asked: DataFrame, hot: np.ndarray, single: Single, rule: KatzRule) -> DataFrame:
-    """Rows ``counts`` for each group and shard: ``a`` counts of its pairs, and for each of its contexts in
-    turn ``b`` the pairs seen once, twice, ..., ``c`` all of its pairs' counts, ``d`` what the tokens seen
-    after it have alone. ``seen``: counts of counts. ``hot``: the same sums of the common contexts' parts."""
+def gram_answers(asked: DataFrame, order: int, hot: np.ndarray, often: int, below: np.ndarray, rule: KatzRule) -> DataFrame:
+    """Rows ``counts`` for each group and shard: ``a`` counts of its grams, and for each of its contexts in turn ``c`` what
+    counts are divided by and, where the group has a gram that was never seen, ``b`` the grams seen once, twice, ..., ``d`` what
+    the tokens seen after it have by the order below. ``seen``: counts of counts. ``hot``: the sums of the common contexts'
+    parts. ``often``: keys of the grams seen more than ``often`` times. ``below``: what counts of the order below are worth."""
     most = rule.discounted
 
     def answer(key: tuple, part: pa.Table) -> pa.Table:
         shard, rows = key[0].as_py(), part.to_pylist()
-        contexts = [unpack(r["a"], np.uint64) for r in rows]
         runs = [unpack(r["b"], np.uint32) for r in rows]
-        left = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs, strict=True)])
-        right = np.concatenate([unpack(r["c"], np.uint64) for r in rows])
-        alone = np.concatenate([unpack(r["d"], np.int64) for r in rows])
+        sent = np.concatenate([unpack(r["a"], np.uint64).reshape(order, -1) for r in rows], axis=1)
+        head, keys = np.unique(sent[0], return_inverse=True)[1], sent[0]
+        for more in sent[1:-1]:
+            pair = head.astype(np.uint64) << np.uint64(32) | np.unique(more, return_inverse=True)[1].astype(np.uint64)
+            head, keys = np.unique(pair, return_inverse=True)[1], longer_keys(keys, more)
+        heads = int(head.max()) + 1
+        key_of, total_below = np.empty(heads, np.uint64), np.empty(heads, np.int64)
+        key_of[head], total_below[head] = keys, sent[-1].astype(np.int64)
+        del sent, keys
+        tails, tail = np.unique(np.concatenate([unpack(r["c"], np.uint64) for r in rows]), return_inverse=True)
+        left = np.repeat(head, np.concatenate(runs)).astype(np.uint64)
+        grams, place = np.unique(left << np.uint64(32) | tail.astype(np.uint64), return_inverse=True)
+        del left, tail
         trained = np.concatenate([unpack(r["e"], np.uint32) for r in rows])
-        heads, head = np.unique(left, return_inverse=True)
-        tails, tail = np.unique(right, return_inverse=True)
-        pairs, first, place = np.unique(head.astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64), return_index=True, return_inverse=True)
-        alone = alone[first]
-        del left, right, head, tail, tails
-        counts = np.bincount(place, trained, len(pairs)).astype(np.int64)
-        of = (pairs >> np.uint64(32)).astype(np.int64)
+        counts = np.bincount(place, trained, len(grams)).astype(np.int64)
+        lower, learned = np.zeros(len(grams), np.int64), trained > 0
+        lower[place[learned]] = np.concatenate([unpack(r["d"], np.int64) for r in rows])[learned]
+        of = (grams >> np.uint64(32)).astype(np.int64)
         seen = counts > 0
-        share = np.bincount(of[seen], single.of(alone[seen]), len(heads))
-        whole = np.bincount(of, counts, len(heads)).astype(np.int64)
-        rare = np.stack([np.bincount(of[counts == r], minlength=len(heads)) for r in range(1, most + 1)], axis=1).astype(np.uint32)
-        common = np.flatnonzero(np.isin(heads, hot))
+        share = np.bincount(of[seen], valued(lower[seen], below), heads) / np.maximum(total_below, 1)
+        whole = np.bincount(of, counts, heads).astype(np.int64)
+        rare = np.stack([np.bincount(of[counts == r], minlength=heads) for r in range(1, most + 1)], axis=1).astype(np.uint32)
+        total, common, many = totals_of(whole, rare), np.flatnonzero(np.isin(key_of, hot)), np.flatnonzero(counts > often)
         out = [
             row("seen", -1, shard, 0, pack(_histogram(counts, most))),
-            row("hot", -1, shard, len(common), pack(heads[common]), pack(rare[common]), pack(whole[common]), pack(share[common])),
+            row("hot", -1, shard, len(common), pack(key_of[common]), pack(rare[common]), pack(whole[common]), pack(share[common])),
         ]
-        at = 0
-        for r, own in zip(rows, contexts, strict=True):
-            mine, h = counts[place[at: at + r["n"]]], np.searchsorted(heads, own)
-            out.append(row("counts", r["grp"], shard, r["n"], pack(mine), pack(rare[h]), pack(whole[h]), pack(share[h])))
-            at += r["n"]
+        if order < rule.order:
+            out.append(row("often", -1, shard, len(many), pack(longer_keys(key_of[of[many]], tails[grams[many].astype(np.uint32)]))))
+        at = now = 0
+        for r, own in zip(rows, runs, strict=True):
+            mine, h = counts[place[at: at + r["n"]]], head[now: now + len(own)]
+            missed = np.minimum.reduceat(mine, np.cumsum(own, dtype=np.int64) - own) == 0
+            out.append(row(f"counts{order}", r["grp"], shard, r["n"], pack(mine), pack(np.where(missed[:, None], rare[h], np.uint32(0))),
+                           pack(total[h]), pack(np.where(missed, share[h], 0.0))))
+            at, now = at + r["n"], now + len(own)
         return table(out)
 
     return asked.groupBy("shard").applyInArrow(answer, ROWS)
 
 
-def log_probabilities(counts: np.ndarray, alone: np.ndarray, rare: np.ndarray, whole: np.ndarray, share: np.ndarray,
-                      worth: np.ndarray, single: Single) -> np.ndarray:
-    """log10 of each pair's probability from its count, its token's count, and its context's sums."""
-    most = len(worth) - 1
-    lost = rare @ (np.arange(1, most + 1) - worth[1:])
-    total = np.where(lost > 0, whole, whole + 1)  # a context without discounts gives up a share of one
-    left = np.where(whole > 0, np.where(lost > 0, lost, 1) / np.maximum(total, 1), 1.0)
-    backoff = np.where(whole > 0, left / np.maximum(1 - share, 1e-300), 1.0)
-    valued = np.where(counts <= most, worth[np.minimum(counts, most)], counts)
-    return np.log10(np.where(counts > 0, valued / np.maximum(total, 1), backoff * single.of(alone)))
-
-
-def group_scores(groups: DataFrame, shards: int, hot: dict[int, tuple], worth: np.ndarray, single: Single, tokens: int, distinct: int, name: str) -> DataFrame:
-    """The rows of the result, from a group's ``docs`` row and its answers to ``words`` and to ``pairs``."""
-    most, floor = len(worth) - 1, tokens + 0.5 * (distinct + 1)
-    hot_ids = np.array(sorted(hot), np.uint64)
-    hot_rare = np.array([hot[h][0] for h in sorted(hot)], np.int64).reshape(-1, most)
-    hot_whole, hot_share = np.array([hot[h][1] for h in sorted(hot)], np.int64), np.array([hot[h][2] for h in sorted(hot)], np.float64)
+def group_scores(groups: DataFrame, orders: list[Order], single: Single, tokens: int, distinct: int, name: str) -> DataFrame:
+    """The rows of the result, from a group's ``docs`` row and its answers to ``words`` and to the grams of all orders."""
+    floor = tokens + 0.5 * (distinct + 1)
     names = [name, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(key: tuple, part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        pairs = Pairs(rows, shards, hot_ids)
-        logs = np.empty(len(pairs.contexts))
-        for r in (r for r in rows if r["kind"] == "counts"):
-            own = slice(pairs.cuts[r["shard"]], pairs.cuts[r["shard"] + 1])
-            context, runs = pairs.runs(r["shard"])
-            rare, whole, share = unpack(r["b"], np.uint32).astype(np.int64).reshape(-1, most), unpack(r["c"], np.int64), unpack(r["d"], np.float64)
-            common = np.flatnonzero(np.isin(context, hot_ids))
-            at = np.searchsorted(hot_ids, context[common])
-            rare[common], whole[common], share[common] = hot_rare[at], hot_whole[at], hot_share[at]
-            logs[own] = log_probabilities(
-                unpack(r["a"], np.int64), pairs.alone[own], np.repeat(rare, runs, axis=0), np.repeat(whole, runs), np.repeat(share, runs), worth, single
-            )
+        group = Group(part.to_pylist(), orders, single)
         return pa.Table.from_arrays([
-            pa.array(pairs.ids, mask=~pairs.known), pa.array(pairs.held), pa.array(pairs.lengths),
-            pa.array(pairs.per_document((pairs.alone > 0).astype(np.int64)[pairs.of])), pa.array(np.full(len(pairs.ids), tokens, np.int64)),
-            pa.array(pairs.per_document(np.log10((pairs.alone + 0.5) / floor)[pairs.of])), pa.array(pairs.per_document(logs[pairs.of])),
+            pa.array(group.ids, mask=~group.known), pa.array(group.held), pa.array(group.lengths),
+            pa.array(group.per_document((group.counts > 0).astype(np.int64)[group.flat])), pa.array(np.full(len(group.ids), tokens, np.int64)),
+            pa.array(group.per_document(np.log10((group.counts + 0.5) / floor)[group.flat])), pa.array(group.per_document(np.log10(group.chance))),
         ], names)
 
     schema = f"`{name}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return groups.groupBy("grp").applyInArrow(score, schema)
 
 
+def answered_order(answers: DataFrame, order: Order, most: int) -> Order:
+    """``order`` with what the shards answered: what its counts are worth, and the sums of its common contexts."""
+    sums: dict[int, list] = {int(h): [np.zeros(most, np.int64), 0, 0.0] for h in order.hot}
+    for r in answers.where("kind = 'hot'").select("a", "b", "c", "d").toLocalIterator():  # a row per shard
+        parts = unpack(r["a"], np.uint64), unpack(r["b"], np.uint32).reshape(-1, most), unpack(r["c"], np.int64), unpack(r["d"], np.float64)
+        for context, rare, whole, share in zip(*parts, strict=True):
+            now = sums[int(context)]
+            now[0], now[1], now[2] = now[0] + rare, now[1] + int(whole), now[2] + float(share)
+    rare, whole, share = zip(*(sums[int(h)] for h in order.hot), strict=True)
+    worth = discounts(sum(_summed(answers, "seen", np.int64), np.zeros(most + 2, np.int64)), most)
+    return replace(order, worth=worth, rare=np.stack(rare), whole=np.array(whole, np.int64), share=np.array(share))
+
+
 def _summed(rows: DataFrame, kind: str, of) -> list[np.ndarray]:
     return [unpack(r["a"], of) for r in rows.where(F.col("kind") == kind).select("a").collect()]
 
@@ -326,7 +413,7 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
     Rows that repeat are learned from and scored as often as they come. Without training rows every
     token is unseen and every score 0; a table without rows gives none.
 
-    To the driver come sums over counts, a few numbers per shard, and at most HOT_SHARE common contexts.
+    To the driver come sums over counts, a few numbers per shard, and at most HOT_SHARE common contexts of each order.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -340,17 +427,17 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
     seen = sum(_summed(words, "seen", np.int64), np.zeros(most + 2, np.int64))
     distinct = words.where("kind = 'seen'").agg(F.sum("n")).first()[0] or 0
     single = Single(tokens, seen, most) if tokens else Single(0, np.zeros(most + 2, np.int64), most)
-    hot = np.sort(np.concatenate([np.array([START], np.uint64), *_summed(words, "hot", np.uint64)]))
-    rows = asked.agg(F.sum("n")).first()[0] or 0
-    pair_shards = max(4, -(-3 * rows // rule.shard_rows))
-    answered = own.unionByName(words.where("kind = 'answer'")).select(*NAMES)
-    answers = stored(pair_answers(pairs_of_groups(answered, pair_shards, hot), hot, single, rule), "kind")
-    worth = discounts(sum(_summed(answers, "seen", np.int64), np.zeros(most + 2, np.int64)), most)
-    sums: dict[int, list] = {}
-    for r in answers.where("kind = 'hot'").select("a", "b", "c", "d").toLocalIterator():  # a row per shard
-        parts = unpack(r["a"], np.uint64), unpack(r["b"], np.uint32).reshape(-1, most), unpack(r["c"], np.int64), unpack(r["d"], np.float64)
-        for context, rare, whole, share in zip(*parts, strict=True):
-            now = sums.setdefault(int(context), [np.zeros(most, np.int64), 0, 0.0])
-            now[0], now[1], now[2] = now[0] + rare, now[1] + int(whole), now[2] + float(share)
-    together = answered.unionByName(answers.where("kind = 'counts'").select(*NAMES))
-    return group_scores(together, pair_shards, {k: tuple(v) for k, v in sums.items()}, worth, single, tokens, distinct, name)
+    sized = groups.groupBy("kind").agg(F.sum("n").alias("n")).where("kind in ('words', 'size')").collect()
+    rows = {r["kind"]: r["n"] for r in sized}
+    known = own.unionByName(words.where("kind = 'answer'")).select(*NAMES)
+    common, start, worth, orders = _summed(words, "hot", np.uint64), np.array([START], np.uint64), single.worth, []
+    for k in range(2, rule.order + 1):
+        # A group has at most as many grams as tokens; of pairs there are some three to a word.
+        expected = 3 * rows.get("words", 0) if k == 2 else rows.get("size", 0)
+        order = Order(max(4, -(-expected // rule.shard_rows)), np.unique(np.concatenate([start, *common])))
+        asked = grams_of_groups(known, [*orders, order], single)
+        answers = stored(gram_answers(asked, k, order.hot, tokens // HOT_SHARE, worth, rule), "kind")
+        orders.append(answered_order(answers, order, most))
+        worth, common, start = orders[-1].worth, _summed(answers, "often", np.uint64), longer_keys(start, np.array([START], np.uint64))
+        known = known.unionByName(answers.where(f"kind = 'counts{k}'").select(*NAMES))
+    return group_scores(known, orders, single, tokens, distinct, name)

@@ -78,7 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_lm.katz_scores(_documents(spark, sf_dir))
+    return katz_lm.katz_scores(_documents(spark, sf_dir), rule=katz_lm.KatzRule(order=3))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
