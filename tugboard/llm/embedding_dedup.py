@@ -12,7 +12,7 @@ of cuts being a task of its own. A task gives counts of links and a spanning for
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,9 @@ from tugboard.session import ensure_checkpoint_dir
 @dataclass(frozen=True)
 class PivotRule:
     least_cosine: float = 0.98
-    pivots: int = 128         # reference points: the vectors with the smallest hashes of their ids
+    pivots: int = 128         # reference points: of the usable vectors with the smallest hashes of their ids, the first different ones
     nearest: int = 8          # of them that describe a vector
-    least_shared: int = 2     # that two vectors must share to be compared
+    least_shared: int = 2     # that two vectors must share to be compared (all, where the table has fewer)
     tile_rows: int = 4096     # of a list that one side of a task holds
     block_cells: int = 4_000_000
 
@@ -60,6 +60,11 @@ def _widen(rows: np.ndarray, width: int) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, width - rows.shape[1]))) if rows.shape[1] < width else rows[:, :width]
 
 
+def first_different(rows: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` rows that no earlier one equals, in their order."""
+    return rows[np.sort(np.unique(rows, axis=0, return_index=True)[1])[:most]]
+
+
 def permutations(rows: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """The numbers of the nearest pivots of each row, nearest first; of equally near ones the smaller number first."""
     return np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :nearest]
@@ -116,9 +121,11 @@ def near_copies(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
     taken = vectors.select(
         F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("string").alias("label")
     )
-    sample = taken.where("vector is not null and label is not null").orderBy(F.xxhash64("id"), "id").limit(4 * rule.pivots)
+    usable = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)  # NaN is above all
+    sample = taken.where(usable & F.col("label").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(4 * rule.pivots)
     found = unit_rows([r.vector for r in sample.select("vector").collect()])[1]
-    pivots = np.unique(found, axis=0)[:rule.pivots] if len(found) else np.zeros((1, 1))
+    pivots = first_different(found, rule.pivots) if len(found) else np.zeros((1, 1))
+    rule = replace(rule, least_shared=min(rule.least_shared, len(pivots)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
