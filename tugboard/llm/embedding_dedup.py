@@ -60,6 +60,14 @@ def _widen(rows: np.ndarray, width: int) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, width - rows.shape[1]))) if rows.shape[1] < width else rows[:, :width]
 
 
+def filled_up(units: list) -> np.ndarray:
+    """Rows of any lengths as an array, with zeros after the shorter ones."""
+    lengths = np.array([len(u) for u in units], np.int64)
+    rows = np.zeros((len(units), int(lengths.max(initial=0))))
+    rows[np.arange(rows.shape[1]) < lengths[:, None]] = np.concatenate([*units, np.zeros(0)])
+    return rows
+
+
 def first_different(rows: np.ndarray, most: int) -> np.ndarray:
     """The first ``most`` rows that no earlier one equals, in their order."""
     return rows[np.sort(np.unique(rows, axis=0, return_index=True)[1])[:most]]
@@ -76,7 +84,7 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame | None, pivot: int, rule:
     ``right`` is the other cut of the list, or None for the pairs within ``left``.
     """
     both = left if right is None else pd.concat([left, right], ignore_index=True)
-    units = np.array(both["unit"].tolist(), np.float64)
+    units = filled_up(both["unit"].tolist())
     marks = np.zeros((len(both), (rule.pivots + 63) // 64), np.uint64)
     for place in np.array(both["near"].tolist(), np.int64).T:
         np.bitwise_or.at(marks, (np.arange(len(both)), place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
@@ -133,8 +141,9 @@ def near_copies(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
             width = max(pivots.shape[1], units.shape[1] if len(good) else 0)
             near = permutations(_widen(units, width), _widen(pivots, width), rule.nearest) if len(good) else np.zeros((0, 0), int)
             units_of, near_of = [None] * len(batch), [None] * len(batch)
-            for k, unit, places in zip(good.tolist(), units.tolist(), near.tolist(), strict=True):
-                units_of[k], near_of[k] = unit, places
+            ends = units.shape[1] - np.argmax(units[:, ::-1] != 0, axis=1) if len(good) else good
+            for k, unit, end, places in zip(good.tolist(), units.tolist(), ends.tolist(), near.tolist(), strict=True):
+                units_of[k], near_of[k] = unit[:end], places  # without zeros at the end: a vector and its longer copies are equal
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(units_of, pa.list_(pa.float64())), pa.array(near_of, pa.list_(pa.int32())),
             ], ["id", "label", "unit", "near"])
