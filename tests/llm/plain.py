@@ -178,3 +178,48 @@ def katz(docs: dict[int, str], most: int = 5) -> dict[int, tuple]:
         )
         for d, w in tokens.items()
     }
+
+
+def _hash(texts) -> str:
+    return hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+def _levels(leaves: list[str]) -> list[list[str]]:
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([_hash(levels[-1][k:k + 8]) for k in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def _siblings(levels: list[list[str]], place: int) -> list[tuple[list[str], list[str]]]:
+    found = []
+    for nodes in levels[:-1]:
+        first = place // 8 * 8
+        found.append((nodes[first:place], nodes[place + 1:first + 8]))
+        place //= 8
+    return found
+
+
+def manifest(rows: list[tuple]) -> dict:
+    """doc_id: leaf, subroot, root, proof, folded root, verified; rows are (doc_id, text, lang, source, n_chars)."""
+    def leaf(doc_id, text, lang, source, n_chars):
+        return _hash("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (doc_id, source, lang, n_chars, text))
+
+    by_lang = defaultdict(list)
+    for row in sorted(rows, key=lambda r: r[0]):
+        by_lang[row[2]].append(row)
+    langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {lang: _levels([leaf(*row) for row in by_lang[lang]]) for lang in langs}
+    top = _levels([trees[lang][-1][0] for lang in langs])
+    found = {}
+    for number, lang in enumerate(langs):
+        for place, row in enumerate(by_lang[lang]):
+            way = _siblings(trees[lang], place) + _siblings(top, number)
+            text = row[1].translate(LOWER) if row[1] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 else row[1]
+            folded = leaf(row[0], text, *row[2:])
+            for left, right in way:
+                folded = _hash([*left, folded, *right])
+            root, subroot = top[-1][0], trees[lang][-1][0]
+            proof = _hash(x for left, right in way for x in (*left, *right))
+            found[row[0]] = (trees[lang][0][place], subroot, root, proof, folded, folded == root)
+    return found

@@ -82,9 +82,73 @@ FROM embeddings JOIN reach ON vec_id = reach.a LEFT JOIN counted ON vec_id = cou
 """
 
 
+def _crc32(number: str) -> str:
+    """The unsigned crc32 of a number in decimal, bit by bit."""
+    bit = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"lambda crc, letter: list_reduce(list_prepend(xor(crc, letter), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    letters = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {letters}), {byte}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, lang, {_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("doc_id")} % 3 = 0
+                THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS shown,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place
+    FROM documents
+), nodes AS (
+    SELECT lang, 0 AS level, place, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT lang, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER (PARTITION BY lang, level) AS n FROM nodes) WHERE n > 1 GROUP BY lang, level, place // 8
+), heights AS (
+    SELECT lang, max(level) AS height FROM nodes GROUP BY lang
+), subroots AS (
+    SELECT nodes.lang, height, digest AS subroot, row_number() OVER (ORDER BY nodes.lang NULLS FIRST) - 1 AS place
+    FROM nodes JOIN heights ON nodes.lang IS NOT DISTINCT FROM heights.lang AND level = height
+), tops AS (
+    SELECT 0 AS level, place, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM tops) WHERE n > 1 GROUP BY level, place // 8
+), steps AS (
+    SELECT doc_id, level, n.place, digest, n.place = l.place // (8 ** level)::BIGINT AS own
+    FROM leaves l JOIN heights h ON l.lang IS NOT DISTINCT FROM h.lang
+    JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND level < height AND n.place // 8 = l.place // (8 ** (level + 1))::BIGINT
+    UNION ALL
+    SELECT doc_id, height + level, t.place, digest, t.place = s.place // (8 ** level)::BIGINT
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+    JOIN tops t ON level < (SELECT max(level) FROM tops) AND t.place // 8 = s.place // (8 ** (level + 1))::BIGINT
+), folds AS (
+    SELECT doc_id, 0 AS level, shown AS digest FROM leaves
+    UNION ALL
+    SELECT doc_id, level + 1, sha256(string_agg(CASE WHEN own THEN folded ELSE digest END, '' ORDER BY place))
+    FROM (SELECT steps.*, folds.digest AS folded FROM folds JOIN steps USING (doc_id, level)) GROUP BY doc_id, level
+), proofs AS (
+    SELECT doc_id, sha256(coalesce(string_agg(digest, '' ORDER BY level, place) FILTER (NOT own), '')) AS proof_sha256
+    FROM leaves LEFT JOIN steps USING (doc_id) GROUP BY doc_id
+), folded AS (
+    SELECT doc_id, max_by(digest, level) AS folded_root FROM folds GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots ON leaves.lang IS NOT DISTINCT FROM subroots.lang
+JOIN proofs USING (doc_id) JOIN folded USING (doc_id) CROSS JOIN (SELECT max_by(digest, level) AS root FROM tops)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_near_dedup": NEAR_COPIES,
         "op7_line_dedup": LINE_DEDUP,
         "op9_quality_rules": QUALITY_RULES,
+        "op11_merkle_manifest": MERKLE,
     }

@@ -6,10 +6,10 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, mixing, prefix_free_dedup, quality_rules, simhash_dedup, token_output, url_filters
+from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, merkle_manifest, mixing, prefix_free_dedup, quality_rules, simhash_dedup, token_output, url_filters
 from tugboard.llm.url_filters import GivenRule
 from tugboard.session import ensure_checkpoint_dir
 
@@ -81,10 +81,25 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_lm.katz_scores(_documents(spark, sf_dir), rule=katz_lm.KatzRule(order=3))
 
 
+# What a leaf of the manifest covers, in this order, and the letters that tampering lower-cases.
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(_crc("doc_id") % 3 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    made = merkle_manifest.manifest(_documents(spark, sf_dir), "doc_id", "lang", MANIFEST_FIELDS, {"text": tampered})
+    return merkle_manifest.verified(made)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_array_dedup, op2_bpe_codec, op3_embedding_near_dedup, op4_simhash_near_dedup,
         op5_token_id_output, op6_source_mixing, op7_line_dedup,
-        op8_url_filters, op9_quality_rules, op10_katz_lm,
+        op8_url_filters, op9_quality_rules, op10_katz_lm, op11_merkle_manifest,
     )
     return {query.__name__: query for query in every}
