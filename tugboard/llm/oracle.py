@@ -134,7 +134,7 @@ WITH RECURSIVE leaves AS (
     SELECT doc_id, level + 1, sha256(string_agg(CASE WHEN own THEN folded ELSE digest END, '' ORDER BY place))
     FROM (SELECT steps.*, folds.digest AS folded FROM folds JOIN steps USING (doc_id, level)) GROUP BY doc_id, level
 ), proofs AS (
-    SELECT doc_id, sha256(coalesce(string_agg(digest, '' ORDER BY level, place) FILTER (NOT own), '')) AS proof_sha256
+    SELECT doc_id, sha256(coalesce(string_agg(digest, '' ORDER BY level, steps.place) FILTER (NOT own), '')) AS proof_sha256
     FROM leaves LEFT JOIN steps USING (doc_id) GROUP BY doc_id
 ), folded AS (
     SELECT doc_id, max_by(digest, level) AS folded_root FROM folds GROUP BY doc_id
