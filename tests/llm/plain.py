@@ -223,3 +223,30 @@ def manifest(rows: list[tuple]) -> dict:
             proof = _hash(x for left, right in way for x in (*left, *right))
             found[row[0]] = (trees[lang][0][place], subroot, root, proof, folded, folded == root)
     return found
+
+
+def trie(paths: dict[int, list[tuple]]) -> set[tuple]:
+    """All nodes of the paths: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    members = defaultdict(list)
+    for conv in sorted(paths):
+        for depth in range(len(paths[conv]) + 1):
+            members[tuple(paths[conv][:depth])].append(conv)
+    children, leaves, saved = Counter(node[:-1] for node in members if node), Counter(), Counter()
+    for node, convs in members.items():
+        for depth in range(len(node) + 1):
+            leaves[node[:depth]] += not children[node]
+            saved[node[:depth]] += (len(convs) - 1) * len(node[-1][1]) if node else 0
+    return {
+        (convs[0], len(node), members[node[:-1]][0] if node else None, len(convs), children[node], leaves[node], saved[node],
+         sha(",".join(str(c) for c in convs if len(paths[c]) == len(node)).encode()))
+        for node, convs in members.items()
+    }
+
+
+def rebuilt(rows: list[tuple]) -> dict[int, list[tuple]]:
+    """Rows of (conv_id, turn, role, text) as paths, heads exchanged."""
+    own = defaultdict(list)
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[conv].append((role or "", text or ""))
+    heads = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    return {c: own.get(c - c % 100, [])[:h] + own[c][h:] for c, h in heads.items()}

@@ -145,10 +145,65 @@ JOIN proofs USING (doc_id) JOIN folded USING (doc_id) CROSS JOIN (SELECT max_by(
 """
 
 
+TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, length(coalesce(text, '')) AS size,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT *, least(h, (SELECT count(*) FROM turns WHERE turns.conv_id = c.conv_id - c.conv_id % 100)) AS taken
+    FROM (SELECT DISTINCT conv_id, {_crc32("conv_id")} % 6 AS h FROM turns) c
+), rebuilt AS (
+    SELECT convs.conv_id, n AS depth, said, size FROM convs JOIN turns ON turns.conv_id = convs.conv_id - convs.conv_id % 100 AND n <= h
+    UNION ALL
+    SELECT convs.conv_id, taken + n - h, said, size FROM convs JOIN turns ON turns.conv_id = convs.conv_id AND n > h
+), steps AS (
+    SELECT conv_id, depth, size, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), ended AS (
+    SELECT conv_id, max(depth) AS last FROM steps GROUP BY conv_id
+), nodes AS (
+    SELECT path, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(size) AS size,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+    FROM steps JOIN ended USING (conv_id) GROUP BY path
+), parents AS (
+    SELECT *, CASE WHEN depth > 0 THEN left(path, length(path) - 64) END AS parent FROM nodes
+), children AS (
+    SELECT parent AS path, count(*) AS n FROM parents WHERE parent IS NOT NULL GROUP BY parent
+), facts AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path)
+), sums AS (
+    SELECT s.path, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
+    FROM facts f JOIN steps s ON s.conv_id = f.conv_id AND s.depth <= f.depth GROUP BY s.path
+)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM facts f JOIN parents USING (path) JOIN sums USING (path) LEFT JOIN nodes p ON p.path = parents.parent
+"""
+
+
+WARC = """
+WITH hashed AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), fives AS (
+    SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 1 + 5 * g, 5) AS INT) >> (15 - 5 * k)) & 31 AS INT) + 1, 1), '' ORDER BY g, k) AS digest
+    FROM (SELECT DISTINCT hex FROM hashed), range(8) a(g), range(4) b(k) GROUP BY hex
+), owners AS (
+    SELECT hex, max(page_id) AS owner FROM hashed GROUP BY hex
+)
+SELECT page_id, strlen(body) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM hashed JOIN fives USING (hex) JOIN owners USING (hex)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_near_dedup": NEAR_COPIES,
         "op7_line_dedup": LINE_DEDUP,
         "op9_quality_rules": QUALITY_RULES,
         "op11_merkle_manifest": MERKLE,
+        "op12_conversation_trie": TRIE,
+        "op13_warc": WARC,
     }

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, merkle_manifest, mixing, prefix_free_dedup, quality_rules, simhash_dedup, token_output, url_filters
+from tugboard.llm import bpe_codec, embedding_dedup, katz_lm, line_dedup, merkle_manifest, mixing, prefix_free_dedup, prefix_trie, quality_rules, simhash_dedup, token_output, url_filters, warc_archives
 from tugboard.llm.url_filters import GivenRule
 from tugboard.session import ensure_checkpoint_dir
 
@@ -96,10 +96,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(made)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.paths_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(paths, (_crc("conv_id") % 6).cast("int")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4()}"
+    warc_archives.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc_archives.read_archives(spark, folder).where(F.col("gap").isNull()).select(
+        F.expr("try_cast(record_id as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_array_dedup, op2_bpe_codec, op3_embedding_near_dedup, op4_simhash_near_dedup,
         op5_token_id_output, op6_source_mixing, op7_line_dedup,
-        op8_url_filters, op9_quality_rules, op10_katz_lm, op11_merkle_manifest,
+        op8_url_filters, op9_quality_rules, op10_katz_lm, op11_merkle_manifest, op12_conversation_trie,
+        op13_warc,
     )
     return {query.__name__: query for query in every}
