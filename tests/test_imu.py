@@ -12,6 +12,8 @@ from tugboard.sources.imu_logs import (
     imu_bad_cells,
     imu_numeric_cast,
     imu_numeric_columns,
+    imu_rejects,
+    parse_imu_framed,
     parse_imu_records,
     read_imu_logs,
 )
@@ -70,35 +72,106 @@ def test_known_outcomes(spark, tmp_path):
     assert row[0] == "10:00:01.1" and row[1] == "2"  # first time, second record's sensors
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_token_soup_over_many_splits(spark, tmp_path, seed):
+def framed(text):
+    """The frames of a text, said plainly: (number, fields) of each record, (number, sensor, reading) of all other readings."""
+    found = re.finditer("|".join([TIME_TOKEN, *SENSORS.values(), "Gyroscope"]), text)
+    names = ["Gyroscope", "Acc", "Mag", "Grav", "Rot"]
+    tokens = [(next((k for k, name in enumerate(names, 1) if m[0].startswith(name)), 0), m[0]) for m in found]
+    pieces = [[]]
+    for kind, token in tokens:
+        if kind == 0:
+            pieces.append([])
+        pieces[-1].append((kind, token))
+    frames = [[]]   # what lies before the first one
+    for piece in pieces:
+        if piece and piece[0][0] == 0 and any(kind == 1 for kind, _ in piece):
+            frames.append([])
+        frames[-1] += piece
+    records, rejects = [], []
+    for number, frame in enumerate(frames):
+        taken = []
+        for at, (kind, token) in enumerate(frame):
+            if kind == len(taken) < 6 and (kind != 1 or token != "Gyroscope") and (taken or number):
+                taken.append(at)
+        if len(taken) == 6:
+            records.append((number, *(x for at in taken for x in whole_text_groups(frame[at][1]))))
+        else:
+            taken = []
+        rejects += [(number, list(SENSORS)[kind - 1], token) for at, (kind, token) in enumerate(frame) if kind and at not in taken]
+    return records, sorted(rejects)
+
+
+def whole_text_groups(token):
+    return next(m.groups() or (m[0],) for m in (re.fullmatch(p, token) for p in [TIME_TOKEN, *SENSORS.values()]) if m)
+
+
+def framed_by_spark(spark, lines):
+    records = [tuple(r[c] for c in ["frame_no", *IMU_COLUMNS]) for r in parse_imu_framed(lines).orderBy("file", "frame_no").collect()]
+    return records, sorted(tuple(r)[2:] for r in imu_rejects(lines).collect())
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_cases_in_frames(spark, tmp_path, case):
+    text = "\n".join(CASES[case]) + "\n"
+    (tmp_path / "imu_log.txt").write_text(text)
+    assert framed_by_spark(spark, read_imu_logs(spark, str(tmp_path))) == framed(text)
+
+
+def test_known_frames(spark, tmp_path):
+    text = "\n".join([token(2, 9), "09:59:59.000 boot", *CASES["bad reading"], token(5, 8), *CASES["no gravity"]]) + "\n"
+    (tmp_path / "imu_log.txt").write_text(text)
+    records, rejects = framed_by_spark(spark, read_imu_logs(spark, str(tmp_path)))
+    # The malformed gyroscope's frame is the first, and its sensors do not go to the next record.
+    assert [(r[0], r[1], r[2]) for r in records] == [(2, "10:00:02.2", "2"), (4, "10:00:02.2", "2")]
+    assert [(n, s) for n, s, _ in rejects] == [
+        (0, "acc"), (1, "acc"), (1, "grav"), (1, "gyro"), (1, "mag"), (1, "rot"), (2, "rot"), (3, "acc"), (3, "gyro"), (3, "mag"), (3, "rot"),
+    ]
+
+
+def soup(seed, size=250):
     rng = random.Random(seed)
-    texts = {}
-    for name in ("imu_log_a.txt", "imu_log_b.txt"):
-        lines, n = [], 0
-        while n < 700:
-            n += 1
-            roll = rng.random()
-            if roll < 0.5:
-                lines += record(n)
-            elif roll < 0.8:
-                lines += [token(rng.randrange(6), n)]
-            elif roll < 0.9:
-                lines += [x for x in record(n) if rng.random() < 0.7]
-            else:
-                lines += ["noise 12:00 SensorInfo { }", ""]
-        texts[name] = "\n".join(lines) + "\n"
-        (tmp_path / name).write_text(texts[name])
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    lines, n = [], 0
+    while n < size:
+        n += 1
+        roll = rng.random()
+        if roll < 0.5:
+            lines += record(n)
+        elif roll < 0.8:
+            lines += [token(rng.randrange(6), n)]
+        elif roll < 0.9:
+            lines += [x for x in record(n) if rng.random() < 0.7]
+        elif roll < 0.93:
+            lines += [token(1, n).replace("-0.2", "1E-4"), f"{token(0, n)} {token(0, n + 1)}", token(3, n) + token(4, n)]
+        else:
+            lines += ["noise 12:00 SensorInfo { }", ""]
+    return "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("seed, split, batch", [(1, 10_000, 97), (2, 4_000, 3), (3, 700, 10_000)])
+def test_token_soup_over_many_splits(spark, tmp_path, seed, split, batch):
+    texts = {name: soup(seed + k) for k, name in enumerate(("imu_log_a.txt", "imu_log_b.txt"))}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         lines = read_imu_logs(spark, str(tmp_path))
         assert lines.select("file", "block_start").distinct().count() > 10
         found = parsed(spark, tmp_path)
+        frames, rejects = framed_by_spark(spark, lines)
+        # No two lines of a split need to lie together.
+        again = parse_imu_records(lines.repartition(5, "mid")).orderBy("file", "record_no").collect() if seed == 1 else None
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for name in ("files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(f"spark.sql.{name}")
     assert found == [hit for name in sorted(texts) for hit in whole_text_match(texts[name])]
+    assert again is None or [tuple(r[c] for c in IMU_COLUMNS) for r in again] == found
+    plain = [framed(texts[name]) for name in sorted(texts)]
+    assert frames == [r for records, _ in plain for r in records] and rejects == sorted(r for _, left in plain for r in left)
+    # No reading is in both tables or in none.
+    readings = len(re.findall("|".join(SENSORS.values()), "".join(texts.values())))
+    assert 5 * len(frames) + sum(token != "Gyroscope" for _, _, token in rejects) == readings
 
 
 def test_numeric_cast(spark, tmp_path):
@@ -131,7 +204,7 @@ def test_tasks_need_no_install(tmp_path):
     from tugboard.sources import imu_logs
 
     functions = [
-        imu_logs._split_functions, imu_logs._entry_states, imu_logs._partial_records,
+        imu_logs._machines, imu_logs._framed, imu_logs._entry_states,
         conflicts._chain_ends, conflicts._chain_walk,
     ]
     (tmp_path / "functions").write_bytes(cloudpickle.dumps(functions))

@@ -4,27 +4,35 @@ A record is the first time stamp after the record before it, then the first gyro
 that, then the first accelerometer reading after that, and so on: a reading that is missing or
 malformed is taken from further down, whoever it belongs to. Read as one text that is a lazy match
 over the whole file. Here it is a six-state machine over the tokens of the lines, and since a step
-of a machine is a function from state to state, the splits of a file can be run side by side:
-
-1. each split computes, for every state it may be entered in, the state it leaves and the number of
-   records it opens;
-2. per file these small functions are composed in split order, which gives the state each split is
-   really entered in;
-3. each split marks the tokens it accepts, numbered by record.
-
-So a file is never gathered into one value or one task, and the result is that of the whole text.
-(A file that cannot be split, say a gzip, is one split.) The Python part is a loop over small
-integers that streams through rows Spark has partitioned and sorted.
+of a machine is a function from state to state, the splits of a file can be run side by side, each
+once and in the task that scans it:
+
+1. a task follows the machine from every state its stretch of a file may be entered in. Two runs
+   that take the same time stamp are one from there on, which is soon. It writes the records down,
+   each with its number under every entry state, and per stretch one row: the state it leaves and the
+   number of records it opens, for each entry state;
+2. per file these rows are composed in order, which gives the state each stretch is really entered in;
+3. records that begin under that state stay. The few that cross a border are put together.
+
+So a file is never gathered into one value or one task, tokens are never shuffled, and the result is
+that of the whole text. (A file that cannot be split, say a gzip, is one stretch.)
+
+``parse_imu_framed`` reads broken files otherwise: the file is cut at the last time stamp before each
+gyroscope, a record must lie within its frame, and every reading that is in no record is a row of
+``imu_rejects``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tugboard.config import DEFAULTS, PanelSettings
+from tugboard.plans.tables import written
 from tugboard.session import ensure_checkpoint_dir
 from tugboard.sources.lines import read_lines, require_rows
 
@@ -53,7 +61,6 @@ def _columns_of(sensor: str) -> list[tuple[str, str]]:
 
 
 IMU_NUMERIC = [pair for sensor in SENSORS for pair in _columns_of(sensor)]
-SPLIT = ["session_id", "file", "block_start"]
 IMU_COLUMNS = ["time"] + [name for name, _ in IMU_NUMERIC]
 STATES = 1 + len(SENSORS)
 
@@ -64,132 +71,243 @@ def read_imu_logs(
     return read_lines(spark, folder, glob, session, **options)
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """Every time stamp and well-formed reading, with its place. No token spans a line break."""
-    either = "|".join([TIME_TOKEN, *SENSORS.values()])
-    kind = F.lit(0)
-    for state, name in enumerate(NAMES.values(), start=1):
-        kind = F.when(F.col("token").startswith(name), F.lit(state)).otherwise(kind)
-    found = F.regexp_extract_all("line", F.lit(f"({either})"), F.lit(0))
+STRETCH = ["session_id", "file", "block_start", "first_mid"]
+SLOTS = [f"_{kind}" for kind in range(STATES)]
+MARKER = NAMES["gyro"]
+BROKEN = STATES   # the kind of a gyroscope's name without a well-formed reading
+
+_STRETCH = "session_id string, file string, block_start long, first_mid long"
+_TEXTS = ", ".join(f"{slot} string" for slot in SLOTS)
+
+
+def _token_lines(lines: DataFrame, markers: bool = False) -> DataFrame:
+    """Every line with its time stamps and well-formed readings. No token spans a line break."""
+    either = "|".join([TIME_TOKEN, *SENSORS.values(), *([MARKER] if markers else [])])
     return lines.select(
-        "session_id", "file", "block_start", "mid", F.posexplode(found).alias("place", "token")
-    ).withColumn("kind", kind.cast("int"))
+        "session_id", "file", "block_start", "mid", F.xxhash64("session_id", "file", "block_start").alias("place"),
+        F.regexp_extract_all("line", F.lit(f"({either})"), F.lit(0)).alias("tokens"),
+    )
 
 
-def _runs(keys: Sequence[tuple]) -> Iterator[tuple[tuple, int, int]]:
-    """(key, start, stop) of each run of equal keys."""
-    start = 0
-    for at in range(1, len(keys) + 1):
-        if at == len(keys) or keys[at] != keys[start]:
-            yield keys[start], start, at
-            start = at
+def _kinds(tokens: pa.Array) -> np.ndarray:
+    """0 for a time stamp, 1 to 5 for readings in record order, BROKEN for a bare name."""
+    _, offsets, data = tokens.buffers()
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(offsets, np.int32)[tokens.offset: tokens.offset + n + 1]
+    text = np.frombuffer(data, np.uint8)
+    first, second = text[at[:-1]], text[at[:-1] + 1]
+    kinds = np.zeros(n, np.int64)
+    for kind, name in enumerate(NAMES.values(), start=1):
+        kinds[(first == ord(name[0])) & (second == ord(name[1]))] = kind
+    kinds[(kinds == 1) & (np.diff(at) == len(MARKER))] = BROKEN
+    return kinds
 
 
-def _split_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per split, for every entry state: the state after its tokens and the records opened by them."""
-    current, states, opened = None, [], []
+def _stretches(batch: pa.RecordBatch, last: tuple | None) -> Iterator[tuple[tuple | None, int, int]]:
+    """(key, first token, end) of each run of consecutive lines; the key is None where the run of ``last`` goes on.
 
-    def closed() -> list[tuple]:
-        return [] if current is None else [(*current, states, opened)]
+    ``last`` is the place and number of the line before the batch. Lines count as consecutive only if
+    nothing can lie between them, so a table in any order gives right results, if many stretches.
+    """
+    mid, place = batch["mid"].to_numpy(), batch["place"].to_numpy()
+    breaks = np.flatnonzero((np.diff(mid) != 1) | (np.diff(place) != 0)) + 1
+    begins = [0, *breaks.tolist()]
+    ends = [*begins[1:], batch.num_rows]
+    tokens = np.frombuffer(batch["tokens"].buffers()[1], np.int32)[batch["tokens"].offset:]
+    base = int(tokens[0])
+    for begin, end in zip(begins, ends):
+        goes_on = begin == 0 and last is not None and (int(place[0]), int(mid[0]) - 1) == last
+        key = None if goes_on else tuple(batch[c][begin].as_py() for c in ("session_id", "file", "block_start", "mid"))
+        yield key, int(tokens[begin]) - base, int(tokens[end]) - base
+
+
+def _next_of(kinds: np.ndarray, kind: int) -> np.ndarray:
+    """For every place, and the two behind the end, the first place from there on with a token of ``kind``."""
+    n = len(kinds)
+    at = np.where(kinds == kind, np.arange(n), n)
+    return np.concatenate([np.minimum.accumulate(at[::-1])[::-1], [n, n]])
+
+
+class _Chain:
+    """One run of the machine, shared by all entry states that have come to take the same time stamp."""
+
+    def __init__(self, entry: int):
+        self.state = entry
+        self.opened = 0
+        self.members = [(entry, 0, -1)]   # entry state, what its numbers are ahead by, records opened when it joined
+        self.merged: tuple[_Chain, int, int] | None = None
+
+    def join(self, entry: int, ahead: int, opened: int) -> None:
+        self.members.append((entry, ahead, opened))
+        if self.merged:
+            other, mine, theirs = self.merged
+            other.join(entry, ahead + mine - theirs, theirs)
+
+    def numbers(self, opened: np.ndarray) -> np.ndarray:
+        """Per record, by how many were opened with it, its number under each entry state, or -1."""
+        found = np.full((len(opened), STATES), -1)
+        for entry, ahead, joined in self.members:
+            found[:, entry] = np.where(opened > joined, opened + ahead, found[:, entry])
+        return found
+
+
+class _Machine:
+    """The machine run from all states over one stretch, fed piece by piece."""
+
+    def __init__(self, key: tuple):
+        self.key = key
+        self.chains = [_Chain(entry) for entry in range(STATES)]
+
+    def feed(self, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of the tokens taken, -1 for none; numbers under each entry state), a row per record or part of one."""
+        n = len(kinds)
+        following = [_next_of(kinds, kind) for kind in range(STATES)]
+        whole = [following[0]]
+        for kind in range(1, STATES):
+            whole.append(following[kind][whole[-1] + 1])
+        times, ends = whole[0].tolist(), whole[-1].tolist()
+        begun: dict[int, tuple[_Chain, int]] = {}
+        rows = [self._follow(chain, n, following, times, ends, begun) for chain in self.chains]
+        for chain, (parts, starts, first) in zip(self.chains, rows):
+            if starts:
+                places = np.stack([places[starts] for places in whole], axis=1)
+                yield np.where(places < n, places, -1), chain.numbers(np.arange(first + 1, first + 1 + len(starts)))
+            for places, opened in parts:
+                yield np.array([places]), chain.numbers(np.array([opened]))
+        self.chains = [chain for chain in self.chains if not chain.merged]
+        for chain in self.chains:
+            chain.members = [(entry, ahead, -1) for entry, ahead, _ in chain.members]
+
+    @staticmethod
+    def _follow(chain, n, following, times, ends, begun):
+        at, parts, starts = 0, [], []
+        if chain.state:
+            places = [-1] * STATES
+            while chain.state < STATES and following[chain.state][at] < n:
+                places[chain.state] = int(following[chain.state][at])
+                at, chain.state = places[chain.state] + 1, chain.state + 1
+            if max(places) >= 0:
+                parts.append((places, chain.opened))
+            if chain.state < STATES:
+                return parts, starts, chain.opened
+            chain.state = 0
+        first = chain.opened
+        while times[at] < n:
+            if times[at] in begun:
+                other, theirs = begun[times[at]]
+                mine = chain.opened
+                chain.merged = (other, mine, theirs)
+                for entry, ahead, _ in chain.members:
+                    other.join(entry, ahead + mine - theirs, theirs)
+                break
+            begun[times[at]] = (chain, chain.opened)
+            starts.append(at)
+            chain.opened += 1
+            if ends[at] >= n:   # the record goes on behind the end
+                place = times[at] + 1
+                chain.state = 1
+                while following[chain.state][place] < n:
+                    place, chain.state = int(following[chain.state][place]) + 1, chain.state + 1
+                break
+            at = ends[at] + 1
+        return parts, starts, first
+
+    def summary(self) -> tuple[list[int], list[int]]:
+        """Per entry state: the state the stretch is left in and the records opened."""
+        leaves, opens = [0] * STATES, [0] * STATES
+        for chain in self.chains:
+            for entry, ahead, _ in chain.members:
+                leaves[entry], opens[entry] = chain.state, chain.opened + ahead
+        return leaves, opens
+
+
+def _taken(tokens: pa.Array, places: np.ndarray) -> pa.Array:
+    return tokens.take(pa.array(places, pa.int64(), mask=places < 0))
+
+
+def _gathered(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many small batches as one."""
+    if rows:
+        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+
+_PIECE = [*STRETCH, "leaves", "opens", "numbers", *SLOTS]
+
+
+def _machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and parts of records with their numbers under each entry state, and one summary per stretch."""
+    machine, last = None, None
+
+    def keyed(key: tuple, n: int) -> list[pa.Array]:
+        return [pa.array([value] * n, kind) for value, kind in zip(key, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+
+    def summary() -> pa.RecordBatch:
+        leaves, opens = machine.summary()
+        texts = [pa.nulls(1, pa.string())] * STATES
+        return pa.RecordBatch.from_arrays([
+            *keyed(machine.key, 1), pa.array([leaves], pa.list_(pa.int32())), pa.array([opens], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), *texts,
+        ], _PIECE)
 
     for batch in batches:
-        done = []
-        kinds = batch["kind"].tolist()
-        for key, start, stop in _runs(list(zip(batch["session_id"], batch["file"], batch["block_start"]))):
-            if key != current:
-                done += closed()
-                current, states, opened = key, list(range(STATES)), [0] * STATES
-            for entry in range(STATES):
-                state, count = states[entry], 0
-                for kind in kinds[start:stop]:
-                    if kind == state:
-                        count += state == 0
-                        state = state + 1 if state + 1 < STATES else 0
-                states[entry], opened[entry] = state, opened[entry] + count
-        if done:
-            yield pd.DataFrame(done, columns=[*SPLIT, "leaves", "opens"])
-    if current is not None:
-        yield pd.DataFrame(closed(), columns=[*SPLIT, "leaves", "opens"])
-
-
-def _entry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per split, in file order: the state it is entered in and the records opened before it."""
+        if not batch.num_rows:
+            continue
+        tokens, rows = batch["tokens"].flatten(), []
+        kinds = _kinds(tokens)
+        for key, begin, end in _stretches(batch, last):
+            if key is not None:
+                if machine is not None:
+                    rows.append(summary())
+                machine = _Machine(key)
+            for places, numbers in machine.feed(kinds[begin:end]):
+                n = len(places)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, STATES * n + 1, STATES), pa.int32()), pa.array(numbers.reshape(-1), pa.int64()))
+                taken = [_taken(tokens, np.where(column >= 0, column + begin, -1)) for column in places.T]
+                rows.append(pa.RecordBatch.from_arrays(
+                    [*keyed(machine.key, n), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), lists, *taken], _PIECE
+                ))
+        yield from _gathered(rows)
+        last = (batch["place"][-1].as_py(), batch["mid"][-1].as_py())
+    if machine is not None:
+        yield summary()
+
+
+def _entry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per stretch, in file order: the state it is entered in and the records opened before it."""
     current, state, opened = None, 0, 0
     for batch in batches:
         entered, before = [], []
-        for session, file, leaves, opens in zip(batch["session_id"], batch["file"], batch["leaves"], batch["opens"]):
+        for session, file, leaves, opens in zip(*(batch[c].to_pylist() for c in ("session_id", "file", "leaves", "opens"))):
             if (session, file) != current:
                 current, state, opened = (session, file), 0, 0
             entered.append(state)
             before.append(opened)
-            state, opened = int(leaves[state]), opened + int(opens[state])
-        yield batch[SPLIT].assign(state=entered, opened=before)
+            state, opened = leaves[state], opened + opens[state]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch[c] for c in STRETCH], pa.array(entered, pa.int32()), pa.array(before, pa.int64())], [*STRETCH, "state", "opened"]
+        )
 
 
-def _partial_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The accepted tokens, each in the slot of its kind, one row per record and batch.
+def _by_stretch(rows: DataFrame, facts: DataFrame, settings: PanelSettings) -> DataFrame:
+    """``facts``, one row per stretch, joined to ``rows``; broadcast only if there are few stretches."""
+    facts = written(facts)
+    named = facts.select(*[F.col(c).alias(f"_of_{c}") for c in STRETCH], *[c for c in facts.columns if c not in STRETCH])
+    same = F.lit(True)
+    for c in STRETCH:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    small = facts.count() <= settings.broadcast_rows
+    return rows.join(F.broadcast(named) if small else named, same).drop(*[f"_of_{c}" for c in STRETCH])
 
-    A split starts with its entry row. Rows of a record that crosses splits or batches are put
-    together afterwards.
-    """
-    state, record = 0, 0
-    taken = ["session_id", "file", "kind", "token", "state", "opened"]
-    for batch in batches:
-        place, slots, is_open = [], [[] for _ in range(STATES)], False
-        for session, file, kind, token, entered, opened in zip(*(batch[c] for c in taken)):
-            if kind < 0:
-                state, record, is_open = int(entered), int(opened), False
-            elif kind == state:
-                if state == 0:
-                    record, is_open = record + 1, False
-                if not is_open:
-                    place.append((session, file, record))
-                    for slot in slots:
-                        slot.append(None)
-                    is_open = True
-                slots[kind][-1] = token
-                state = state + 1 if state + 1 < STATES else 0
-        if place:
-            rows = pd.DataFrame(place, columns=["session_id", "file", "record_no"])
-            yield rows.assign(**{f"_{kind}": slot for kind, slot in enumerate(slots)})
-
-
-def _in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Each key whole in one partition, in order: the sort is Spark's, and tasks stream through it."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-
-def parse_imu_records(lines: DataFrame, require_nonempty: bool = False) -> DataFrame:
-    """``session_id, file, record_no`` and the 27 fields of each complete record, as text."""
-    tokens = _tokens(lines)
-    functions = _in_order(tokens.select(*SPLIT, "mid", "place", "kind"), SPLIT, ["mid", "place"]).mapInPandas(
-        _split_functions,
-        "session_id string, file string, block_start long, leaves array<int>, opens array<long>",
-    )
-    entries = _in_order(functions, ["session_id", "file"], ["block_start"]).mapInPandas(
-        _entry_states, "session_id string, file string, block_start long, state int, opened long"
-    )
-    # The entry state travels as a row ahead of its split's tokens, which saves a join.
-    first = entries.select(
-        *SPLIT, F.lit(-1).cast("long").alias("mid"), F.lit(0).alias("place"), F.lit("").alias("token"),
-        F.lit(-1).alias("kind"), "state", "opened",
-    )
-    led = tokens.withColumns({"state": F.lit(0), "opened": F.lit(0).cast("long")}).unionByName(first)
-    slots = [f"_{kind}" for kind in range(STATES)]
-    partial = _in_order(led, SPLIT, ["mid", "place"]).mapInPandas(
-        _partial_records,
-        "session_id string, file string, record_no long, " + ", ".join(f"{slot} string" for slot in slots),
-    )
-    whole = (
-        partial.groupBy("session_id", "file", "record_no").agg(*[F.max(slot).alias(slot) for slot in slots])
-        .where(F.col(slots[-1]).isNotNull())
-    )
+
+def _fields(whole: DataFrame, number: str) -> DataFrame:
+    """The 27 fields of records whose tokens are in SLOTS."""
     # A reading holds its numbers in column order and nothing else of their alphabet.
     numbers = {
         sensor: F.regexp_extract_all(F.col(f"_{state}"), F.lit(_NUMBER), F.lit(1))
         for state, sensor in enumerate(SENSORS, start=1)
     }
-    whole = whole.select("session_id", "file", "record_no", F.col("_0").alias("time"), *[
+    whole = whole.select("session_id", "file", number, F.col("_0").alias("time"), *[
         found.alias(sensor) for sensor, found in numbers.items()
     ])
     fields = [
@@ -197,10 +315,221 @@ def parse_imu_records(lines: DataFrame, require_nonempty: bool = False) -> DataF
         for sensor in SENSORS
         for place, (name, _) in enumerate(_columns_of(sensor))
     ]
-    records = whole.select("session_id", "file", "record_no", "time", *fields)
+    return whole.select("session_id", "file", number, "time", *fields)
+
+
+def parse_imu_records(lines: DataFrame, require_nonempty: bool = False, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """``session_id, file, record_no`` and the 27 fields of each complete record, as text."""
+    schema = f"{_STRETCH}, leaves array<int>, opens array<long>, numbers array<long>, {_TEXTS}"
+    pieces = written(_token_lines(lines).mapInArrow(_machines, schema))
+    summaries = pieces.where(F.col("leaves").isNotNull()).select(*STRETCH, "leaves", "opens")
+    in_order = summaries.repartition("session_id", "file").sortWithinPartitions(*STRETCH)
+    entries = in_order.mapInArrow(_entry_states, f"{_STRETCH}, state int, opened long")
+    known = _by_stretch(pieces.where(F.col("numbers").isNotNull()), entries, settings)
+    number = F.get("numbers", F.col("state"))
+    real = known.where(number >= 0).select("session_id", "file", (number + F.col("opened")).alias("record_no"), *SLOTS)
+    complete = F.lit(True)
+    for slot in SLOTS:
+        complete = complete & F.col(slot).isNotNull()
+    crossing = (
+        real.where(~complete).groupBy("session_id", "file", "record_no").agg(*[F.max(slot).alias(slot) for slot in SLOTS])
+        .where(F.col(SLOTS[-1]).isNotNull())
+    )
+    records = _fields(real.where(complete).unionByName(crossing), "record_no")
+    return require_rows(records, "sensor records") if require_nonempty else records
+
+
+_FRAME = [*STRETCH, "local", "part", "seq", "kind", *SLOTS]
+_FRAME_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * STATES]
+_FRAMES = f"{_STRETCH}, local long, part string, seq long, kind int, {_TEXTS}"
+
+
+def _frame_rows(columns: dict[str, object], n: int) -> pa.RecordBatch:
+    """Rows of _FRAME; a column that is not named is null, one value stands for all rows."""
+    made = []
+    for name, kind in zip(_FRAME, _FRAME_TYPES):
+        value = columns.get(name)
+        made.append(value if isinstance(value, pa.Array) else pa.array(value, kind) if isinstance(value, np.ndarray) else pa.array([value] * n, kind))
+    return pa.RecordBatch.from_arrays(made, _FRAME)
+
+
+class _Framer:
+    """Frames of one stretch. Tokens since the last cut are held, so memory is that of a frame and a batch."""
+
+    def __init__(self, key: tuple):
+        self.key = dict(zip(STRETCH, key))
+        self.held, self.frames, self.sent = None, 0, 0
+
+    def _border(self, tokens: pa.Array, kinds: np.ndarray) -> pa.RecordBatch:
+        """Tokens for ``_border_frames``; a time stamp's ``local`` is the number of the frame it begins, if it does."""
+        n = len(kinds)
+        self.sent += n
+        local = np.full(n, self.frames + 1)
+        local[0] -= self.frames > 0   # what is held begins with the last frame's time stamp
+        return _frame_rows(self.key | {"local": local, "part": "border", "seq": np.arange(self.sent - n, self.sent), "kind": kinds, "_0": tokens}, n)
+
+    def feed(self, tokens: pa.Array, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            tokens = pa.concat_arrays([self.held[0], tokens])
+            kinds = np.concatenate([self.held[1], kinds])
+        n = len(kinds)
+        times = np.flatnonzero(kinds == 0)
+        names = np.concatenate([[0], np.cumsum((kinds == 1) | (kinds == BROKEN))])
+        upto = np.append(times[1:], n)
+        starts = times[names[upto] > names[times]]
+        # What follows the last time stamp may still turn out to be a frame: it is held.
+        loose = int(starts[0]) if len(starts) else int(times[-1]) if len(times) else n
+        if self.frames == 0 and loose:
+            yield self._border(tokens.slice(0, loose), kinds[:loose])
+        if not len(starts):
+            keep = 0 if self.frames else loose
+        else:
+            keep = int(starts[-1])
+            numbers = np.arange(self.frames + 1, self.frames + len(starts)) - (self.frames > 0)
+            if len(starts) > 1:
+                yield from self._inner(tokens, kinds, starts, numbers)
+            self.frames = int(self.frames + len(starts) - (self.frames > 0))
+        self.held = (tokens.slice(keep), kinds[keep:]) if keep < n else (tokens.slice(0, 0), kinds[:0]) if self.frames else None
+
+    def _inner(self, tokens: pa.Array, kinds: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Frames that begin and end here: a row each, and one for every reading that is in no record."""
+        begins, ends = starts[:-1], starts[1:]
+        places = [begins]
+        for kind in range(1, STATES):
+            places.append(_next_of(kinds, kind)[places[-1] + 1])
+        complete = places[-1] < ends
+        taken = np.zeros(len(kinds) + 1, bool)
+        for column in places:
+            taken[column[complete]] = True
+        slots = {slot: _taken(tokens, np.where(complete, column, -1)) for slot, column in zip(SLOTS, places)}
+        yield _frame_rows(self.key | {"local": numbers, "part": "frame"} | slots, len(begins))
+        left = np.flatnonzero(~taken[begins[0]: ends[-1]] & (kinds[begins[0]: ends[-1]] > 0)) + begins[0]
+        if len(left):
+            frame = numbers[np.searchsorted(begins, left, side="right") - 1]
+            yield _frame_rows(self.key | {"local": frame, "part": "reject", "kind": kinds[left], "_0": _taken(tokens, left)}, len(left))
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None and len(self.held[1]):
+            yield self._border(*self.held)
+
+
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames, readings outside records, and the tokens at both ends of each stretch, in order."""
+    framer, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens, rows = batch["tokens"].flatten(), []
+        kinds = _kinds(tokens)
+        for key, begin, end in _stretches(batch, last):
+            if key is not None:
+                rows += framer.end() if framer is not None else []
+                framer = _Framer(key)
+            rows += framer.feed(tokens.slice(begin, end - begin), kinds[begin:end])
+        yield from _gathered(rows)
+        last = (batch["place"][-1].as_py(), batch["mid"][-1].as_py())
+    if framer is not None:
+        yield from framer.end()
+
+
+def _border_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames over the ends of stretches, from their tokens in file order."""
+    rows: list[list] = []
+
+    def emit(frame: list[tuple]) -> None:
+        """``frame``: (stretch, number, kind, token); its first token is its time, or it is none."""
+        if not frame:
+            return
+        stretch, number, kind, _ = frame[0]
+        if kind != 0 or number == 0:
+            stretch, number, slots = (*stretch[:2], None, None), 0, None
+        else:
+            slots = [frame[0][3]]
+        used = set()
+        for at, (_, _, kind, token) in enumerate(frame):
+            if slots and kind == len(slots) < STATES:
+                slots.append(token)
+                used.add(at)
+        if slots and len(slots) < STATES:
+            used = set()
+        if slots:
+            rows.append([*stretch, number, "frame", None, None, *(slots if len(slots) == STATES else [None] * STATES)])
+        for at, (_, _, kind, token) in enumerate(frame):
+            if kind and at not in used:
+                rows.append([*stretch, number, "reject", None, kind, token, *[None] * (STATES - 1)])
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _FRAME_TYPES)], _FRAME)
+
+    current, frame, piece = None, [], []   # the frame so far, and its tokens since the last time stamp
+
+    def close_piece() -> None:
+        nonlocal frame, piece
+        starts = piece and piece[0][2] == 0 and any(kind in (1, BROKEN) for _, _, kind, _ in piece)
+        if starts:
+            emit(frame)
+            frame = piece
+        elif piece and not frame:
+            frame = [(piece[0][0], 0, piece[0][2], piece[0][3]), *piece[1:]]
+        else:
+            frame += piece
+        piece = []
+
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in (*STRETCH, "local", "kind", "_0")]
+        for session, file, block, mid, local, kind, token in zip(*columns):
+            stretch = (session, file, block, mid)
+            if (session, file) != current:
+                close_piece()
+                emit(frame)
+                current, frame = (session, file), []
+            if kind == 0:
+                close_piece()
+            piece.append((stretch, local, kind, token))
+        if rows:
+            yield batch_of()
+            rows.clear()
+    close_piece()
+    emit(frame)
+    if rows:
+        yield batch_of()
+
+
+def _imu_frames(lines: DataFrame, settings: PanelSettings) -> DataFrame:
+    """Frames and rejected readings with ``frame_no``, numbered through each file; 0 is what lies before the first."""
+    pieces = written(_token_lines(lines, markers=True).mapInArrow(_framed, _FRAMES))
+    borders = pieces.where("part = 'border'").repartition("session_id", "file").sortWithinPartitions(*STRETCH, "seq")
+    found = written(pieces.where("part <> 'border'").unionByName(borders.mapInArrow(_border_frames, _FRAMES)))
+    counts = found.where("part = 'frame'").groupBy(*STRETCH).agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("session_id", "file").orderBy("block_start", "first_mid").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*STRETCH, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    numbered = _by_stretch(found.where(F.col("first_mid").isNotNull()), before, settings)
+    outside = found.where(F.col("first_mid").isNull()).withColumn("before", F.lit(0).cast("long"))
+    return numbered.unionByName(outside).withColumn("frame_no", F.col("before") + F.col("local"))
+
+
+def parse_imu_framed(lines: DataFrame, require_nonempty: bool = False, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """``session_id, file, frame_no`` and the 27 fields of each frame that holds a whole record, as text.
+
+    A frame runs from the last time stamp before a gyroscope, well-formed or not, to that of the next such
+    time stamp. In it the first reading of each kind counts after the one before, as in ``parse_imu_records``.
+    """
+    frames = _imu_frames(lines, settings).where((F.col("part") == "frame") & F.col(SLOTS[-1]).isNotNull())
+    records = _fields(frames.select("session_id", "file", "frame_no", *SLOTS), "frame_no")
     return require_rows(records, "sensor records") if require_nonempty else records
 
 
+def imu_rejects(lines: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
+    """``session_id, file, frame_no, sensor, reading``: what is in no record of ``parse_imu_framed``.
+
+    Each reading of a frame without a whole record, spare readings of frames with one, readings before the first
+    frame (number 0), and the bare name of each gyroscope whose reading is malformed.
+    """
+    sensor = F.element_at(F.array(*[F.lit(short) for short in [*SENSORS, "gyro"]]), F.col("kind"))
+    rejects = _imu_frames(lines, settings).where("part = 'reject'")
+    return rejects.select("session_id", "file", "frame_no", sensor.alias("sensor"), F.col("_0").alias("reading"))
+
+
 def imu_numeric_cast(records: DataFrame) -> DataFrame:
     """The fixed types of the 26 numeric columns; a cell that is no number becomes NULL."""
     return records.withColumns({

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tugboard.session import ensure_checkpoint_dir
+from tugboard.sources.control_logs import read_control_logs
 from tugboard.sources.event_table import SEATS
+from tugboard.sources.imu_logs import read_imu_logs
 
 EVENTS_PER_BLOCK = 64
 
@@ -77,3 +82,48 @@ def imu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         number,
         F.posexplode(lines).alias("k", "line"),
     ).select("session_id", "file", "block_start", (F.col("event_id") * 8 + F.col("k")).alias("mid"), "line")
+
+
+# Folders of log files by session, table folder and kind: the files are the parsers' input, and are written once.
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+def _log_files(spark: SparkSession, sf_dir: str, kind: str, lines: DataFrame) -> str:
+    """The folder of ``lines`` as text files ``<session>/<name>`` in the shared folder; the writer of a log does not use Spark."""
+    known = (spark.sparkContext.applicationId, sf_dir, kind)
+    if known not in _folders:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/logs-{uuid.uuid4()}"
+        named = lines.select("session_id", F.element_at(F.split("file", "/"), -1).alias("log"), "block_start", "mid", "line")
+        named.repartition("session_id", "log").sortWithinPartitions("session_id", "log", "block_start", "mid").select(
+            "session_id", "log", F.col("line").alias("value")
+        ).write.partitionBy("session_id", "log").text(folder)
+        jvm = spark._jvm
+        made = jvm.org.apache.hadoop.fs.Path(f"{folder}/session_id=*/log=*/part-*")
+        files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.globStatus(made):
+            written = status.getPath()
+            name = written.getParent().getName().removeprefix("log=")
+            files.rename(written, jvm.org.apache.hadoop.fs.Path(written.getParent().getParent(), name))
+        _folders[known] = folder
+    return _folders[known]
+
+
+def _session() -> Column:
+    return F.regexp_extract("_metadata.file_path", "/session_id=([^/]+)/[^/]+$", 1)
+
+
+def _short_names(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("file", F.concat("session_id", F.lit("/"), F.element_at(F.split("file", "/"), -1)))
+
+
+def control_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``control_lines``, read from log files named after their users."""
+    folder = _log_files(spark, sf_dir, "control", control_lines(spark, sf_dir))
+    return _short_names(read_control_logs(spark, folder, session=_session(), recursiveFileLookup="true"))
+
+
+def imu_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``imu_lines``, read from one sensor log per session."""
+    folder = _log_files(spark, sf_dir, "imu", imu_lines(spark, sf_dir))
+    return _short_names(read_imu_logs(spark, folder, session=_session(), recursiveFileLookup="true"))

@@ -6,9 +6,8 @@ is a recursive query, records are matched by one expression over a whole file's
 
 from __future__ import annotations
 
-from tugboard.sources.control_logs import LENIENT_LINE, STRICT_LINE
 from tugboard.sources.event_table import SEATS
-from tugboard.sources.imu_logs import IMU_COLUMNS, IMU_NUMERIC, SENSORS, TIME_TOKEN
+from tugboard.sources.imu_logs import IMU_COLUMNS, IMU_NUMERIC
 from tugboard.workload.queries import (
     DIGITS,
     PAGE_OFFSET,
@@ -18,6 +17,14 @@ from tugboard.workload.queries import (
     VIEW_USERS,
 )
 
+# The formats of both kinds of lines and of sensor readings, said here a second time.
+_LENIENT = r"(\d{2}:\d{2}:\d{2}\.\d+).*?(?:User\s*(\d+))?\s*sets\s+([a-zA-Z ]+?)\s+to\s+([-+]?\d*\.?\d+)"
+_STRICT = r"(\d{2}:\d{2}:\d{2}\.\d+).*?(?:User\s*(\d+))?\s*sets\s+([a-zA-Z ]+)\s+to\s+([-\d.]+)"
+_TIME = r"\d{2}:\d{2}:\d{2}\.\d+"
+_THREE = r" = SensorInfo \{ Timestamp = (\d+), Accuracy = (\d+), Data = <([-\d.]+), ([-\d.]+), ([-\d.]+)> \}"
+_FOUR = r"Rotation = SensorInfo \{ Timestamp = (\d+), Accuracy = (\d+), Data = \{X:([-\d.]+) Y:([-\d.]+) Z:([-\d.]+) W:([-\d.]+)\} \}"
+_READINGS = [f"{name}{_THREE}" for name in ("Gyroscope", "Accelerometer", "MagneticField", "Gravity")] + [_FOUR]
+
 TICK, WIDTH = STRETCHED.tick, STRETCHED.conflict_window
 SHARED = ", ".join(f"'{p}'" for p in STRETCHED.shared_params)
 
@@ -50,8 +57,7 @@ _LINES = f"""
                  event_type AS p, CAST(value AS VARCHAR) AS v FROM events)"""
 
 
-def _matched(pattern: str) -> str:
-    bare = pattern.removeprefix("(?id)")
+def _matched(bare: str) -> str:
     return f"""
     SELECT *, TRY_CAST(value_text AS DOUBLE) AS value,
            CASE WHEN user_text <> '' THEN TRY_CAST(user_text AS BIGINT) ELSE CAST(file_user AS BIGINT) END AS "user"
@@ -69,7 +75,8 @@ def _parsed(table: str, param: str) -> str:
     FROM {table} WHERE value IS NOT NULL AND "user" IS NOT NULL"""
 
 
-_IMU_PATTERN = ".*?".join([f"({TIME_TOKEN})", *SENSORS.values()])
+_IMU_PATTERN = ".*?".join([f"({_TIME})", *_READINGS])
+_IMU_TOKEN = "|".join([_TIME, *_READINGS, "Gyroscope"])
 _IMU_NAMES = ", ".join(f"'{c}'" for c in IMU_COLUMNS)
 
 _IMU_LINES = f"""
@@ -92,8 +99,8 @@ _IMU_LINES = f"""
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), _EV),
     "lines": ((), _LINES),
-    "lenient": (("lines",), _matched(LENIENT_LINE)),
-    "strict": (("lines",), _matched(STRICT_LINE)),
+    "lenient": (("lines",), _matched(_LENIENT)),
+    "strict": (("lines",), _matched(_STRICT)),
     "imu_lines": ((), _IMU_LINES),
     "imu_texts": (("imu_lines",), """
     SELECT session_id, file, string_agg(line, chr(10) ORDER BY record, k) AS body FROM imu_lines GROUP BY ALL"""),
@@ -103,6 +110,26 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "imu": (("imu_matches",), f"""
     SELECT session_id, file, CAST(record_no AS BIGINT) AS record_no, unnest(fields)
     FROM (SELECT *, regexp_extract(hit, '{_IMU_PATTERN}', [{_IMU_NAMES}], 's') AS fields FROM imu_matches)"""),
+    # Letters: a time stamp, the five readings, a gyroscope without one. A frame begins at the last time stamp before G or x.
+    "imu_tokens": (("imu_texts",), f"""
+    SELECT *, CASE WHEN token = 'Gyroscope' THEN 'x' WHEN token LIKE 'Gy%' THEN 'G' WHEN token LIKE 'Gr%' THEN 'V'
+                   WHEN regexp_matches(token, '^[AMR]') THEN left(token, 1) ELSE 'T' END AS letter
+    FROM (SELECT session_id, file, unnest(found) AS token, generate_subscripts(found, 1) AS n
+          FROM (SELECT session_id, file, regexp_extract_all(body, '{_IMU_TOKEN}', 0, 's') AS found FROM imu_texts))"""),
+    "imu_pieces": (("imu_tokens",), """
+    SELECT *, sum(CAST(letter = 'T' AS INTEGER)) OVER (PARTITION BY session_id, file ORDER BY n) AS piece FROM imu_tokens"""),
+    "imu_frames": (("imu_pieces",), """
+    SELECT session_id, file, frame_no, string_agg(letter, '' ORDER BY n) AS letters, list(token ORDER BY n) AS tokens
+    FROM (SELECT *, CAST(coalesce(sum(CAST(letter = 'T' AND named AS INTEGER)) OVER (PARTITION BY session_id, file ORDER BY n), 0) AS BIGINT) AS frame_no
+          FROM (SELECT *, bool_or(letter IN ('G', 'x')) OVER (PARTITION BY session_id, file, piece) AS named FROM imu_pieces))
+    GROUP BY ALL"""),
+    "imu_places": (("imu_frames",), """
+    SELECT * EXCLUDE (p), CASE WHEN frame_no > 0 AND list_min(p) > 0 THEN p ELSE [] END AS places FROM (
+      SELECT * EXCLUDE (a, b, c, d), [1, a, b, c, d, CASE WHEN d > 0 AND instr(substr(letters, d + 1), 'R') > 0 THEN d + instr(substr(letters, d + 1), 'R') ELSE 0 END] AS p FROM (
+        SELECT *, CASE WHEN c > 0 AND instr(substr(letters, c + 1), 'V') > 0 THEN c + instr(substr(letters, c + 1), 'V') ELSE 0 END AS d FROM (
+          SELECT *, CASE WHEN b > 0 AND instr(substr(letters, b + 1), 'M') > 0 THEN b + instr(substr(letters, b + 1), 'M') ELSE 0 END AS c FROM (
+            SELECT *, CASE WHEN a > 0 AND instr(substr(letters, a + 1), 'A') > 0 THEN a + instr(substr(letters, a + 1), 'A') ELSE 0 END AS b
+            FROM (SELECT *, instr(letters, 'G') AS a FROM imu_frames)))))"""),
     "bounds": (("ev",), f"""
     SELECT *, t_max - t_min AS duration, (t_min + {TICK}) - t_min AS step,
            CAST(ceil((t_max - t_min) / {TICK}) AS BIGINT) AS n_ticks
@@ -277,6 +304,23 @@ def oracle_sql() -> dict[str, str]:
         "imu_numeric_columns": _with(
             f"SELECT session_id, file, record_no, time, gyro_x, {', '.join(c for c in typed if ' AS gyro_x' not in c)} FROM imu",
             "imu"),
+        "parse_imu_framed": _with(f"""
+            SELECT session_id, file, frame_no, unnest(regexp_extract(hit, '{_IMU_PATTERN}', [{_IMU_NAMES}], 's'))
+            FROM (SELECT *, array_to_string(list_transform(places, lambda k: tokens[k]), ' ') AS hit FROM imu_places WHERE len(places) > 0)""",
+            "imu_places"),
+        "imu_rejects": _with("""
+            SELECT session_id, file, frame_no, reading,
+                   CASE left(reading, 2) WHEN 'Gy' THEN 'gyro' WHEN 'Ac' THEN 'acc' WHEN 'Ma' THEN 'mag' WHEN 'Gr' THEN 'grav' ELSE 'rot' END AS sensor
+            FROM (SELECT session_id, file, frame_no, places, unnest(tokens) AS reading, generate_subscripts(tokens, 1) AS k FROM imu_places)
+            WHERE NOT list_contains(places, k) AND NOT regexp_matches(reading, '^[0-9]')""", "imu_places"),
+        "parse_control_log_files": _with(f"SELECT * EXCLUDE mid FROM ({_parsed('lenient', 'lower(param_text)')})", "lenient"),
+        "rejected_lines_of_files": _with("""
+            SELECT session_id, file, line, user_text, value_text FROM strict WHERE value IS NULL OR "user" IS NULL""", "strict"),
+        "change_segments_of_files": _with(f"""
+            SELECT session_id, "user", param, start_time, time AS end_time, {_r('from_value')}, {_r('value', 'to_value')}
+            FROM (SELECT *, lag(time) OVER w AS start_time, lag(value) OVER w AS from_value
+                  FROM (SELECT *, param_text AS param FROM strict WHERE value IS NOT NULL AND "user" IS NOT NULL)
+                  WINDOW w AS (PARTITION BY session_id, "user", param ORDER BY time, file, mid)) WHERE value <> from_value""", "strict"),
         "parse_summary": _with("""
             SELECT session_id, count(*) AS n_changes, count(DISTINCT "user") AS n_users, count(DISTINCT param) AS n_params
             FROM ev GROUP BY ALL""", "ev"),

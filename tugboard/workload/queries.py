@@ -12,7 +12,7 @@ from tugboard.config import PanelSettings
 from tugboard.operators import activity, carefulness, conflicts, grid, reports, roster, segments, views
 from tugboard.sources import control_logs, imu_logs
 from tugboard.sources.event_table import SEATS, read_event_table
-from tugboard.workload.derived_text import control_lines, imu_lines
+from tugboard.workload.derived_text import control_lines, control_log_files, imu_log_files
 
 # The table is sparse, so the thresholds are stretched: five times finer than a window, as far as a
 # window lasts two days.
@@ -77,6 +77,11 @@ def _events_from_text(strict: bool) -> Query:
     return lambda spark, sf_dir: _rounded(parse(control_lines(spark, sf_dir)).drop("block_start"))
 
 
+def _segments_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a log: files, strict lines, changes in the order of time, file and line."""
+    return segments.change_segments(control_logs.parse_control_events_strict(control_log_files(spark, sf_dir)), PanelSettings())
+
+
 def queries() -> dict[str, Query]:
     on = _on_events
     s = STRETCHED
@@ -87,14 +92,24 @@ def queries() -> dict[str, Query]:
         "rejected_lines": lambda spark, d: control_logs.rejected_lines(
             control_lines(spark, d), strict=True
         ).drop("block_start"),
-        "parse_imu_records": lambda spark, d: imu_logs.parse_imu_records(imu_lines(spark, d)),
+        "parse_imu_records": lambda spark, d: imu_logs.parse_imu_records(imu_log_files(spark, d)),
         "imu_numeric_cast": lambda spark, d: _rounded(
-            imu_logs.imu_numeric_cast(imu_logs.parse_imu_records(imu_lines(spark, d)))
+            imu_logs.imu_numeric_cast(imu_logs.parse_imu_records(imu_log_files(spark, d)))
         ),
-        "imu_bad_cells": lambda spark, d: imu_logs.imu_bad_cells(imu_logs.parse_imu_records(imu_lines(spark, d))),
+        "imu_bad_cells": lambda spark, d: imu_logs.imu_bad_cells(imu_logs.parse_imu_records(imu_log_files(spark, d))),
         "imu_numeric_columns": lambda spark, d: _rounded(
-            imu_logs.imu_numeric_columns(imu_logs.parse_imu_records(imu_lines(spark, d)))
+            imu_logs.imu_numeric_columns(imu_logs.parse_imu_records(imu_log_files(spark, d)))
+        ),
+        "parse_imu_framed": lambda spark, d: imu_logs.parse_imu_framed(imu_log_files(spark, d)),
+        "imu_rejects": lambda spark, d: imu_logs.imu_rejects(imu_log_files(spark, d)),
+        # The place of a line in its file is the reader's, so what tells it is left out.
+        "parse_control_log_files": lambda spark, d: _rounded(
+            control_logs.parse_control_events(control_log_files(spark, d)).drop("block_start", "mid")
         ),
+        "rejected_lines_of_files": lambda spark, d: control_logs.rejected_lines(
+            control_log_files(spark, d), strict=True
+        ).drop("block_start", "mid"),
+        "change_segments_of_files": lambda spark, d: _rounded(_segments_of_files(spark, d)),
         "parse_summary": on(roster.parse_summary),
         # who and what
         "session_bounds": on(lambda e: roster.session_bounds(e, s)),
