@@ -3,21 +3,24 @@
 Of all changes between two ticks only the last can be seen on the grid. Sessions of ordinary size are
 put in order with one shuffle, and the last change of each tick is kept there. Where a session is
 large, its changes are first combined to one per (series, tick), which starts before the shuffle, so
-what is put in order is at most one row per tick, however many changes there were.
+what is put in order is at most one row per tick, however many changes there were. Series that are still large
+are ordered in slices (``plans/ordered.py``): the next change, the last value of each user and the owner before
+are carried from slice to slice, and a stretch of ownership goes on over as many slices as it lasts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, LINE, PanelSettings
 from tugboard.functions.clock import first_tick_beyond, first_tick_from, tick_time
 from tugboard.operators.roster import change_counts, session_bounds, users_by_params
 from tugboard.plans.joins import attach_facts
-from tugboard.plans.ordered import combine_large
+from tugboard.plans.ordered import OrderedGroups, combine_large, order_groups
 from tugboard.plans.sizes import session_sizes
 
 TICK_BLOCK = 65_536
@@ -53,8 +56,9 @@ def _marker(series: DataFrame, keys: Sequence[str], lo: Column) -> DataFrame:
     return series.select(*keys, *GRID, lo.cast("long").alias("lo"), *empty)
 
 
-def _in_tick_order(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("lo", "time_sec", "user", *LINE)
+def _in_tick_order(placed: DataFrame, keys: Sequence[str], events: DataFrame, settings: PanelSettings) -> OrderedGroups:
+    order = ["lo", "time_sec", *(["user"] if "user" not in keys else []), *LINE]
+    return order_groups(placed, keys, order, settings, change_counts(events, keep=True))
 
 
 def _last_per_tick(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,24 +67,21 @@ def _last_per_tick(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return placed.groupBy(*keys, *GRID, "lo").agg(last).select(*keys, *GRID, "lo", "last.*")
 
 
-def _runs(placed: DataFrame, keys: Sequence[str], blank: bool) -> DataFrame:
+def _runs(ordered: OrderedGroups, keys: Sequence[str], blank: bool) -> OrderedGroups:
     """Runs ``[lo, hi)`` of ticks under one change; ``blank`` adds the ticks before the first one."""
-    along = _in_tick_order(keys)
-    following = F.coalesce(F.lead("lo").over(along), F.col("n_ticks"))
-    rows = placed.withColumn("hi", following)
+    rows = ordered.following(hi="lo").derive(hi=F.coalesce("hi", "n_ticks"))
     if not blank:
-        runs = rows.select(*keys, *GRID, "lo", "hi", "value", F.col("user").alias("owner"))
-        return runs.where(F.col("hi") > F.col("lo"))
+        return rows.derive(owner=F.col("user")).keep(F.col("hi") > F.col("lo"))
+    rows = rows.previous(before="lo")
+    kind = dict(rows.frame.dtypes)["user"]
     held = F.struct("lo", "hi", "value", F.col("user").alias("owner"))
-    before = F.struct(
-        F.lit(0).cast("long").alias("lo"),
-        F.col("lo").alias("hi"),
-        F.lit(None).cast("double").alias("value"),
-        F.lit(None).cast(placed.schema["user"].dataType).alias("owner"),
+    first = F.struct(
+        F.lit(0).cast("long").alias("lo"), F.col("lo").alias("hi"), F.lit(None).cast("double").alias("value"),
+        F.lit(None).cast(kind).alias("owner"),
     )
-    first = rows.withColumn("first", F.lag("lo").over(along).isNull())
-    both = F.inline(F.when(F.col("first"), F.array(before, held)).otherwise(F.array(held)))
-    return first.select(*keys, *GRID, both).where(F.col("hi") > F.col("lo"))
+    both = F.inline(F.when(F.col("before").isNull(), F.array(first, held)).otherwise(F.array(held)))
+    frame = rows.frame.select(*ordered.partition, *GRID, both)
+    return replace(rows, frame=frame, order=("lo",)).keep(F.col("hi") > F.col("lo"))
 
 
 def _only(rows: DataFrame, users: Sequence[int] | None, params: Sequence[str] | None) -> DataFrame:
@@ -101,13 +102,18 @@ def merged_runs(
 
     ``blank`` adds the ticks before the first change, without value or owner.
     """
+    runs = _merged(events, settings, params, blank).done()
+    return runs.select("session_id", "param", *GRID, "lo", "hi", "value", "owner")
+
+
+def _merged(events: DataFrame, settings: PanelSettings, params: Sequence[str] | None, blank: bool) -> OrderedGroups:
     keys = ("session_id", "param")
     placed = _placed(_only(events, None, params), events, keys, settings)
     if blank:
         listed = _only(change_counts(events), None, params).select(*keys).distinct()
         series = listed.join(session_bounds(events, settings), "session_id")
         placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
-    return _runs(placed, keys, blank)
+    return _runs(_in_tick_order(placed, keys, events, settings), keys, blank)
 
 
 def user_runs(
@@ -122,7 +128,8 @@ def user_runs(
     listed = _only(users_by_params(change_counts(events)), users, params)
     series = listed.join(session_bounds(events, settings), "session_id")
     placed = placed.unionByName(_marker(series, keys, F.col("n_ticks")))
-    return _runs(placed, keys, blank=True).drop("owner")
+    runs = _runs(_in_tick_order(placed, keys, events, settings), keys, blank=True).done()
+    return runs.select(*keys, *GRID, "lo", "hi", "value")
 
 
 def clip_runs(runs: DataFrame, start: Column | None, width: float) -> DataFrame:
@@ -166,13 +173,9 @@ def ownership_segments(
     events: DataFrame, settings: PanelSettings = DEFAULTS, users: Sequence[int] | None = None
 ) -> DataFrame:
     """Maximal stretches of ticks under one owner, for the shared parameters."""
-    along = Window.partitionBy("session_id", "param").orderBy("lo")
-    before = F.lag("owner").over(along)
-    numbered = (
-        merged_runs(events, settings, settings.shared_params)
-        .withColumn("new", (before.isNull() | (before != F.col("owner"))).cast("long"))
-        .withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    )
+    runs = _merged(events, settings, settings.shared_params, blank=False).previous(before="owner")
+    fresh = F.col("before").isNull() | (F.col("before") != F.col("owner"))
+    numbered = runs.derive(stretch=fresh.cast("long")).running(stretch=("sum", "stretch")).done()
     stretches = numbered.groupBy("session_id", "param", "stretch", *GRID).agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("owner").alias("owner")
     )
@@ -198,13 +201,11 @@ def series_wide(events: DataFrame, users: Sequence[int], settings: PanelSettings
     placed = _placed(events, events, (*keys, "user"), settings).where(F.col("user").isin(*users))
     listed = change_counts(events).select(*keys).distinct()
     series = listed.join(session_bounds(events, settings), "session_id")
-    along = _in_tick_order(keys)
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    filled = placed.unionByName(_marker(series, keys, F.lit(-1))).select(
-        *keys,
-        *GRID,
-        F.greatest("lo", F.lit(0)).alias("lo"),
-        F.coalesce(F.lead("lo").over(along), F.col("n_ticks")).alias("hi"),
-        *[F.last(F.when(F.col("user") == u, F.col("value")), ignorenulls=True).over(upto).alias(f"user_{u}") for u in users],
+    rows = placed.unionByName(_marker(series, keys, F.lit(-1))).withColumns({
+        f"user_{u}": F.when(F.col("user") == u, F.col("value")) for u in users
+    })
+    filled = (
+        _in_tick_order(rows, keys, events, settings).following(hi="lo").running(**{f"user_{u}": ("last", f"user_{u}") for u in users})
+        .derive(lo=F.greatest("lo", F.lit(0)), hi=F.coalesce("hi", "n_ticks")).done()
     )
     return spell_out(filled.where(F.col("hi") > F.col("lo")), [f"user_{u}" for u in users])

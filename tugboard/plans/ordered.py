@@ -26,12 +26,14 @@ from tugboard.session import ensure_checkpoint_dir
 
 SLICE = "_slice"
 
-_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
+_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda source: F.last(source, ignorenulls=True)}
 
 
 def _combine(kind: str, mine: Column, before: Column) -> Column:
     if kind == "sum":
         return mine + F.coalesce(before, F.lit(0))
+    if kind == "last":
+        return F.coalesce(mine, before)
     return F.greatest(mine, before) if kind == "max" else F.least(mine, before)
 
 
@@ -128,10 +130,15 @@ class OrderedGroups:
     def following(self, **columns: str) -> OrderedGroups:
         return self._neighbour(columns, forward=True)
 
+    def _of_slice(self, kind: str, source: str) -> Column:
+        if kind == "last":  # rows of an aggregation have no order of their own
+            return F.max_by(source, F.when(F.col(source).isNotNull(), F.struct(*self.order)))
+        return _AGGREGATES[kind](source)
+
     def running(self, **totals: tuple[str, str]) -> OrderedGroups:
-        """Adds ``name=(kind, source)``: the sum, max or min of ``source`` up to and with this row.
+        """Adds ``name=(kind, source)``: the sum, max, min or last value of ``source`` up to and with this row.
 
-        A total may take the name of its own source and then replaces it.
+        "last" is the last one that is not NULL. A total may take the name of its own source and then replaces it.
         """
         kept = [name for name in self.frame.columns if name not in totals]
         upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -142,7 +149,7 @@ class OrderedGroups:
         if self.sliced:
             before = Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
             per_slice = self._slices().groupBy(*self.partition).agg(
-                *[_AGGREGATES[kind](source).alias(name) for name, (kind, source) in totals.items()]
+                *[self._of_slice(kind, source).alias(name) for name, (kind, source) in totals.items()]
             )
             carried = per_slice.select(
                 *self.partition,
@@ -181,6 +188,10 @@ class OrderedGroups:
         """Adds columns computed row by row."""
         return replace(self, frame=self.frame.withColumns(columns))
 
+    def keep(self, condition: Column) -> OrderedGroups:
+        """Only the rows that meet ``condition``, in the same slices."""
+        return replace(self, frame=self.frame.where(condition))
+
     def small(self) -> DataFrame:
         """The rows of groups that are not sliced."""
         return self.frame.where(F.col(SLICE) < 0).drop(SLICE) if self.sliced else self.frame
