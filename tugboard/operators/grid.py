@@ -30,23 +30,24 @@ GRID = ("t_min", "step", "n_ticks")
 _PLACED = ("lo", "time_sec", "user", *LINE, "value")
 
 
-def _placed(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings) -> DataFrame:
-    """The ``chosen`` events with the first tick that sees them, on the grid all ``events`` span.
-
-    Of large sessions only the last change per (series, tick), where ``keys`` name the series.
-    """
-    counts = change_counts(events, keep=True)
+def _on_grid(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings) -> DataFrame:
+    """The ``chosen`` events with the first tick that sees them, on the grid all ``events`` span."""
     on_grid = attach_facts(
         chosen,
         session_bounds(events, settings).select("session_id", *GRID),
         ["session_id"],
         ["param", "user", "mid", "time_sec"],
-        session_sizes(counts).sessions,
+        session_sizes(change_counts(events, keep=True)).sessions,
         settings,
     ).withColumn("lo", first_tick_from(F.col("time_sec"), F.col("t_min"), F.col("step")))
     extra = [c for c in _PLACED if c not in keys]
-    placed = on_grid.where(F.col("lo") < F.col("n_ticks")).select(*keys, *GRID, *extra)
-    return combine_large(placed, counts, settings, lambda rows: _last_per_tick(rows, keys))
+    return on_grid.where(F.col("lo") < F.col("n_ticks")).select(*keys, *GRID, *extra)
+
+
+def _placed(chosen: DataFrame, events: DataFrame, keys: Sequence[str], settings: PanelSettings) -> DataFrame:
+    """The ``chosen`` events on the grid; of large sessions only the last change per (series, tick)."""
+    placed = _on_grid(chosen, events, keys, settings)
+    return combine_large(placed, change_counts(events, keep=True), settings, lambda rows: _last_per_tick(rows, keys))
 
 
 def _marker(series: DataFrame, keys: Sequence[str], lo: Column) -> DataFrame:
@@ -132,6 +133,41 @@ def user_runs(
     return runs.select(*keys, *GRID, "lo", "hi", "value")
 
 
+def stretch_runs(
+    events: DataFrame,
+    start: float | None,
+    width: float,
+    settings: PanelSettings = DEFAULTS,
+    users: Sequence[int] | None = None,
+    params: Sequence[str] | None = None,
+    before: DataFrame | None = None,
+) -> DataFrame:
+    """``user_runs`` cut to the ticks in the closed range ``[start, start + width]``; None starts at the session's begin.
+
+    Only the changes in the range are put in order. What came earlier is one row per series, its last change,
+    combined before the shuffle. ``before`` may hold last changes of a time from which ``events`` are complete; then
+    nothing earlier need be in ``events``, whose change counts must be those of all.
+    """
+    keys = ("session_id", "param", "user")
+    begin = F.col("t_min") if start is None else F.lit(start)
+    placed = _on_grid(_only(events, users, params), events, keys, settings)
+    inside = placed.where((F.col("time_sec") >= begin) & (F.col("time_sec") <= begin + F.lit(width)))
+    counts = change_counts(events, keep=True)
+    rows = combine_large(inside, counts, settings, lambda large: _last_per_tick(large, keys))
+    if start is not None:
+        history = placed.where(F.col("time_sec") < begin)
+        if before is not None:
+            history = history.unionByName(_on_grid(_only(before, users, params), events, keys, settings))
+        rest = [c for c in _PLACED if c not in keys]
+        last = F.max_by(F.struct(*rest), F.struct("time_sec", *LINE)).alias("last")
+        rows = rows.unionByName(history.groupBy(*keys, *GRID).agg(last).select(*keys, *GRID, "last.*"))
+    listed = _only(users_by_params(counts), users, params)
+    series = listed.join(session_bounds(events, settings), "session_id")
+    rows = rows.unionByName(_marker(series, keys, F.col("n_ticks")))
+    runs = _runs(_in_tick_order(rows, keys, events, settings), keys, blank=True).done()
+    return clip_runs(runs.select(*keys, *GRID, "lo", "hi", "value"), None if start is None else F.lit(start), width)
+
+
 def clip_runs(runs: DataFrame, start: Column | None, width: float) -> DataFrame:
     """Runs cut to the ticks in the closed range ``[start, start + width]``; None starts at the session's."""
     begin = F.col("t_min") if start is None else start

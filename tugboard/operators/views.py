@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
-from tugboard.operators.grid import clip_runs, spell_out, user_runs
+from tugboard.operators.grid import spell_out, stretch_runs, user_runs
+from tugboard.sources.session_store import SessionStore
 
 
 def select_view(
@@ -31,11 +32,26 @@ def time_viewport(
 ) -> DataFrame:
     """The per-user series in the closed stretch ``[start, start + viewport]``, or in full.
 
-    Without a start the stretch begins with the session. Runs are cut before ticks are spelled out.
+    Without a start the stretch begins with the session. Changes after the stretch are left out, and of those
+    before it each series keeps one, before anything is put in order.
     """
-    runs = user_runs(events, settings, users, params)
-    if not full:
-        runs = clip_runs(runs, None if start is None else F.lit(start), settings.viewport)
+    if full:
+        runs = user_runs(events, settings, users, params)
+    else:
+        runs = stretch_runs(events, start, settings.viewport, settings, users, params)
+    return spell_out(runs, ["user", "value"])
+
+
+def stored_viewport(
+    store: SessionStore,
+    start: float,
+    settings: PanelSettings = DEFAULTS,
+    users: Sequence[int] | None = None,
+    params: Sequence[str] | None = None,
+) -> DataFrame:
+    """``time_viewport`` from a store: the state before the block of ``start`` and the blocks of the stretch are read."""
+    near = store.between(start, start + settings.viewport)
+    runs = stretch_runs(near, start, settings.viewport, settings, users, params, before=store.states_at(start))
     return spell_out(runs, ["user", "value"])
 
 

@@ -10,6 +10,7 @@ from tugboard.sources.event_table import SEATS
 from tugboard.sources.imu_logs import IMU_COLUMNS, IMU_NUMERIC
 from tugboard.workload.queries import (
     DIGITS,
+    LATE_START,
     PAGE_OFFSET,
     REPORT_USER,
     STRETCHED,
@@ -269,6 +270,9 @@ FROM (SELECT *, lag(time) OVER w AS start_time, lag(value) OVER w AS from_value
       WINDOW w AS (PARTITION BY session_id, "user", param ORDER BY time, file, mid)) WHERE value <> from_value"""
 
 
+# The same answers, read from a store laid out by session and time.
+STORED = {"time_viewport_stored": "time_viewport_late", "time_in_control_stored": "time_in_control"}
+
 # Registered a second time by the plans for large data; the answers are the same.
 SLICED = (
     "change_segments", "inactivity_gaps", "time_in_control", "carefulness", "conflict_candidates",
@@ -395,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
         "time_viewport": _with(f"""
             SELECT {_LOCF} FROM locf JOIN bounds USING (session_id)
             WHERE t BETWEEN t_min AND t_min + {STRETCHED.viewport}""", "locf", "bounds"),
+        "time_viewport_late": _with(f"""
+            SELECT {_LOCF} FROM locf WHERE t BETWEEN {LATE_START} AND {LATE_START + STRETCHED.viewport}""", "locf"),
         "time_viewport_full": _with(f"SELECT {_LOCF} FROM locf", "locf"),
         "param_page": _with(f"""
             SELECT session_id, place, param
@@ -430,4 +436,5 @@ def oracle_sql() -> dict[str, str]:
             "engaged", "care_users", "active", "responsive", "dominant"),
     }
     first_page = plain["param_page"].replace(page, "0")
-    return plain | {"param_page_first": first_page} | {f"{name}_sliced": plain[name] for name in SLICED}
+    again = {f"{name}_sliced": plain[name] for name in SLICED} | {name: plain[same] for name, same in STORED.items()}
+    return plain | {"param_page_first": first_page} | again

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from tugboard.config import PanelSettings
 from tugboard.operators import activity, carefulness, conflicts, grid, reports, roster, segments, views
 from tugboard.sources import control_logs, imu_logs
+from tugboard.session import ensure_checkpoint_dir
 from tugboard.sources.event_table import SEATS, read_event_table
+from tugboard.sources.session_store import SessionStore, read_session_store, write_session_store
 from tugboard.workload.derived_text import control_lines, control_log_files, imu_log_files
 
 # The table is sparse, so the thresholds are stretched: five times finer than a window, as far as a
@@ -31,6 +34,9 @@ FORCED = replace(
 VIEW_USERS = (0, 2)
 VIEW_PARAMS = ("click", "error", "signup")
 PAGE_OFFSET = 9
+LATE_START = 1_705_708_800.0   # the twentieth day of the table
+STORE_BLOCK = 345_600.0        # four days, a little less than a viewport
+STORE_BUCKETS = 8
 REPORT_USER = 1
 DIGITS = 6
 
@@ -82,6 +88,20 @@ def _segments_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.change_segments(control_logs.parse_control_events_strict(control_log_files(spark, sf_dir)), PanelSettings())
 
 
+# Folders of stores by session and table folder; the store is what its readers start from, and is written once.
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> SessionStore:
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _stores:
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4()}"
+        write_session_store(read_event_table(spark, sf_dir), folder, STORE_BLOCK, STORE_BUCKETS)
+        _stores[known] = folder
+    return read_session_store(spark, _stores[known])
+
+
 def queries() -> dict[str, Query]:
     on = _on_events
     s = STRETCHED
@@ -156,6 +176,9 @@ def queries() -> dict[str, Query]:
         "select_view": on(lambda e: views.select_view(e, VIEW_USERS, VIEW_PARAMS, s)),
         "time_viewport": on(lambda e: views.time_viewport(e, settings=s)),
         "time_viewport_full": on(lambda e: views.time_viewport(e, full=True, settings=s)),
+        "time_viewport_late": on(lambda e: views.time_viewport(e, LATE_START, settings=s)),
+        "time_viewport_stored": lambda spark, d: _rounded(views.stored_viewport(_store(spark, d), LATE_START, s)),
+        "time_in_control_stored": lambda spark, d: _rounded(activity.time_in_control(_store(spark, d).events, s)),
         "param_page": on(lambda e: views.param_page(e, PAGE_OFFSET, s)),
         # reports
         "session_overview": on(lambda e: reports.session_overview(e, s)),
