@@ -5,6 +5,7 @@ from conftest import canonical, make_events, random_rows
 
 import brute
 from tugboard.config import PanelSettings
+from tugboard.operators.grid import merged_series
 from tugboard.operators.conflicts import (
     conflict_annotations,
     conflict_candidates,
@@ -17,6 +18,7 @@ LAYOUTS = {
     "plain": {},
     "sliced": dict(hot_rows=40, slice_rows=7),
     "chained": dict(fold_rows=2, chain_rows=3),
+    "few parts": dict(fold_rows=2, chain_rows=40),
     "sliced and chained": dict(hot_rows=20, slice_rows=5, fold_rows=1, chain_rows=2),
 }
 
@@ -180,3 +182,25 @@ def test_many_hot_groups_give_the_plain_answer(spark, layout):
 
     expected = answers()
     assert expected[0] and answers(**layout) == expected
+
+
+@pytest.mark.parametrize("layout", [{}, dict(hot_rows=20, slice_rows=30, broadcast_rows=2)])
+def test_long_zones_over_many_levels_of_the_pyramid(spark, layout):
+    """Zones of any length and place, blocks of two ticks, against every tick looked at."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(round(rng.uniform(3, 400), 2), rng.randrange(3), rng.gauss(0, 100), "frequency") for _ in range(500)] + [(0.0, 0, 1.0, "gain"), (400.0, 0, 1.0, "gain")]
+    events = make_events(spark, rows)
+    settings = PanelSettings(conflict_window=0.2, **layout)
+    cuts = [tuple(sorted((round(rng.uniform(-1, 410), 2), round(rng.uniform(-1, 410), 2)))) for _ in range(80)]
+    cuts += [(5.0, 5.0), (0.0, 400.0), (0.0, 2.0), (401.0, 402.0), (100.0, 100.05), (51.2, 102.4)]
+    zones = spark.createDataFrame([("all", "frequency", k, *cut) for k, cut in enumerate(cuts)], "session_id string, param string, zone_no long, start_time double, end_time double")
+    got = {r.zone_no: (r.value_min, r.value_max) for r in zone_value_stats(zones, events, settings).collect()}
+    ticks = [(r.t, r.value) for r in merged_series(events, settings).where("param = 'frequency' and value is not null").collect()]
+    expected = {}
+    for k, (start, end) in enumerate(cuts):
+        seen = [value for t, value in ticks if start <= t <= end]
+        if seen:
+            expected[k] = (min(seen), max(seen))
+    assert got == expected

@@ -17,7 +17,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ from tugboard.plans.ordered import (
 from tugboard.session import ensure_checkpoint_dir
 
 SERIES = ["session_id", "param"]
+PYRAMID = 16         # nodes under one of the next level
+PYRAMID_LEVELS = 8   # 16^8 blocks of ticks
 _REACHED = [*SERIES, "time_sec", "n_before", "turns_before", "end_time", "n_end", "turns_end"]
 WINDOW = ["start_time", "end_time", "num_changes", "user_switches"]
 
@@ -209,30 +211,46 @@ def _pick_by_fold(candidates: DataFrame) -> DataFrame:
     return listed.select(*SERIES, F.inline(_greedy_fold(F.col("windows"))))
 
 
-def _chain_ends(part: pd.DataFrame) -> pd.DataFrame:
+def _by_rank(part: pa.Table, *columns: str) -> list[np.ndarray]:
+    """The rows' ranks and other columns, in the order of ranks, and where each row stood."""
+    rank = part["rank"].to_numpy()
+    order = np.argsort(rank)
+    return [rank[order], *[part[c].to_numpy()[order] for c in columns], order]
+
+
+def _chain_ends(part: pa.Table) -> pa.Table:
     """Per candidate, where the chain that starts there leaves this part (jumps are doubled)."""
-    ordered = part.sort_values("rank")
-    base, size = int(ordered["rank"].iloc[0]), len(ordered)
-    jump = ordered["next_rank"].to_numpy(dtype="int64").copy()
+    rank, jump, order = _by_rank(part, "next_rank")
+    base, size = int(rank[0]), len(rank)
     inside = jump < base + size
     while inside.any():
         jump[inside] = jump[jump[inside] - base]
         inside = jump < base + size
-    return ordered[[*SERIES, "rank"]].assign(exit_rank=jump)
+    names = [part[c].slice(0, 1).take(pa.array(np.zeros(size, np.int64))) for c in SERIES]
+    return pa.table([*names, pa.array(rank), pa.array(jump)], names=[*SERIES, "rank", "exit_rank"])
 
 
-def _chain_walk(part: pd.DataFrame) -> pd.DataFrame:
+def _chain_walk(part: pa.Table) -> pa.Table:
     """The candidates on the chains that enter this part."""
-    ordered = part.sort_values("rank", ignore_index=True)
-    base, size = int(ordered.at[0, "rank"]), len(ordered)
-    following = ordered["next_rank"].tolist()
-    picked = np.zeros(size, dtype=bool)
-    for entry in ordered.loc[ordered["entered"], "rank"].tolist():
-        at = entry
+    rank, following, entered, order = _by_rank(part, "next_rank", "entered")
+    base, size = int(rank[0]), len(rank)
+    following, picked = following.tolist(), np.zeros(size, dtype=bool)
+    for at in rank[entered.astype(bool)].tolist():
         while at < base + size and not picked[at - base]:
             picked[at - base] = True
             at = following[at - base]
-    return ordered.loc[picked, [*SERIES, *WINDOW]]
+    return part.select([*SERIES, *WINDOW]).take(pa.array(order[picked]))
+
+
+def _chain_entries(hops: pa.Table) -> pa.Table:
+    """The entries that the chain from the first candidate goes through, from part to part."""
+    beyond = dict(zip(hops["rank"].to_pylist(), hops["exit_rank"].to_pylist()))
+    found, at = [], 1
+    while at in beyond:
+        found.append(at)
+        at = beyond[at]
+    names = [pa.array([hops[c][0].as_py()] * len(found), pa.string()) for c in SERIES]
+    return pa.table([*names, pa.array(found, pa.int64())], names=[*SERIES, "rank"])
 
 
 def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
@@ -241,8 +259,9 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
     Candidates are ranked in time order, and each points to the first one after its window. The
     picks are the chain that starts at number 1. The numbers are cut into parts; each part works out
     where a chain entering at any of its candidates leaves it. What remains is the chain from part to
-    part, over the few candidates that chains enter at; it is followed by doubling, so the number of
-    rounds is the logarithm of the number of parts. Last, each part walks its own stretch.
+    part, over the few candidates that chains enter at. A task follows it per series; where there are more
+    of them than a task should hold it is followed by doubling, so the number of rounds is the
+    logarithm of the number of parts. Last, each part walks its own stretch.
     """
     window = "struct<end_time:double,num_changes:bigint,user_switches:bigint,start_time:double>"
     starts = ranked.select(
@@ -264,13 +283,25 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
     )
     part = [*SERIES, "part"]
     names = "session_id string, param string, rank long, exit_rank long"
-    ends_of = linked.select(*part, "rank", "next_rank").groupBy(*part).applyInPandas(_chain_ends, names).checkpoint()
+    ends_of = linked.select(*part, "rank", "next_rank").groupBy(*part).applyInArrow(_chain_ends, names).checkpoint()
 
     # Only candidates where some chain enters a part; the exit of the last part is no candidate.
     entries = ends_of.select(*SERIES, F.col("exit_rank").alias("rank")).distinct()
     hops = ends_of.join(entries, [*SERIES, "rank"], "left_semi").unionByName(
         ends_of.where(F.col("rank") == 1)
     ).distinct().checkpoint()
+    if hot_groups(hops, SERIES, settings.chain_rows) is None:
+        on_chain = hops.groupBy(*SERIES).applyInArrow(_chain_entries, "session_id string, param string, rank long")
+    else:
+        on_chain = _doubled(linked, ends_of, hops)
+    entered = on_chain.withColumn("entered", F.lit(True))
+    marked = linked.join(entered, [*SERIES, "rank"], "left").fillna(False, ["entered"])
+    kind = "session_id string, param string, start_time double, end_time double, num_changes long, user_switches long"
+    return marked.groupBy(*part).applyInArrow(_chain_walk, kind)
+
+
+def _doubled(linked: DataFrame, ends_of: DataFrame, hops: DataFrame) -> DataFrame:
+    """The entries on each series' chain, where there are too many hops for one task."""
     on_chain = ends_of.where(F.col("rank") == 1).select(*SERIES, "rank")
     parts = linked.agg(F.max("part")).first()[0] + 1
     for _ in range(max(1, math.ceil(math.log2(parts + 1)))):
@@ -282,10 +313,7 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
             .select(*SERIES, "rank", F.coalesce("beyond", "exit_rank").alias("exit_rank"))
             .checkpoint()
         )
-    entered = on_chain.withColumn("entered", F.lit(True))
-    marked = linked.join(entered, [*SERIES, "rank"], "left").fillna(False, ["entered"])
-    kind = "session_id string, param string, start_time double, end_time double, num_changes long, user_switches long"
-    return marked.groupBy(*part).applyInPandas(_chain_walk, kind)
+    return on_chain
 
 
 def picked_windows(events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
@@ -375,23 +403,43 @@ def conflict_report(zones: DataFrame) -> DataFrame:
     )
 
 
+def _whole_nodes(first: Column, end: Column) -> Column:
+    """The fewest nodes of the pyramid that make up the blocks ``[first, end)``, as (level, node)."""
+    def nodes(level: Column, lo: Column, hi: Column) -> Column:
+        listed = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(listed, lambda node: F.struct(level.alias("level"), node.alias("node")))
+
+    def step(held: Column, level: Column) -> Column:
+        lo, hi = held["lo"], held["hi"]
+        up, down = F.ceil(lo / PYRAMID).cast("long"), F.floor(hi / PYRAMID).cast("long")
+        goes_on = up < down
+        ends = F.concat(nodes(level, lo, up * PYRAMID), nodes(level, down * PYRAMID, hi))
+        return F.struct(
+            F.when(goes_on, up).otherwise(F.lit(0).cast("long")).alias("lo"),
+            F.when(goes_on, down).otherwise(F.lit(0).cast("long")).alias("hi"),
+            F.concat(held["nodes"], F.when(goes_on, ends).otherwise(nodes(level, lo, hi))).alias("nodes"),
+        )
+
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    begin = F.struct(first.cast("long").alias("lo"), end.cast("long").alias("hi"), none.alias("nodes"))
+    return F.aggregate(F.array(*[F.lit(level) for level in range(PYRAMID_LEVELS)]), begin, step, lambda held: held["nodes"])
+
+
 def zone_value_stats(zones: DataFrame, events: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """Lowest and highest grid value inside each zone, and over the whole series.
 
-    Zones become ranges of ticks, and are met with the runs of ticks of equal value, so no tick is
-    spelled out. Both are cut at fixed blocks of ticks to join on equal blocks; a run that meets a
-    zone in several blocks changes no minimum or maximum. Zones without a value on the grid drop out.
+    A zone sees the value it starts with and those of the runs that begin in it. The first is carried to it in
+    the order of ticks. Of the others, whole blocks of ticks come from a pyramid of minima and maxima, sixteen nodes
+    to one above, so a zone asks for some dozens of nodes at most, however long it is; runs are looked at only in the
+    two blocks at its ends. No tick is spelled out, no run is cut. Zones without a value on the grid drop out.
     """
     ensure_checkpoint_dir(events.sparkSession)
-    # Once for both uses, and only of series that have a zone.
+    # Once for all uses, and only of series that have a zone.
     runs = merged_runs(events, settings, settings.shared_params).join(
         zones.select(*SERIES).distinct(), SERIES, "left_semi"
     ).checkpoint()
     block = max(1, math.ceil(settings.conflict_window / settings.tick))
-
-    def in_blocks(rows: DataFrame, lo: str, hi: str) -> DataFrame:
-        touched = F.sequence(F.floor(F.col(lo) / block), F.floor((F.col(hi) - 1) / block))
-        return rows.where(F.col(hi) > F.col(lo)).withColumn("block", F.explode(touched))
+    zone = [*SERIES, "zone_no"]
 
     series = runs.groupBy(*SERIES, "t_min", "step", "n_ticks").agg(
         F.min("value").alias("series_min"), F.max("value").alias("series_max")
@@ -399,15 +447,46 @@ def zone_value_stats(zones: DataFrame, events: DataFrame, settings: PanelSetting
     ticks = zones.join(series, SERIES).withColumns({
         "z_lo": first_tick_from(F.col("start_time"), F.col("t_min"), F.col("step")),
         "z_hi": F.least("n_ticks", first_tick_beyond(F.col("end_time"), F.col("t_min"), F.col("step"))),
-    })
-    held = in_blocks(runs.select(*SERIES, "lo", "hi", "value"), "lo", "hi")
-    met = held.join(
-        in_blocks(ticks.select(*SERIES, "zone_no", "start_time", "end_time", "series_min", "series_max", "z_lo", "z_hi"), "z_lo", "z_hi"),
-        [*SERIES, "block"],
-    ).where((F.col("lo") < F.col("z_hi")) & (F.col("hi") > F.col("z_lo")))
-    return met.groupBy(*SERIES, "zone_no", "start_time", "end_time", "series_min", "series_max").agg(
-        F.min("value").alias("value_min"), F.max("value").alias("value_max")
+    }).where(F.col("z_hi") > F.col("z_lo")).select(
+        *zone, "start_time", "end_time", "series_min", "series_max", "z_lo", "z_hi"
+    ).checkpoint()
+
+    counts = change_counts(events, keep=True)
+    questions = ticks.select(*SERIES, F.col("z_lo").alias("at"), "zone_no", F.lit(None).cast("double").alias("value"))
+    answers = runs.select(*SERIES, F.col("lo").alias("at"), F.lit(None).cast("long").alias("zone_no"), "value")
+    asked = answers.withColumn("asks", F.lit(0)).unionByName(questions.withColumn("asks", F.lit(1)))
+    # A series has at most one run and one zone per change.
+    halved = replace(settings, hot_rows=settings.hot_rows // 2)
+    carried = order_groups(asked, SERIES, ["at", "asks", "zone_no"], halved, counts).running(value=("last", "value")).done()
+    at_start = carried.where((F.col("asks") == 1) & F.col("value").isNotNull()).select(
+        *zone, F.col("value").alias("low"), F.col("value").alias("high")
+    )
+
+    points = runs.select(*SERIES, "lo", "value", "n_ticks", F.floor(F.col("lo") / block).alias("block"))
+    ends = ticks.withColumn("block", F.explode(F.array_distinct(F.array(
+        F.floor(F.col("z_lo") / block), F.floor((F.col("z_hi") - 1) / block)
+    ))))
+    at_ends = points.join(ends, [*SERIES, "block"]).where(
+        (F.col("lo") > F.col("z_lo")) & (F.col("lo") < F.col("z_hi"))
+    ).select(*zone, F.col("value").alias("low"), F.col("value").alias("high"))
+
+    blocks = points.groupBy(*SERIES, "n_ticks", "block").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    levels = F.array(*[F.lit(level) for level in range(PYRAMID_LEVELS)])
+    needed = F.filter(levels, lambda level: (level == 0) | (F.pow(F.lit(PYRAMID), level) * block <= F.col("n_ticks")))
+    node = F.floor(F.col("block") / F.pow(F.lit(PYRAMID), F.col("level"))).alias("node")
+    pyramid = (
+        blocks.withColumn("level", F.explode(needed)).select(*SERIES, "level", node, "low", "high")
+        .groupBy(*SERIES, "level", "node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    wanted = ticks.select(*zone, F.explode(_whole_nodes(
+        F.floor(F.col("z_lo") / block) + 1, F.floor(F.col("z_hi") / block)
+    )).alias("one")).select(*zone, "one.*")
+    in_blocks = wanted.join(pyramid, [*SERIES, "level", "node"]).select(*zone, "low", "high")
+
+    seen = at_start.unionByName(at_ends).unionByName(in_blocks).groupBy(*zone).agg(
+        F.min("low").alias("value_min"), F.max("high").alias("value_max")
     )
+    return ticks.drop("z_lo", "z_hi").join(seen, zone)
 
 
 def conflict_annotations(stats: DataFrame) -> DataFrame:
