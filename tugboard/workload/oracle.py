@@ -399,6 +399,13 @@ def oracle_sql() -> dict[str, str]:
         "time_viewport": _with(f"""
             SELECT {_LOCF} FROM locf JOIN bounds USING (session_id)
             WHERE t BETWEEN t_min AND t_min + {STRETCHED.viewport}""", "locf", "bounds"),
+        "pairwise_synchrony": _with(f"""
+            SELECT session_id, param, user_a, user_b, CAST(count(x) AS BIGINT) AS common_ticks,
+                   {_r('CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END', 'correlation')}
+            FROM (SELECT a.session_id, a.param, a."user" AS user_a, b."user" AS user_b,
+                         CASE WHEN b.value IS NOT NULL THEN a.value END AS x, CASE WHEN a.value IS NOT NULL THEN b.value END AS y
+                  FROM locf a JOIN locf b ON a.session_id = b.session_id AND a.param = b.param AND a.i = b.i AND a."user" < b."user")
+            GROUP BY session_id, param, user_a, user_b""", "locf"),
         "time_viewport_late": _with(f"""
             SELECT {_LOCF} FROM locf WHERE t BETWEEN {LATE_START} AND {LATE_START + STRETCHED.viewport}""", "locf"),
         "time_viewport_full": _with(f"SELECT {_LOCF} FROM locf", "locf"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tugboard.config import PanelSettings
-from tugboard.operators import activity, carefulness, conflicts, grid, reports, roster, segments, views
+from tugboard.operators import activity, carefulness, conflicts, grid, reports, roster, segments, synchrony, views
 from tugboard.sources import control_logs, imu_logs
 from tugboard.session import ensure_checkpoint_dir
 from tugboard.sources.event_table import SEATS, read_event_table
@@ -145,6 +145,7 @@ def queries() -> dict[str, Query]:
         "merged_series": on(lambda e: grid.merged_series(e, s)),
         "ownership_segments": on(lambda e: grid.ownership_segments(e, s)),
         "series_wide": on(lambda e: grid.series_wide(e, range(SEATS), s)),
+        "pairwise_synchrony": on(lambda e: synchrony.pairwise_synchrony(e, s)),
         # activity
         "time_in_control": on(lambda e: activity.time_in_control(e, s)),
         "inactivity_gaps": on(lambda e: activity.inactivity_gaps(e, s)),
