@@ -25,15 +25,15 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tugboard.llm.huffman import Code, code_lengths
 from tugboard.llm.shared import bounded_batches, ragged, stored, worker_state
@@ -43,6 +43,7 @@ BLOCK_IDS = 1 << 16       # a block is closed by the document that reaches it
 BLOCKS_AT_ONCE = 16
 FIRST_UNSURE = "\u0250"   # below it no letter changes by normalization
 KNOWN_CHUNKS = 1_500_000  # what a worker remembers before it starts anew
+WORDS_AT_ONCE = 1000      # words the library is given in one line
 
 
 @dataclass(frozen=True)
@@ -64,14 +65,24 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cutter, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.cutter.normalizer = self.merger.normalizer = self.merger.pre_tokenizer = None
-        self.marks = {mark: array("i", self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,;:!?"}
+        self.cutter = Tokenizer.from_file(path)
+        self.cutter.normalizer = None
+        # Words of letters need no expression to be cut; the probes below tell if the bytes are meant so.
+        self.cutter.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        # Ids that end a word, for vocabularies that mark them: then words can be asked for by the line.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.final[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        marks = {mark: array("i", self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,;:!?"}
+        self.marks = {mark: ids for mark, ids in marks.items() if len(ids) == 1}
         # Whether the steps skipped do to plain words what is taken for granted here.
         self.lowers = all(
-            self.tokenizer.encode(probe, add_special_tokens=False).ids
-            == self.cutter.encode(probe[:-1].lower(), add_special_tokens=False).ids + self.marks["."].tolist()
-            for probe in ("Word.", "ÉTÉ.", "straßeÑ.")
+            self.tokenizer.encode(word + mark, add_special_tokens=False).ids
+            == self.cutter.encode(word.lower(), add_special_tokens=False).ids + ids.tolist()
+            for word in ("Word", "ÉTÉ", "straßeÑ") for mark, ids in self.marks.items()
         )
         self._forget()
 
@@ -83,7 +94,7 @@ class Words:
         """Asks the library for the ids of ``new``. A word of plain letters, with a mark behind it or not, is
         already in normal form but for its case and is one piece, so the library can skip these steps."""
         known, marks, ids, ends = self.known, self.marks, self.ids, self.ends
-        plain, letters, variants, others = set(), set(), [], []
+        letters, variants, others = set(), [], []
         for chunk in new:
             if chunk.isalpha():
                 word, mark = chunk, ""
@@ -97,39 +108,72 @@ class Words:
                 others.append(chunk)
                 continue
             if lowered not in known:
-                (plain if word.isascii() else letters).add(lowered)
+                letters.add(lowered)
             if lowered != chunk:
                 variants.append((chunk, lowered, mark))
-        for tokenizer, part in ((self.merger, list(plain)), (self.cutter, list(letters)), (self.tokenizer, others)):
+        singly = [(self.tokenizer, others)]
+        words = list(letters)
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            some = words[begin: begin + WORDS_AT_ONCE]
+            found = np.array(self.cutter.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.final[found]) + 1
+            if len(cuts) != len(some):
+                singly.append((self.cutter, some))
+                continue
+            known.update(zip(some, range(len(ends) - 1, len(ends) - 1 + len(some))))
+            ends.frombytes((cuts + len(ids)).astype(np.int64).tobytes())
+            ids.frombytes(found.tobytes())
+        for tokenizer, part in singly:
             for begin in range(0, len(part), 10_000):
                 some = part[begin: begin + 10_000]
                 for chunk, encoded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                     known[chunk] = len(ends) - 1
                     ids.extend(encoded.ids)
                     ends.append(len(ids))
+        marked = []
         for chunk, lowered, mark in variants:
-            number = known[lowered]
             if mark:
-                ids += ids[ends[number]: ends[number + 1]]
-                ids += marks[mark]
-                number = len(ends) - 1
-                ends.append(len(ids))
-            known[chunk] = number
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another and each with the end id behind it, and how many each has."""
+                marked.append((chunk, known[lowered], mark))
+            else:
+                known[chunk] = known[lowered]
+        if marked:
+            self._mark(marked)
+
+    def _mark(self, marked: list[tuple[str, int, str]]) -> None:
+        """Words whose ids are known, each with a mark of one id behind it."""
+        ids, ends = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64)
+        chunks, numbers, signs = zip(*marked)
+        numbers = np.array(numbers)
+        lengths = ends[numbers + 1] - ends[numbers]
+        upto = np.cumsum(lengths)
+        behind = np.array([self.marks[sign][0] for sign in signs], np.int32)
+        more = np.insert(ids[ragged(ends[numbers], lengths)], upto, behind).astype(np.int32)
+        first, base = len(ends) - 1, len(ids)
+        del ids, ends   # arrays that are looked at cannot grow
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.ids.frombytes(more.tobytes())
+        self.ends.frombytes((upto + np.arange(1, len(chunks) + 1) + base).astype(np.int64).tobytes())
+
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another and each with the end id behind it, and how many each has.
+
+        Stretches are cut and told apart by Arrow, so only the different ones of a batch are looked up here.
+        """
         if len(self.known) > KNOWN_CHUNKS:
             self._forget()
-        known = self.known
-        chunked = [text.replace("\n", " ").split(" ") for text in texts]
-        numbered = [list(map(known.get, chunks)) for chunks in chunked]
-        open_ = [k for k, numbers in enumerate(numbered) if None in numbers]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        chunked = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
+        sizes = np.diff(chunked.offsets.to_numpy()).astype(np.int64)
+        coded = chunked.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, chunks))
+        open_ = [at for at, number in enumerate(found) if number is None]
         if open_:
-            self._learn(list({chunk for k in open_ for chunk, number in zip(chunked[k], numbered[k], strict=True) if number is None}))
-            for k in open_:
-                numbered[k] = list(map(known.__getitem__, chunked[k]))
-        sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
-        chosen = np.fromiter(chain.from_iterable(numbered), np.int64, int(sizes.sum()))
+            self._learn([chunks[at] for at in open_])
+            for at in open_:
+                found[at] = self.known[chunks[at]]
+        numbers = np.array(found, np.int64)
+        chosen = numbers[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64)
         ids, ends = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32), np.frombuffer(self.ends, np.int64)
         lengths = ends[chosen + 1] - ends[chosen]
         flat = ids[ragged(ends[chosen], lengths)]
@@ -144,10 +188,6 @@ def words_of(path: str) -> Words:
     return state["words", path]
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
-
-
 def ordered_ids(docs: DataFrame, id: str, text: str, rule: TokenRule) -> DataFrame:
     """Blocks as in the format, but with the plain ids in ``bits`` and no ``offsets``."""
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +200,7 @@ def ordered_ids(docs: DataFrame, id: str, text: str, rule: TokenRule) -> DataFra
             return _block(file, block, before, docs_now, counts_now, [], bits)
 
         for batch in batches:
-            docs, (flat, counts) = batch.column(0).to_pylist(), words.encode(_texts(batch.column(1)), rule.end_id)
+            docs, (flat, counts) = batch.column(0).to_pylist(), words.encode(batch.column(1), rule.end_id)
             ends, begin = np.cumsum(counts), 0
             while begin < len(docs):
                 done = int(ends[begin - 1]) if begin else 0
