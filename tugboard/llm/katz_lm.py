@@ -53,6 +53,7 @@ class KatzRule:
     discounted: int = 5             # counts up to this one are discounted
     group_tokens: int = 2_200_000   # of the documents a task keeps at a time
     shard_rows: int = 1_000_000     # distinct words or grams, summed over the groups, aimed at per shard
+    passes: int = 2                 # in which the shards of an order are asked, one after another: of its grams, a share moves at a time
 
 
 class Numbering(dict):
@@ -159,7 +160,9 @@ def word_answers(asked: DataFrame, shards: int, hot: int, rule: KatzRule) -> Dat
         shard = key[0].as_py()
         keys = [unpack(x, np.uint64) for x in part.column("a").to_pylist()]
         distinct, counts, where = _added_up(keys, [unpack(x, np.uint32) for x in part.column("b").to_pylist()])
-        ids = np.where(counts > 0, FIRST + np.arange(len(distinct)) * shards + shard, UNKNOWN).astype(np.uint64)
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(distinct))  # common words have small ids, which pack better
+        ids = np.where(counts > 0, FIRST + rank * shards + shard, UNKNOWN).astype(np.uint64)
         common = np.flatnonzero(counts > hot)
         rows = [
             row("seen", -1, shard, int((counts > 0).sum()), pack(_histogram(counts, rule.discounted))),
@@ -180,6 +183,15 @@ def valued(counts: np.ndarray, worth: np.ndarray) -> np.ndarray:
     return np.where(counts < len(worth), worth[np.minimum(counts, len(worth) - 1)], counts)
 
 
+def alike(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """A number for each of ``n`` rows of ids, from 0 without gaps: equal rows have the same one."""
+    number = np.zeros(n, np.int64)
+    for column in columns:
+        pair = number.astype(np.uint64) << np.uint64(32) | np.unique(column, return_inverse=True)[1].astype(np.uint64)
+        number = np.unique(pair, return_inverse=True)[1]
+    return number
+
+
 def longer_keys(keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Keys of contexts with one more token at their end; the key of a single token is its id."""
     return (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + tokens
@@ -297,22 +309,27 @@ class Group:
         return np.add.reduceat(values, self.first)
 
 
-def grams_of_groups(groups: DataFrame, orders: list[Order], single: Single) -> DataFrame:
-    """A row ``grams`` of the last order for each group and shard: ``a`` the ids of each context's tokens, all first ones, then
-    all second ones, ..., then what counts in its own last tokens are divided by; ``b`` how many grams each has, ``c`` their tokens,
-    ``d`` the counts of their last tokens by the order below, ``e`` their counts in the group's training texts."""
+def grams_of_groups(groups: DataFrame, orders: list[Order], single: Single, shards: range) -> DataFrame:
+    """A row ``grams`` of the last order for each group and each of ``shards``: ``a`` the ids of each context's tokens, all first ones,
+    then all second ones, ..., then, for each different row of last tokens in the order of ``alike``, what counts in these are divided by;
+    ``b`` how many grams each context has, ``c`` their tokens, ``d`` the counts of their last tokens by the order below, ``e`` their counts
+    in the group's training texts."""
     def gram(key: tuple, part: pa.Table) -> pa.Table:
         group = Group(part.to_pylist(), orders, single)
         level = group.level
         trained = np.bincount(level.of, np.repeat(~group.held, group.lengths), len(level.tokens)).astype(np.uint32)
         out = []
         for s in np.flatnonzero(np.diff(level.cuts)):
+            if s not in shards:
+                continue
             own = slice(level.cuts[s], level.cuts[s + 1])
             starts, runs = level.runs(s)
             contexts, below = level.contexts[own][starts], level.below[own]
-            totals = group.lower_totals[below[starts]].astype(np.uint64)
+            heads = [x[contexts] for x in level.heads]
+            first = np.unique(alike(heads[1:], len(contexts)), return_index=True)[1]
+            totals = group.lower_totals[below[starts[first]]].astype(np.uint64)
             lower = np.where(trained[own] > 0, group.lower_counts[below], 0)  # asked for where it was seen
-            out.append(row("grams", group.number, s, own.stop - own.start, pack(np.concatenate([*(x[contexts] for x in level.heads), totals])),
+            out.append(row("grams", group.number, s, own.stop - own.start, pack(np.concatenate([*heads, totals])),
                            pack(runs), pack(group.words[level.tokens[own]]), pack(lower), pack(trained[own])))
         return table(out)
 
@@ -329,15 +346,20 @@ def gram_answers(asked: DataFrame, order: int, hot: np.ndarray, often: int, belo
     def answer(key: tuple, part: pa.Table) -> pa.Table:
         shard, rows = key[0].as_py(), part.to_pylist()
         runs = [unpack(r["b"], np.uint32) for r in rows]
-        sent = np.concatenate([unpack(r["a"], np.uint64).reshape(order, -1) for r in rows], axis=1)
-        head, keys = np.unique(sent[0], return_inverse=True)[1], sent[0]
-        for more in sent[1:-1]:
-            pair = head.astype(np.uint64) << np.uint64(32) | np.unique(more, return_inverse=True)[1].astype(np.uint64)
-            head, keys = np.unique(pair, return_inverse=True)[1], longer_keys(keys, more)
+        tokens, divided = [], []
+        for r, own in zip(rows, runs, strict=True):
+            sent = unpack(r["a"], np.uint64)
+            ids, totals = sent[: (order - 1) * len(own)].reshape(order - 1, -1), sent[(order - 1) * len(own):]
+            tokens.append(ids)
+            divided.append(totals[alike(list(ids[1:]), len(own))].astype(np.int64))
+        sent = np.concatenate(tokens, axis=1)
+        head, keys = alike(list(sent), sent.shape[1]), sent[0]
+        for more in sent[1:]:
+            keys = longer_keys(keys, more)
         heads = int(head.max()) + 1
         key_of, total_below = np.empty(heads, np.uint64), np.empty(heads, np.int64)
-        key_of[head], total_below[head] = keys, sent[-1].astype(np.int64)
-        del sent, keys
+        key_of[head], total_below[head] = keys, np.concatenate(divided)
+        del sent, keys, tokens, divided
         tails, tail = np.unique(np.concatenate([unpack(r["c"], np.uint64) for r in rows]), return_inverse=True)
         left = np.repeat(head, np.concatenate(runs)).astype(np.uint64)
         grams, place = np.unique(left << np.uint64(32) | tail.astype(np.uint64), return_inverse=True)
@@ -419,10 +441,10 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
     bounded_batches(spark)
     (name,) = fresh(["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], id)
     word_shards = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    groups = stored(numbered_groups(docs, id, text, word_shards, rule), "kind")
+    groups = stored(numbered_groups(docs, id, text, word_shards, rule), "kind", free=True)
     own, asked = groups.where("kind = 'docs'"), groups.where("kind = 'words'")
     tokens = own.agg(F.sum("n")).first()[0] or 0
-    words = stored(word_answers(asked, word_shards, tokens // HOT_SHARE, rule), "kind")
+    words = stored(word_answers(asked, word_shards, tokens // HOT_SHARE, rule), "kind", free=True)
     most = rule.discounted
     seen = sum(_summed(words, "seen", np.int64), np.zeros(most + 2, np.int64))
     distinct = words.where("kind = 'seen'").agg(F.sum("n")).first()[0] or 0
@@ -435,8 +457,12 @@ def katz_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rule: K
         # A group has at most as many grams as tokens; of pairs there are some three to a word.
         expected = 3 * rows.get("words", 0) if k == 2 else rows.get("size", 0)
         order = Order(max(4, -(-expected // rule.shard_rows)), np.unique(np.concatenate([start, *common])))
-        asked = grams_of_groups(known, [*orders, order], single)
-        answers = stored(gram_answers(asked, k, order.hot, tokens // HOT_SHARE, worth, rule), "kind")
+        answers = None
+        for turn in range(rule.passes):
+            shards = range(turn, order.shards, rule.passes)
+            asked = grams_of_groups(known, [*orders, order], single, shards)
+            more = stored(gram_answers(asked, k, order.hot, tokens // HOT_SHARE, worth, rule), "kind", free=True)
+            answers = answers.unionByName(more) if answers else more
         orders.append(answered_order(answers, order, most))
         worth, common, start = orders[-1].worth, _summed(answers, "often", np.uint64), longer_keys(start, np.array([START], np.uint64))
         known = known.unionByName(answers.where(f"kind = 'counts{k}'").select(*NAMES))

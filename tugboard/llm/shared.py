@@ -16,6 +16,7 @@ from tugboard.session import ensure_checkpoint_dir
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -40,13 +41,21 @@ def widened(frame: DataFrame, **added: DataType) -> StructType:
     return StructType([*frame.schema.fields, *[StructField(name, kind) for name, kind in added.items()]])
 
 
-def stored(frame: DataFrame, *partition_by: str) -> DataFrame:
-    """``frame`` as a Parquet table in the shared checkpoint folder: columnar, compressed, and cut from its lineage."""
+def stored(frame: DataFrame, *partition_by: str, free: bool = False) -> DataFrame:
+    """``frame`` as a Parquet table in the shared checkpoint folder: columnar, compressed, and cut from its lineage.
+
+    ``free``: once it is written, nothing needs its shuffle files any more, and Spark removes them.
+    """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     writer = frame.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true" if free else before)
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
