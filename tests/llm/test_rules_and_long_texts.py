@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import plain  # noqa: E402
-from tugboard.llm import bpe_codec, line_dedup, mixing, quality_rules, queries, simhash_dedup, token_output, url_filters  # noqa: E402
+from tugboard.llm import bpe_codec, embedding_dedup, line_dedup, mixing, quality_rules, queries, simhash_dedup, token_output, url_filters  # noqa: E402
 
 BYTE_BPE, WORD_BPE = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
 
@@ -105,3 +105,12 @@ def test_long_texts_in_tokens(spark, docs, texts, tmp_path):
     rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output.read_tokens(spark, str(tmp_path / "t")).collect()}
     ids = {d: [*known.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
     assert rows == {d: (len(x), zlib.crc32(np.array(x, "<u4"))) for d, x in ids.items()}
+
+
+def test_vectors_without_an_id(spark):
+    rows = [(3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (None, [0.0, 2.0], 1), (5, [1.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = embedding_dedup.near_copies(frame).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [
+        (0, 1, 0, True), (0, 1, 0, True), (0, 1, 3, False), (3, 1, 3, True), (5, 0, 5, True),
+    ]

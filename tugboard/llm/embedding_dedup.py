@@ -119,8 +119,8 @@ def near_copies(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
 
     Rows whose label is null or whose vector is null, empty, zero or holds null or non-finite components
     link with nothing. Shorter vectors count as filled up with zeros. Rows that share an id are one
-    vector each. Rows without an id link, but are never the smallest: alone they have no component and
-    are kept. A table without rows gives none.
+    vector each. Rows without an id link, but are never the smallest: next to a row with an id they go;
+    among themselves or alone they have no component and are kept. A table without rows gives none.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
@@ -188,5 +188,5 @@ def near_copies(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding
     return described.join(named, "copy", "left").select(
         F.col("id").alias(name), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.col("component_id").isNull()).alias("kept"),
     )
