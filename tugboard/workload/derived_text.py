@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from tugboard.sources.event_table import SEATS
 from tugboard.sources.imu_logs import read_imu_logs
 
 EVENTS_PER_BLOCK = 64
+SHELVES = 256   # folders that the folders of sessions are dealt to: Spark lists each in a task
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,23 +94,54 @@ def imu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _folders: dict[tuple[str, str, str], str] = {}
 
 
+def _log_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes rows of ``log, text``, in the order of logs, as one file per log below ``folder``; gives their number."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, root = fs.FileSystem.from_uri(folder)
+        current, stream, part, files = None, None, None, 0
+
+        def end() -> None:
+            if stream is not None:
+                stream.close()
+                shared.move(part, f"{root}/{current}")   # under its name once it is whole: a task may run twice
+
+        for batch in batches:
+            logs, begin = pc.run_end_encode(batch["log"]), 0
+            for log, upto in zip(logs.values.to_pylist(), logs.run_ends.to_pylist()):
+                if log != current:
+                    end()
+                    current, files = log, files + 1
+                    session = f"{root}/{log.rpartition('/')[0]}"
+                    shared.create_dir(session)
+                    part = f"{session}/_{uuid.uuid4()}"
+                    stream = shared.open_output_stream(part)
+                stream.write(b"".join(batch["text"].slice(begin, upto - begin).to_pylist()))
+                begin = upto
+        end()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    return write
+
+
 def _log_files(spark: SparkSession, sf_dir: str, kind: str, lines: DataFrame) -> str:
-    """The folder of ``lines`` as text files ``<session>/<name>`` in the shared folder; the writer of a log does not use Spark."""
+    """The folder of ``lines`` as text files ``<shelf>/<session>/<name>`` in the shared folder; the writer of a log does not use Spark.
+
+    Each task writes the logs it holds. Spark's own writer makes a folder per log, which the driver would list and rename
+    one by one; there are as many logs as users.
+    """
     known = (spark.sparkContext.applicationId, sf_dir, kind)
     if known not in _folders:
         ensure_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/logs-{uuid.uuid4()}"
-        named = lines.select("session_id", F.element_at(F.split("file", "/"), -1).alias("log"), "block_start", "mid", "line")
-        named.repartition("session_id", "log").sortWithinPartitions("session_id", "log", "block_start", "mid").select(
-            "session_id", "log", F.col("line").alias("value")
-        ).write.partitionBy("session_id", "log").text(folder)
-        jvm = spark._jvm
-        made = jvm.org.apache.hadoop.fs.Path(f"{folder}/session_id=*/log=*/part-*")
-        files = made.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in files.globStatus(made):
-            written = status.getPath()
-            name = written.getParent().getName().removeprefix("log=")
-            files.rename(written, jvm.org.apache.hadoop.fs.Path(written.getParent().getParent(), name))
+        folder = re.sub("^file:/+", "file:///", folder)
+        shared, root = fs.FileSystem.from_uri(folder)
+        shared.create_dir(root)   # also for no lines
+        shelf = F.pmod(F.xxhash64("session_id"), F.lit(SHELVES)).cast("string")
+        log = F.concat(shelf, F.lit("/session_id="), "session_id", F.lit("/"), F.element_at(F.split("file", "/"), -1))
+        named = lines.select(log.alias("log"), "block_start", "mid", "line").where(F.col("log").isNotNull())
+        text = F.concat(F.coalesce("line", F.lit("")), F.lit("\n")).cast("binary").alias("text")
+        made = named.repartition("log").sortWithinPartitions("log", "block_start", "mid").select("log", text)
+        made.mapInArrow(_log_writer(folder), "files long").agg(F.sum("files")).first()
         _folders[known] = folder
     return _folders[known]
 
