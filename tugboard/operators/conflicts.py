@@ -27,8 +27,10 @@ from tugboard.functions.clock import first_tick_beyond, first_tick_from
 from tugboard.operators.grid import merged_runs
 from tugboard.operators.roster import change_counts
 from tugboard.plans.ordered import (
+    SLICES_A_CORE,
     OrderedGroups,
     combine_large,
+    cores_of,
     hot_by_counts,
     hot_groups,
     order_groups,
@@ -136,7 +138,7 @@ def _look_ahead(instants: DataFrame, settings: PanelSettings) -> DataFrame:
     both = steps(instants, "time_sec", 0, True).unionByName(steps(instants.where(_first_of_instant()), "until", 1, False))
     total = 2 * instants.count()
     sliced = slice_rows(both, SERIES, order, total, settings)
-    parts = slices_of(total, settings) + instants.select(*SERIES).distinct().count()
+    parts = slices_of(total, settings, cores_of(both)) + instants.select(*SERIES).distinct().count()
     small = parts <= settings.broadcast_rows
     return OrderedGroups(sliced, tuple(SERIES), tuple(order), sliced=True, small_carry=small).running(
         end_time=("max", "end_time"), n_end=("max", "n_end"), turns_end=("max", "turns_end")
@@ -282,8 +284,10 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
         .checkpoint()
     )
     part = [*SERIES, "part"]
+    # Named, as these rows are few bytes but many groups: sized by bytes, one task would be given all groups.
+    tasks = SLICES_A_CORE * cores_of(linked)
     names = "session_id string, param string, rank long, exit_rank long"
-    ends_of = linked.select(*part, "rank", "next_rank").groupBy(*part).applyInArrow(_chain_ends, names).checkpoint()
+    ends_of = linked.select(*part, "rank", "next_rank").repartition(tasks, *part).groupBy(*part).applyInArrow(_chain_ends, names).checkpoint()
 
     # Only candidates where some chain enters a part; the exit of the last part is no candidate.
     entries = ends_of.select(*SERIES, F.col("exit_rank").alias("rank")).distinct()
@@ -291,13 +295,13 @@ def _pick_by_chain(ranked: DataFrame, settings: PanelSettings) -> DataFrame:
         ends_of.where(F.col("rank") == 1)
     ).distinct().checkpoint()
     if hot_groups(hops, SERIES, settings.chain_rows) is None:
-        on_chain = hops.groupBy(*SERIES).applyInArrow(_chain_entries, "session_id string, param string, rank long")
+        on_chain = hops.repartition(tasks, *SERIES).groupBy(*SERIES).applyInArrow(_chain_entries, "session_id string, param string, rank long")
     else:
         on_chain = _doubled(linked, ends_of, hops)
     entered = on_chain.withColumn("entered", F.lit(True))
     marked = linked.join(entered, [*SERIES, "rank"], "left").fillna(False, ["entered"])
     kind = "session_id string, param string, start_time double, end_time double, num_changes long, user_switches long"
-    return marked.groupBy(*part).applyInArrow(_chain_walk, kind)
+    return marked.repartition(tasks, *part).groupBy(*part).applyInArrow(_chain_walk, kind)
 
 
 def _doubled(linked: DataFrame, ends_of: DataFrame, hops: DataFrame) -> DataFrame:

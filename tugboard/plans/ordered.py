@@ -19,12 +19,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tugboard.config import PanelSettings
+from tugboard.config import DEFAULTS, PanelSettings
 from tugboard.plans.memo import remembered
 from tugboard.plans.sizes import session_sizes
 from tugboard.session import ensure_checkpoint_dir
 
 SLICE = "_slice"
+SLICES_A_CORE = 8
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda source: F.last(source, ignorenulls=True)}
 
@@ -204,8 +205,17 @@ class OrderedGroups:
         return self.frame.drop(SLICE)
 
 
-def slices_of(total: int, settings: PanelSettings) -> int:
-    return max(2, math.ceil(total / settings.slice_rows))
+def slices_of(total: int, settings: PanelSettings, cores: int) -> int:
+    """Slices of about ``slice_rows`` rows; if they are small and more than the cores have use for, fewer and larger ones.
+
+    Each slice is a task and a file of every later step, and a hundred sampled rows at the driver.
+    """
+    useful = max(SLICES_A_CORE * cores, math.ceil(total / max(settings.slice_rows, DEFAULTS.slice_rows)))
+    return max(2, min(math.ceil(total / settings.slice_rows), useful))
+
+
+def cores_of(rows: DataFrame) -> int:
+    return rows.sparkSession.sparkContext.defaultParallelism
 
 
 def slice_rows(
@@ -216,7 +226,7 @@ def slice_rows(
     ``total`` is roughly how many there are. Only groups that are large should come here.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    return rows.repartitionByRange(slices_of(total, settings), *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    return rows.repartitionByRange(slices_of(total, settings, cores_of(rows)), *keys, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
 
 
 def order_groups(
@@ -246,5 +256,5 @@ def order_groups(
     cut = slice_rows(rows.join(marked, list(keys), "left_semi"), keys, order, total, settings)
     rest = rows.join(marked, list(keys), "left_anti").withColumn(SLICE, F.lit(-1))
     # A slice can end one hot group and begin another, so there are at most this many parts of groups.
-    parts = slices_of(total, settings) + _number(hot)
+    parts = slices_of(total, settings, cores_of(rows)) + _number(hot)
     return OrderedGroups(rest.unionByName(cut), keys, order, sliced=True, small_carry=parts <= settings.broadcast_rows)
