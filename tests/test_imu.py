@@ -211,3 +211,14 @@ def test_tasks_need_no_install(tmp_path):
     script = "import pickle; print(len([list(f(iter([]))) for f in pickle.load(open('functions', 'rb'))[:3]]))"
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "3", done.stderr
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("parse", [parse_imu_records, parse_imu_framed])
+def test_fields_are_cut_out_once(spark, tmp_path, parse):
+    """The tasks that find the tokens write the fields; no later step looks at a reading's text again."""
+    (tmp_path / "imu_log.txt").write_text("\n".join(record(1) + record(2)) + "\n")
+    assert "regexp" not in plan_of(parse(read_imu_logs(spark, str(tmp_path))))

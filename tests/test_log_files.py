@@ -10,7 +10,7 @@ from tugboard.config import DEFAULTS
 from tugboard.plans.ordered import SLICES_A_CORE, slices_of
 from tugboard.sources import lines as line_source
 from tugboard.sources.lines import read_lines
-from tugboard.workload.derived_text import _log_files, control_lines
+from tugboard.workload.derived_text import _log_files, control_lines, imu_lines
 
 
 def test_many_small_files_share_tasks(spark, tmp_path):
@@ -62,3 +62,16 @@ def test_slices_follow_the_cores_until_they_are_large():
     # Never so few that a slice holds more than the rows aimed at for large data.
     assert slices_of(1_000 * DEFAULTS.slice_rows, small, 4) == 1_000
     assert slices_of(1_000 * DEFAULTS.slice_rows, DEFAULTS, 4) == 1_000
+
+
+def test_sensor_lines_are_those_of_a_formatter(spark, tmp_path):
+    """Written without a formatter, missing values still read null, as it writes them."""
+    rows = [(n, datetime(2024, 1, 1, 0, 0, 1), 4, "click", None if n == 2 else -n / 4) for n in (2, 3, 15)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    lines = imu_lines(spark, str(tmp_path))
+    assert "format_string" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.mid, r.line) for r in lines.collect()}
+    head = "00:00:01.000000 Gyroscope = SensorInfo { Timestamp = %s, Accuracy = 3, Data = <%s, -%s, 0.5> }"
+    assert {(17, head % (10, "null", "null")), (25, head % (15, "-0.75", "-0.75")), (121, head % (75, "1E-4", "-3.75"))} <= found
+    assert (20, "Gravity = SensorInfo { Timestamp = 13, Accuracy = 3, Data = <0.0, 9.8, null> }") in found

@@ -24,6 +24,7 @@ gyroscope, a record must lie within its frame, and every reading that is in no r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,20 +73,21 @@ def read_imu_logs(
 
 
 STRETCH = ["session_id", "file", "block_start", "first_mid"]
-SLOTS = [f"_{kind}" for kind in range(STATES)]
 MARKER = NAMES["gyro"]
 BROKEN = STATES   # the kind of a gyroscope's name without a well-formed reading
 
 _STRETCH = "session_id string, file string, block_start long, first_mid long"
-_TEXTS = ", ".join(f"{slot} string" for slot in SLOTS)
+_TEXTS = ", ".join(f"{name} string" for name in IMU_COLUMNS)
+_ALPHABET = np.isin(np.arange(256), list(b"-.0123456789"))   # of _NUMBER
 
 
 def _token_lines(lines: DataFrame, markers: bool = False) -> DataFrame:
     """Every line with its time stamps and well-formed readings. No token spans a line break."""
-    either = "|".join([TIME_TOKEN, *SENSORS.values(), *([MARKER] if markers else [])])
+    either = "|".join([TIME_TOKEN, *SENSORS.values(), *([MARKER] if markers else [])]).replace("(", "(?:")
+    begins = "".join(name[0] for name in NAMES.values())   # most places of a line are left at one look
     return lines.select(
         "session_id", "file", "block_start", "mid", F.xxhash64("session_id", "file", "block_start").alias("place"),
-        F.regexp_extract_all("line", F.lit(f"({either})"), F.lit(0)).alias("tokens"),
+        F.regexp_extract_all("line", F.lit(rf"(?=[\d{begins}])(?:{either})"), F.lit(0)).alias("tokens"),
     )
 
 
@@ -105,6 +107,24 @@ def _kinds(tokens: pa.Array) -> np.ndarray:
     return kinds
 
 
+def _numbers(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All numbers of the tokens, and for every token, and the end, the place of its first number.
+
+    A reading holds its numbers in column order and nothing else of their alphabet, and no reading ends in one.
+    """
+    n = len(tokens)
+    if not n:
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    _, offsets, data = tokens.buffers()
+    at = np.frombuffer(offsets, np.int32)[tokens.offset: tokens.offset + n + 1]
+    text = np.frombuffer(data, np.uint8)[at[0]: at[-1]]
+    inside = _ALPHABET[text]
+    starts, ends = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2).T
+    borders = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    numbers = pa.StringArray.from_buffers(len(starts), pa.py_buffer(borders), pa.py_buffer(text[inside]))
+    return numbers, np.searchsorted(starts, at - at[0])
+
+
 def _stretches(batch: pa.RecordBatch, last: tuple | None) -> Iterator[tuple[tuple | None, int, int]]:
     """(key, first token, end) of each run of consecutive lines; the key is None where the run of ``last`` goes on.
 
@@ -223,54 +243,71 @@ class _Machine:
         return leaves, opens
 
 
-def _taken(tokens: pa.Array, places: np.ndarray) -> pa.Array:
-    return tokens.take(pa.array(places, pa.int64(), mask=places < 0))
+def _taken(values: pa.Array, places: np.ndarray) -> pa.Array:
+    return values.take(pa.array(places, pa.int64(), mask=places < 0))
 
 
-def _gathered(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Many small batches as one."""
-    if rows:
-        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+def _texts(tokens: pa.Array, numbers: pa.Array, first: np.ndarray, places: np.ndarray) -> list[pa.Array]:
+    """The 27 fields of records, or parts of them, whose tokens are at ``places``, a row per record and -1 for none."""
+    texts = [_taken(tokens, places[:, 0])]
+    for kind, sensor in enumerate(SENSORS, start=1):
+        none, at = places[:, kind] < 0, first[places[:, kind]]
+        texts += [_taken(numbers, np.where(none, -1, at + place)) for place in range(len(_columns_of(sensor)))]
+    return texts
 
 
-_PIECE = [*STRETCH, "leaves", "opens", "numbers", *SLOTS]
+def _keyed(keys: list[tuple], counts: list[int]) -> list[pa.Array]:
+    """The columns of STRETCH, each key as often as counted."""
+    repeats = pa.array(np.repeat(np.arange(len(keys)), counts))
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return [pa.array(column, kind).take(repeats) for column, kind in zip(zip(*keys), kinds)]
 
 
-def _machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records and parts of records with their numbers under each entry state, and one summary per stretch."""
-    machine, last = None, None
+def _parts(names: tuple[str, ...], which: np.ndarray) -> pa.Array:
+    return pa.array(names).take(pa.array(which.astype(np.int64)))
 
-    def keyed(key: tuple, n: int) -> list[pa.Array]:
-        return [pa.array([value] * n, kind) for value, kind in zip(key, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
 
-    def summary() -> pa.RecordBatch:
-        leaves, opens = machine.summary()
-        texts = [pa.nulls(1, pa.string())] * STATES
-        return pa.RecordBatch.from_arrays([
-            *keyed(machine.key, 1), pa.array([leaves], pa.list_(pa.int32())), pa.array([opens], pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), *texts,
-        ], _PIECE)
+_PIECE = [*STRETCH, "part", "leaves", "opens", "numbers", *IMU_COLUMNS]
+_PIECES = f"{_STRETCH}, part string, leaves array<int>, opens array<long>, numbers array<long>, {_TEXTS}"
 
+
+def _summaries(machines: list[_Machine]) -> pa.RecordBatch:
+    n = len(machines)
+    leaves, opens = zip(*[machine.summary() for machine in machines])
+    return pa.RecordBatch.from_arrays([
+        *_keyed([machine.key for machine in machines], [1] * n), pa.array(["summary"] * n), pa.array(leaves, pa.list_(pa.int32())),
+        pa.array(opens, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())), *[pa.nulls(n, pa.string())] * len(IMU_COLUMNS),
+    ], _PIECE)
+
+
+def _machines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and parts of records with their numbers under each entry state, and one summary per stretch."""
+    machine, last = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens, rows = batch["tokens"].flatten(), []
-        kinds = _kinds(tokens)
+        tokens = batch["tokens"].flatten()
+        kinds, found, ended = _kinds(tokens), [], []
         for key, begin, end in _stretches(batch, last):
             if key is not None:
-                if machine is not None:
-                    rows.append(summary())
+                ended += [machine] if machine is not None else []
                 machine = _Machine(key)
-            for places, numbers in machine.feed(kinds[begin:end]):
-                n = len(places)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, STATES * n + 1, STATES), pa.int32()), pa.array(numbers.reshape(-1), pa.int64()))
-                taken = [_taken(tokens, np.where(column >= 0, column + begin, -1)) for column in places.T]
-                rows.append(pa.RecordBatch.from_arrays(
-                    [*keyed(machine.key, n), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())), lists, *taken], _PIECE
-                ))
-        yield from _gathered(rows)
+            for places, opened in machine.feed(kinds[begin:end]):
+                found.append((machine.key, np.where(places >= 0, places + begin, -1), opened))
+        if ended:
+            yield _summaries(ended)
+        if found:
+            keys, places, opened = zip(*found)
+            keyed, places, opened = _keyed(keys, [len(rows) for rows in places]), np.concatenate(places), np.concatenate(opened)
+            n = len(places)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, STATES * n + 1, STATES), pa.int32()), pa.array(opened.reshape(-1), pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                *keyed, _parts(("crossing", "whole"), (places >= 0).all(axis=1)), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64())),
+                lists, *_texts(tokens, *_numbers(tokens), places),
+            ], _PIECE)
         last = (batch["place"][-1].as_py(), batch["mid"][-1].as_py())
     if machine is not None:
-        yield summary()
+        yield _summaries([machine])
 
 
 def _entry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,78 +337,53 @@ def _by_stretch(rows: DataFrame, facts: DataFrame, settings: PanelSettings) -> D
     return rows.join(F.broadcast(named) if small else named, same).drop(*[f"_of_{c}" for c in STRETCH])
 
 
-def _fields(whole: DataFrame, number: str) -> DataFrame:
-    """The 27 fields of records whose tokens are in SLOTS."""
-    # A reading holds its numbers in column order and nothing else of their alphabet.
-    numbers = {
-        sensor: F.regexp_extract_all(F.col(f"_{state}"), F.lit(_NUMBER), F.lit(1))
-        for state, sensor in enumerate(SENSORS, start=1)
-    }
-    whole = whole.select("session_id", "file", number, F.col("_0").alias("time"), *[
-        found.alias(sensor) for sensor, found in numbers.items()
-    ])
-    fields = [
-        F.col(sensor)[place].alias(name)
-        for sensor in SENSORS
-        for place, (name, _) in enumerate(_columns_of(sensor))
-    ]
-    return whole.select("session_id", "file", number, "time", *fields)
-
-
 def parse_imu_records(lines: DataFrame, require_nonempty: bool = False, settings: PanelSettings = DEFAULTS) -> DataFrame:
     """``session_id, file, record_no`` and the 27 fields of each complete record, as text."""
-    schema = f"{_STRETCH}, leaves array<int>, opens array<long>, numbers array<long>, {_TEXTS}"
-    pieces = written(_token_lines(lines).mapInArrow(_machines, schema))
-    summaries = pieces.where(F.col("leaves").isNotNull()).select(*STRETCH, "leaves", "opens")
+    pieces = written(_token_lines(lines).mapInArrow(_machines, _PIECES), "part")
+    summaries = pieces.where("part = 'summary'").select(*STRETCH, "leaves", "opens")
     in_order = summaries.repartition("session_id", "file").sortWithinPartitions(*STRETCH)
     entries = in_order.mapInArrow(_entry_states, f"{_STRETCH}, state int, opened long")
-    known = _by_stretch(pieces.where(F.col("numbers").isNotNull()), entries, settings)
+    known = _by_stretch(pieces.where("part <> 'summary'"), entries, settings)
     number = F.get("numbers", F.col("state"))
-    real = known.where(number >= 0).select("session_id", "file", (number + F.col("opened")).alias("record_no"), *SLOTS)
-    complete = F.lit(True)
-    for slot in SLOTS:
-        complete = complete & F.col(slot).isNotNull()
+    record = ["session_id", "file", (number + F.col("opened")).alias("record_no"), *IMU_COLUMNS]
+    real = known.where(number >= 0)
     crossing = (
-        real.where(~complete).groupBy("session_id", "file", "record_no").agg(*[F.max(slot).alias(slot) for slot in SLOTS])
-        .where(F.col(SLOTS[-1]).isNotNull())
+        real.where("part = 'crossing'").select(*record)
+        .groupBy("session_id", "file", "record_no").agg(*[F.max(name).alias(name) for name in IMU_COLUMNS])
+        .where(F.col(IMU_COLUMNS[-1]).isNotNull())
     )
-    records = _fields(real.where(complete).unionByName(crossing), "record_no")
+    records = real.where("part = 'whole'").select(*record).unionByName(crossing)
     return require_rows(records, "sensor records") if require_nonempty else records
 
 
-_FRAME = [*STRETCH, "local", "part", "seq", "kind", *SLOTS]
-_FRAME_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * STATES]
-_FRAMES = f"{_STRETCH}, local long, part string, seq long, kind int, {_TEXTS}"
-
-
-def _frame_rows(columns: dict[str, object], n: int) -> pa.RecordBatch:
-    """Rows of _FRAME; a column that is not named is null, one value stands for all rows."""
-    made = []
-    for name, kind in zip(_FRAME, _FRAME_TYPES):
-        value = columns.get(name)
-        made.append(value if isinstance(value, pa.Array) else pa.array(value, kind) if isinstance(value, np.ndarray) else pa.array([value] * n, kind))
-    return pa.RecordBatch.from_arrays(made, _FRAME)
+_FRAME = [*STRETCH, "local", "part", "seq", "kind", "reading", *IMU_COLUMNS]
+_FRAME_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * (1 + len(IMU_COLUMNS))]
+_FRAMES = f"{_STRETCH}, local long, part string, seq long, kind int, reading string, {_TEXTS}"
 
 
 class _Framer:
-    """Frames of one stretch. Tokens since the last cut are held, so memory is that of a frame and a batch."""
+    """Frames of one stretch. Tokens since the last cut are held, so memory is that of a frame and a batch.
+
+    Rows are ``(part, numbers of frames, places of tokens, running numbers of border tokens)``.
+    """
 
     def __init__(self, key: tuple):
-        self.key = dict(zip(STRETCH, key))
-        self.held, self.frames, self.sent = None, 0, 0
+        self.key = key
+        self.held, self.frames, self.sent = None, 0, 0   # held: from where to where in the tokens at hand
 
-    def _border(self, tokens: pa.Array, kinds: np.ndarray) -> pa.RecordBatch:
+    def _border(self, begin: int, end: int) -> tuple:
         """Tokens for ``_border_frames``; a time stamp's ``local`` is the number of the frame it begins, if it does."""
-        n = len(kinds)
+        n = end - begin
         self.sent += n
         local = np.full(n, self.frames + 1)
         local[0] -= self.frames > 0   # what is held begins with the last frame's time stamp
-        return _frame_rows(self.key | {"local": local, "part": "border", "seq": np.arange(self.sent - n, self.sent), "kind": kinds, "_0": tokens}, n)
+        return "border", local, np.arange(begin, end), np.arange(self.sent - n, self.sent)
 
-    def feed(self, tokens: pa.Array, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def feed(self, kinds: np.ndarray, begin: int, end: int) -> Iterator[tuple]:
+        """``kinds`` are those of all tokens at hand; what is held lies right before ``begin``."""
         if self.held is not None:
-            tokens = pa.concat_arrays([self.held[0], tokens])
-            kinds = np.concatenate([self.held[1], kinds])
+            begin = self.held[0]
+        kinds = kinds[begin:end]
         n = len(kinds)
         times = np.flatnonzero(kinds == 0)
         names = np.concatenate([[0], np.cumsum((kinds == 1) | (kinds == BROKEN))])
@@ -380,18 +392,18 @@ class _Framer:
         # What follows the last time stamp may still turn out to be a frame: it is held.
         loose = int(starts[0]) if len(starts) else int(times[-1]) if len(times) else n
         if self.frames == 0 and loose:
-            yield self._border(tokens.slice(0, loose), kinds[:loose])
+            yield self._border(begin, begin + loose)
         if not len(starts):
             keep = 0 if self.frames else loose
         else:
             keep = int(starts[-1])
             numbers = np.arange(self.frames + 1, self.frames + len(starts)) - (self.frames > 0)
             if len(starts) > 1:
-                yield from self._inner(tokens, kinds, starts, numbers)
+                yield from self._inner(kinds, begin, starts, numbers)
             self.frames = int(self.frames + len(starts) - (self.frames > 0))
-        self.held = (tokens.slice(keep), kinds[keep:]) if keep < n else (tokens.slice(0, 0), kinds[:0]) if self.frames else None
+        self.held = (begin + keep, end) if keep < n else None
 
-    def _inner(self, tokens: pa.Array, kinds: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _inner(self, kinds: np.ndarray, offset: int, starts: np.ndarray, numbers: np.ndarray) -> Iterator[tuple]:
         """Frames that begin and end here: a row each, and one for every reading that is in no record."""
         begins, ends = starts[:-1], starts[1:]
         places = [begins]
@@ -401,35 +413,57 @@ class _Framer:
         taken = np.zeros(len(kinds) + 1, bool)
         for column in places:
             taken[column[complete]] = True
-        slots = {slot: _taken(tokens, np.where(complete, column, -1)) for slot, column in zip(SLOTS, places)}
-        yield _frame_rows(self.key | {"local": numbers, "part": "frame"} | slots, len(begins))
+        yield "frame", numbers, np.where(complete[:, None], np.stack(places, axis=1) + offset, -1), None
         left = np.flatnonzero(~taken[begins[0]: ends[-1]] & (kinds[begins[0]: ends[-1]] > 0)) + begins[0]
         if len(left):
-            frame = numbers[np.searchsorted(begins, left, side="right") - 1]
-            yield _frame_rows(self.key | {"local": frame, "part": "reject", "kind": kinds[left], "_0": _taken(tokens, left)}, len(left))
+            yield "reject", numbers[np.searchsorted(begins, left, side="right") - 1], left + offset, None
 
-    def end(self) -> Iterator[pa.RecordBatch]:
-        if self.held is not None and len(self.held[1]):
+    def end(self) -> Iterator[tuple]:
+        if self.held is not None:
             yield self._border(*self.held)
 
 
+def _frame_rows(found: list[tuple], tokens: pa.Array, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that framers gave, each after its key, as one batch for each part."""
+    for part in dict.fromkeys(row[1] for row in found):
+        keys, _, local, places, seq = zip(*[row for row in found if row[1] == part])
+        n = sum(map(len, local))
+        columns = dict(zip(_FRAME, [*_keyed(keys, [len(rows) for rows in local]), pa.array(np.concatenate(local), pa.int64()), pa.array([part] * n)]))
+        places = np.concatenate(places)
+        if part == "frame":
+            columns |= dict(zip(IMU_COLUMNS, _texts(tokens, *_numbers(tokens), places)))
+        else:
+            columns |= {"kind": pa.array(kinds[places], pa.int32()), "reading": tokens.take(pa.array(places))}
+        if part == "border":
+            columns["seq"] = pa.array(np.concatenate(seq), pa.int64())
+        yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in zip(_FRAME, _FRAME_TYPES)], _FRAME)
+
+
 def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Frames, readings outside records, and the tokens at both ends of each stretch, in order."""
-    framer, last = None, None
+    framer, last, tokens, kinds = None, None, pa.array([], pa.string()), np.zeros(0, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens, rows = batch["tokens"].flatten(), []
-        kinds = _kinds(tokens)
+        # The tokens at hand: what is held, then the batch's.
+        held = 0
+        if framer is not None and framer.held is not None:
+            begin, end = framer.held
+            held = end - begin
+            tokens, kinds, framer.held = tokens.slice(begin, held), kinds[begin:end], (0, held)
+        tokens, more = (batch["tokens"].flatten(), None) if not held else (pa.concat_arrays([tokens, batch["tokens"].flatten()]), kinds)
+        kinds = _kinds(tokens.slice(held))
+        kinds = kinds if more is None else np.concatenate([more, kinds])
+        found = []
         for key, begin, end in _stretches(batch, last):
             if key is not None:
-                rows += framer.end() if framer is not None else []
+                found += [(framer.key, *row) for row in framer.end()] if framer is not None else []
                 framer = _Framer(key)
-            rows += framer.feed(tokens.slice(begin, end - begin), kinds[begin:end])
-        yield from _gathered(rows)
+            found += [(framer.key, *row) for row in framer.feed(kinds, begin + held, end + held)]
+        yield from _frame_rows(found, tokens, kinds)
         last = (batch["place"][-1].as_py(), batch["mid"][-1].as_py())
     if framer is not None:
-        yield from framer.end()
+        yield from _frame_rows([(framer.key, *row) for row in framer.end()], tokens, kinds)
 
 
 def _border_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,10 +487,11 @@ def _border_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if slots and len(slots) < STATES:
             used = set()
         if slots:
-            rows.append([*stretch, number, "frame", None, None, *(slots if len(slots) == STATES else [None] * STATES)])
+            texts = [slots[0], *re.findall(_NUMBER, " ".join(slots[1:]), re.ASCII)] if len(slots) == STATES else [None] * len(IMU_COLUMNS)
+            rows.append([*stretch, number, "frame", None, None, None, *texts])
         for at, (_, _, kind, token) in enumerate(frame):
             if kind and at not in used:
-                rows.append([*stretch, number, "reject", None, kind, token, *[None] * (STATES - 1)])
+                rows.append([*stretch, number, "reject", None, kind, token, *[None] * len(IMU_COLUMNS)])
 
     def batch_of() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), _FRAME_TYPES)], _FRAME)
@@ -476,7 +511,7 @@ def _border_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         piece = []
 
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in (*STRETCH, "local", "kind", "_0")]
+        columns = [batch[c].to_pylist() for c in (*STRETCH, "local", "kind", "reading")]
         for session, file, block, mid, local, kind, token in zip(*columns):
             stretch = (session, file, block, mid)
             if (session, file) != current:
@@ -497,9 +532,10 @@ def _border_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _imu_frames(lines: DataFrame, settings: PanelSettings) -> DataFrame:
     """Frames and rejected readings with ``frame_no``, numbered through each file; 0 is what lies before the first."""
-    pieces = written(_token_lines(lines, markers=True).mapInArrow(_framed, _FRAMES))
+    pieces = written(_token_lines(lines, markers=True).mapInArrow(_framed, _FRAMES), "part")
     borders = pieces.where("part = 'border'").repartition("session_id", "file").sortWithinPartitions(*STRETCH, "seq")
-    found = written(pieces.where("part <> 'border'").unionByName(borders.mapInArrow(_border_frames, _FRAMES)))
+    over = written(borders.mapInArrow(_border_frames, _FRAMES), "part")
+    found = pieces.where("part <> 'border'").unionByName(over)
     counts = found.where("part = 'frame'").groupBy(*STRETCH).agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("session_id", "file").orderBy("block_start", "first_mid").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*STRETCH, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
@@ -514,8 +550,8 @@ def parse_imu_framed(lines: DataFrame, require_nonempty: bool = False, settings:
     A frame runs from the last time stamp before a gyroscope, well-formed or not, to that of the next such
     time stamp. In it the first reading of each kind counts after the one before, as in ``parse_imu_records``.
     """
-    frames = _imu_frames(lines, settings).where((F.col("part") == "frame") & F.col(SLOTS[-1]).isNotNull())
-    records = _fields(frames.select("session_id", "file", "frame_no", *SLOTS), "frame_no")
+    frames = _imu_frames(lines, settings).where((F.col("part") == "frame") & F.col(IMU_COLUMNS[-1]).isNotNull())
+    records = frames.select("session_id", "file", "frame_no", *IMU_COLUMNS)
     return require_rows(records, "sensor records") if require_nonempty else records
 
 
@@ -527,7 +563,7 @@ def imu_rejects(lines: DataFrame, settings: PanelSettings = DEFAULTS) -> DataFra
     """
     sensor = F.element_at(F.array(*[F.lit(short) for short in [*SENSORS, "gyro"]]), F.col("kind"))
     rejects = _imu_frames(lines, settings).where("part = 'reject'")
-    return rejects.select("session_id", "file", "frame_no", sensor.alias("sensor"), F.col("_0").alias("reading"))
+    return rejects.select("session_id", "file", "frame_no", sensor.alias("sensor"), "reading")
 
 
 def imu_numeric_cast(records: DataFrame) -> DataFrame:
