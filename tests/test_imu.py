@@ -222,3 +222,9 @@ def test_fields_are_cut_out_once(spark, tmp_path, parse):
     """The tasks that find the tokens write the fields; no later step looks at a reading's text again."""
     (tmp_path / "imu_log.txt").write_text("\n".join(record(1) + record(2)) + "\n")
     assert "regexp" not in plan_of(parse(read_imu_logs(spark, str(tmp_path))))
+
+
+def test_numeric_columns_are_read_by_column(spark, tmp_path):
+    (tmp_path / "imu_log.txt").write_text("\n".join(record(1)) + "\n")
+    found = imu_numeric_columns(parse_imu_records(read_imu_logs(spark, str(tmp_path))))
+    assert "parquet" in plan_of(found) and "ExistingRDD" not in plan_of(found)

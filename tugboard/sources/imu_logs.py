@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from tugboard.config import DEFAULTS, PanelSettings
 from tugboard.plans.tables import written
-from tugboard.session import ensure_checkpoint_dir
 from tugboard.sources.lines import read_lines, require_rows
 
 # File name, token formats in record order, and the columns they fill.
@@ -583,10 +582,9 @@ def imu_bad_cells(records: DataFrame) -> DataFrame:
 def imu_numeric_columns(records: DataFrame) -> DataFrame:
     """All or nothing: a column with one bad cell stays text, so that no cell is lost.
 
-    The records are looked at twice, so they are written to the checkpoint folder first.
+    The records are looked at twice, so they are written to the checkpoint folder first, column by column.
     """
-    ensure_checkpoint_dir(records.sparkSession)
-    records = records.checkpoint()
+    records = written(records)
     bad = imu_bad_cells(records).first().asDict()
     return records.withColumns({
         name: F.col(name).cast(kind) for name, kind in IMU_NUMERIC if bad[name] == 0
